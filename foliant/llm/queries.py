@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, media
+from . import bpe, chat, decontaminate, language, media, pii, sharding
 from .shared import table
 
 
@@ -22,11 +22,24 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
 
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities replaced."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("_n_entities", "n_entities")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,5 +51,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
-QUERIES = {"op2_media": op2_media, "op7_language": op7_language, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op2_media": op2_media,
+    "op5_hilbert": op5_hilbert,
+    "op6_pii": op6_pii,
+    "op7_language": op7_language,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_chat": op9_chat,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}
