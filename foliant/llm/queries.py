@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, media, pii, sharding
+from . import bpe, chat, decontaminate, html, language, media, pii, sharding
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -53,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_media": op2_media,
+    "op4_html": op4_html,
     "op5_hilbert": op5_hilbert,
     "op6_pii": op6_pii,
     "op7_language": op7_language,
