@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, language, media, pii, sharding
+from . import bpe, chat, decontaminate, html, language, media, minhash, pii, sharding
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def tokenizer() -> tuple[bytes, str]:
     return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_media": op2_media,
     "op4_html": op4_html,
     "op5_hilbert": op5_hilbert,
