@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, language, media, minhash, pii, sharding
+from . import bpe, chat, decontaminate, html, language, media, minhash, pii, repeats, sharding
 from .shared import table
 
 
@@ -26,6 +26,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
+    "op3_suffixes": op3_suffixes,
     "op4_html": op4_html,
     "op5_hilbert": op5_hilbert,
     "op6_pii": op6_pii,
