@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before A-Z is lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words before A-Z is lower-cased.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Rows of a test-side table up to which it is broadcast; a row is under 1 kB, and its count is taken first.
 BROADCAST_ROWS = 50_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(text), SEPARATORS), "")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -59,12 +59,16 @@ def seeds(tests: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFram
     return spread.withColumn("rank", first).filter((F.col("rank") == 1) & (F.col("n") > 0)).select("term", "item_id", "item", "place").distinct()
 
 
-def _agreeing(step: int) -> Column:
-    """How many item words on one side of the seed agree with the document's, up to the first that doesn't."""
-    most = F.least(F.col("place"), F.col("pos")) if step < 0 else F.least(F.size("item") - F.col("place"), F.size("words") - F.col("pos")) - 1
-    reach = F.least(most, F.col("window") - 1)
-    off = F.filter(F.sequence(F.lit(1), F.greatest(reach, F.lit(1))), lambda i: (i <= reach) & (F.get("item", F.col("place") + step * i) != F.get("words", F.col("pos") + step * i)))
-    return F.coalesce(F.array_min(off) - 1, reach)
+def _agreeing(step: int, window: int) -> Column:
+    """How many item words on one side of the seed agree with the document's, up to the first that doesn't.
+
+    Written out, not as a lambda, so that the pass over the postings stays in one generated function.
+    """
+    out = F
+    for i in range(1, window):
+        same = F.get("item", F.col("place") + step * i) == F.get("words", F.col("pos") + step * i)
+        out = out.when(~F.coalesce(same, F.lit(False)), i - 1)
+    return out.otherwise(window - 1) if window > 1 else F.lit(0)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -72,9 +76,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     tests = materialize(items(benchmark), "test-items")
     found = materialize(seeds(tests, term_counts(docs, tests), window), "seeds")
     postings = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "term"))
-    beside = (F.least(F.size("item"), F.lit(window)) == 1) | (F.get("item", F.col("place") + 1) == F.get("words", F.col("pos") + 1)) | ((F.col("pos") > 0) & (F.col("place") > 0) & (F.get("item", F.col("place") - 1) == F.get("words", F.col("pos") - 1)))
-    near = postings.join(_small(found), "term").filter(beside).withColumn("window", F.lit(window))
-    runs = near.select("doc_id", "item_id", "pos", F.least(F.size("item"), F.lit(window)).alias("need"), _agreeing(-1).alias("left"), _agreeing(1).alias("right"))
+    near = postings.join(_small(found), "term")
+    runs = near.select("doc_id", "item_id", "pos", F.least(F.size("item"), F.lit(window)).alias("need"), _agreeing(-1, window).alias("left"), _agreeing(1, window).alias("right"))
     return runs.filter(F.col("left") + F.col("right") + 1 >= F.col("need")).select("doc_id", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
 
 
@@ -104,8 +107,8 @@ def hit_counts(matches: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    hits = hit_counts(phrase_matches(docs, benchmark)).withColumnRenamed("doc_id", "hit_id")
-    counted = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    hits = hit_counts(materialize(phrase_matches(docs, benchmark), "matches")).withColumnRenamed("doc_id", "hit_id")
+    counted = docs.select("doc_id", F.coalesce(F.size(F.array_remove(F.split("text", RAW_SEPARATORS), "")), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
