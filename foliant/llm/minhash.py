@@ -1,19 +1,22 @@
 """Near-duplicate detection with bottom-k MinHash sketches.
 
-One hash function maps each shingle of SHINGLE words to 64 bits; a document's sketch is the K least values of its
-set, which is the whole set of short documents. Documents with equal sets form a class with one representative.
-Inverted lists of retained values generate overlaps: a class enters the lists of its rarest retained values, as many
-as any pair over the threshold must share one of (the prefix of a set join), with rarity from a histogram of fixed
-size over all values. Two classes of a list are a candidate pair when their sizes and places allow the threshold.
-The union of two sketches estimates the similarity; a pair within ERRORS standard deviations below the threshold, or
-whose sketches are whole sets, is verified by exact Jaccard similarity of the full sets.
+One hash function maps each shingle of SHINGLE words to 64 bits. Documents with equal sets form a class with one
+representative. A class retains the least values of its set in one order, rare before frequent and then by hash, as
+many as any pair over the threshold must share one of; inverted lists of the retained values generate overlaps.
+Rarity comes from a histogram of fixed size over all values, so passages and templates that many documents share come
+last. Two classes of a list are a candidate pair when their sizes and the value's places leave room for the threshold.
+The union of two uniform sketches (the K least hashes of a set, which is all of a short one) estimates a pair's
+similarity; a pair within ERRORS standard deviations below the threshold is verified by exact Jaccard similarity of
+the full sets, from the sketches alone where they are whole sets.
 
 A list of n classes isn't expanded to n^2 pairs: first every class meets its list's leader (the class with the least
 place, such as the original of many copies), which ties large groups into components; then, in lists that hold more
-than one component, all pairs between different components are tried. Pairs inside a component can't change the result.
+than one component, pairs between different components are tried. Pairs inside a component can't change the result.
+Lists of frequent values are dealt in SALTS parts with a leader each, and the leaders meet theirs.
 
-Whole sets of K * threshold values or fewer are joined exactly; of larger ones, a pair at the very threshold is missed
-with a chance below 1e-7 (ERRORS = 5.5).
+Generation is exact; a pair at the very threshold is lost by the estimate with a chance below 1e-7 (ERRORS = 5.5).
+Texts are read again where sets are needed, of the documents that a bitmap of fixed size names, so sets of documents
+without candidates are never moved.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE make
 one shingle; rows that share a doc_id are one node; a null doc_id is linked with nothing, its component is null;
@@ -22,20 +25,20 @@ repeated rows fall into one class; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, text_batches
+from .shared import bitmap, mapped_rows, materialize, text_batches
 
 SHINGLE, K, ERRORS = 5, 128, 5.5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BUCKET_BITS = 18
+#: Values in a bucket of the histogram, beyond four times the mean, from which its lists are dealt in parts.
+HOT_VALUES, SALTS = 200_000, 64
 AT_ONCE = 1 << 21
 
 _rng = np.random.default_rng(20240229)
@@ -97,148 +100,153 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def need(size: int) -> int:
-    """Shared values that two sketches of `size` values and more have at the threshold, less ERRORS deviations."""
-    t = PERCENT / 100
-    return max(1, math.floor(t * size - ERRORS * math.sqrt(size * t * (1 - t))))
+def prefix(n: int) -> int:
+    """How many values a set of n values retains: one of them is shared with any set over the threshold."""
+    return n - -(-PERCENT * n // 100) + 1
 
 
-#: Largest set whose every partner over the threshold has a whole sketch too.
-EXACT = K * PERCENT // 100
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def prefix(n: int) -> int:
-    """How many of its rarest retained values a set of n values is listed under."""
-    return n - -(-PERCENT * n // 100) + 1 if n <= EXACT else min(n, K) - need(min(n, K)) + 1
+SET, COUNT = 0, 1
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch): set size, 128-bit digest of the set, and the K least values in order."""
+def digests(docs: DataFrame) -> DataFrame:
+    """Of each row (kind SET): doc_id, n, and h1, h2, a 128-bit digest of its set; of each task (kind COUNT) its values by bucket."""
+    names = ["kind", "doc_id", "n", "h1", "h2"]
 
     def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for ids, texts in text_batches(batches, AT_ONCE):
             sets = shingle_sets(texts)
+            total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total)) if sets else 0
             unsigned = [s.view(np.uint64) for s in sets]
             h1 = [int(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for u in unsigned]
             h2 = [int((mix(u + np.uint64(0x1234567)) * np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64)) for u in unsigned]
-            low = [s[:K] for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32))
-            values = pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([SET] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names)
+        at = np.flatnonzero(total)
+        none = np.zeros(len(at), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), COUNT, dtype=np.int32)), pa.array(at), pa.array(total[at]), pa.array(none), pa.array(none)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole): the whole sets."""
+def value_counts(signed: DataFrame) -> np.ndarray:
+    """How many values fall into each of 2^BUCKET_BITS buckets: a table of fixed size."""
+    found = signed.filter(F.col("kind") == COUNT).groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    out[found["doc_id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return out
 
-    def run(batches):
-        for ids, texts in text_batches(batches, AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shingle_sets(texts), pa.list_(pa.int64()))], ["doc_id", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, whole array<long>")
+def postings(docs: DataFrame, named: bytes, counts: np.ndarray) -> DataFrame:
+    """(value, salt, id, n, place): each document that the bitmap names under the values it retains, place 0 first."""
+    sent = docs.sparkSession.sparkContext.broadcast((named, counts))
+    hot = HOT_VALUES + 4 * int(counts.mean())
 
+    def run(batches):
+        bits, rarity = np.frombuffer(sent.value[0], dtype=np.uint8), sent.value[1]
+        for ids, texts in text_batches(mapped_rows(batches, bits), AT_ONCE):
+            parts = []
+            for key, values in zip(ids, shingle_sets(texts)):
+                n = len(values)
+                if n:
+                    rank = rarity[_bucket(values)]
+                    order = np.lexsort((values, rank))[: prefix(n)]
+                    salt = np.where(rank[order] > hot, 1 + key % SALTS, 0)
+                    parts.append((values[order], salt, np.full(len(order), key), np.full(len(order), n), np.arange(len(order))))
+            if parts:
+                value, salt, key, n, place = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(salt.astype(np.int32)), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["value", "salt", "id", "n", "place"])
 
-def _bucket(values: np.ndarray) -> np.ndarray:
-    return (values.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return docs.select("doc_id", "text").mapInArrow(run, "value long, salt int, id long, n int, place int")
 
 
-def value_counts(sketched: DataFrame) -> np.ndarray:
-    """How many retained values fall into each of 2^BUCKET_BITS buckets: a table of fixed size."""
+def sets(docs: DataFrame, named: bytes, most: int | None = None) -> DataFrame:
+    """(id, n, values) of the documents that the bitmap names: the set's size and its `most` least values, or all."""
+    sent = docs.sparkSession.sparkContext.broadcast(named)
 
     def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        for b in batches:
-            values = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(_bucket(values), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        for ids, texts in text_batches(mapped_rows(batches, bits), AT_ONCE):
+            found = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([s[:most] for s in found], pa.list_(pa.int64()))], ["id", "n", "values"])
 
-    found = sketched.select("sketch").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    out[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return out
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n int, values array<long>")
 
 
-def postings(sketched: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(value, id, n, place): each class under its rarest retained values, place 0 first."""
-    sent = sketched.sparkSession.sparkContext.broadcast(counts)
+def _feasible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Whether sizes and places of a shared value leave room for the threshold."""
+    least = F.ceil(PERCENT * (na + nb) / (100 + PERCENT) - 1e-9)
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
 
-    def run(batches):
-        for b in batches:
-            parts = []
-            for key, n, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                v = values.values.to_numpy(zero_copy_only=False)
-                v = v[np.lexsort((v, sent.value[_bucket(v)]))[: prefix(n)]]
-                parts.append((v, np.full(len(v), key), np.full(len(v), n), np.arange(len(v))))
-            if parts:
-                v, key, n, place = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["value", "id", "n", "place"])
 
-    return sketched.select(F.col("doc_id").alias("id"), "n", "sketch").mapInArrow(run, "value long, id long, n int, place int")
+def _ends(pairs: DataFrame) -> bytes:
+    return bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
 
 
-def _feasible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
-    """Whether sizes and places of a shared value leave room for the threshold."""
-    t = PERCENT / 100
-    sizes = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
-    ka, kb = F.least(na, F.lit(K)), F.least(nb, F.lit(K))
-    most = F.least(ka - pa_, kb - pb)
-    whole = (na <= K) & (nb <= K)
-    small = F.least(ka, kb)
-    least = F.when(whole, F.ceil(PERCENT * (na + nb) / (100 + PERCENT) - 1e-9)).otherwise(F.greatest(F.lit(1), F.floor(t * small - ERRORS * F.sqrt(small * (t * (1 - t))))))
-    return sizes & (most >= least)
-
-
-def verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold."""
-    side = lambda name: sketched.select(F.col("doc_id").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("common", F.array_intersect("sa", "sb")).withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
+def _with_sets(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """pairs with n and values of both ends as na, va, nb, vb."""
+    side = lambda x: found.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), a materialized table, those whose full sets reach the threshold."""
+    both = _with_sets(pairs, sets(docs, _ends(pairs), K))
+    both = both.withColumn("common", F.array_intersect("va", "vb")).withColumn("union", F.slice(F.array_sort(F.array_union("va", "vb")), 1, K))
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
-    exact = lambda inter, total: 100 * inter >= PERCENT * (total - inter)
+    exact = lambda inter: 100 * inter >= PERCENT * (F.col("na") + F.col("nb") - inter)
     t, size = PERCENT / 100, F.size("union")
     near = F.size(F.array_intersect("common", "union")) >= t * size - ERRORS * F.sqrt(size * (t * (1 - t)))
-    judged = materialize(both.filter(F.when(whole, exact(F.size("common"), F.col("na") + F.col("nb"))).otherwise(near)).select("a", "b", whole.alias("sure")), "estimated")
-    sure, open_ = judged.filter("sure").select("a", "b"), judged.filter("not sure").select("a", "b")
-    ids = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    sides = lambda name: sets.select(F.col("doc_id").alias(name), F.col("whole").alias(f"w{name}"))
-    checked = open_.join(sides("a"), "a").join(sides("b"), "b").filter(exact(F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb"))).select("a", "b")
-    return sure.union(checked).distinct()
+    judged = materialize(both.filter(F.when(whole, exact(F.size("common"))).otherwise(near)).select("a", "b", whole.alias("sure")), "estimated")
+    open_ = judged.filter("not sure").select("a", "b")
+    checked = _with_sets(open_, sets(docs, _ends(open_))).filter(exact(F.size(F.array_intersect("va", "vb")))).select("a", "b")
+    return judged.filter("sure").select("a", "b").union(checked).distinct()
+
+
+def lists(listed: DataFrame) -> DataFrame:
+    """Postings of values that more than one class retains, each with its list's leader (lead, lead_n, lead_place)."""
+    dealt = listed.repartition("value", "salt")
+    lead = dealt.groupBy("value", "salt").agg(F.min(F.struct("place", "id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1 or salt > 0")
+    return dealt.join(lead.select("value", "salt", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place")), ["value", "salt"])
+
+
+def _pairs(rows: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str]) -> DataFrame:
+    """Feasible pairs (a, b), a < b, of the columns x and y (id, n, place)."""
+    ok = (F.col(x[0]) != F.col(y[0])) & _feasible(F.col(x[1]), F.col(x[2]), F.col(y[1]), F.col(y[2]))
+    return rows.filter(ok).select(F.least(x[0], y[0]).alias("a"), F.greatest(x[0], y[0]).alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches of all rows, classes (h1, h2, id), components (id, component) of linked classes)."""
+    """(digests of all rows, classes (h1, h2, id), components (id, component) of linked classes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(sketches(docs), "sketches")
-    real = signed.filter("n > 0 and doc_id is not null")
-    classes = materialize(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
-    first = real.join(classes.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("id").alias("doc_id")), "doc_id").filter("h1 = _h1 and h2 = _h2")
-    own = materialize(first.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "n", "sketch"), "class-sketches")
-    listed = materialize(postings(own, value_counts(own)), "postings")
-    lead = listed.groupBy("value").agg(F.min(F.struct("place", "id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place"))
-    lists = materialize(listed.join(lead, "value"), "lists")
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    with_lead = lists.filter(F.col("id") != F.col("lead")).filter(_feasible(F.col("n"), F.col("place"), F.col("lead_n"), F.col("lead_place")))
-    tried = materialize(with_lead.select(*pair(F.col("id"), F.col("lead"))).distinct(), "leader-pairs")
-    links = materialize(verified(tried, own, docs), "leader-links")
+    signed = materialize(digests(docs), "digests")
+    rows = signed.filter(F.col("kind") == SET).drop("kind")
+    classes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
+    # a document that the bitmap names by chance is one more node with its class's set, and is linked with it
+    shared = materialize(lists(postings(docs, bitmap(classes.select("id")), value_counts(signed))), "lists")
+    own, lead = ("id", "n", "place"), ("lead", "lead_n", "lead_place")
+    salted = shared.filter("salt > 0").select("value", *lead).distinct()
+    top = salted.groupBy("value").agg(F.min(F.struct("lead_place", "lead", "lead_n")).alias("top")).select("value", F.col("top.lead").alias("top"), F.col("top.lead_n").alias("top_n"), F.col("top.lead_place").alias("top_place"))
+    tried = materialize(_pairs(shared, own, lead).union(_pairs(salted.join(top, "value"), lead, ("top", "top_n", "top_place"))).distinct(), "leader-pairs")
+    links = materialize(verified(tried, docs), "leader-links")
     tied = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    owned = lists.select("value", "id", "n", "place").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = materialize(owned, "owned")
-    several = split.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
-    x = split.join(several, "value")
-    y = x.select("value", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "component")])
-    crossing = x.join(y, "value").filter("id < id2 and component != component2").filter(_feasible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2")))
-    rest = crossing.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(materialize(rest, "crossing-pairs"), own, docs)
-    return signed, classes, components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    owned = shared.select("value", *own).join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")).repartition("value")
+    several = owned.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
+    split = materialize(owned.join(several, "value"), "split-lists")
+    other = split.select("value", *[F.col(c).alias(f"{c}2") for c in (*own, "component")])
+    feasible = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _feasible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"))
+    crossing = split.join(other, "value").filter(feasible).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    more = verified(materialize(crossing.join(tried, ["a", "b"], "left_anti"), "crossing-pairs"), docs)
+    return rows, classes, components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed, classes, tied = link(docs)
-    named = signed.drop("sketch").join(classes, ["h1", "h2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
+    rows, classes, tied = link(docs)
+    named = rows.join(classes, ["h1", "h2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
     out = named.join(tied, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

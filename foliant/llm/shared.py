@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +47,65 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_batches(batches):
-    """Arrow batches of (doc_id, text) as pairs of lists, in slices of at most ~16 MB of text, so memory stays bounded."""
+def text_batches(batches, most: int = 1 << 24):
+    """Arrow batches of (doc_id, text) as pairs of lists, in slices that end with the text that passes `most` bytes."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         start, size = 0, 0
         for i in range(len(ids)):
             size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-            if size > 1 << 24:
+            if size > most:
                 yield ids[start : i + 1], texts.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
         if start < len(ids):
             yield ids[start:], texts.slice(start).to_pylist()
+
+
+#: Bits of the maps that tell tasks which ids or digests matter: of fixed size (8 MB), whatever the corpus.
+MAP_BITS = 26
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """Each 64-bit value's bit in a map."""
+    x = values.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bitmap(values: DataFrame) -> bytes:
+    """A map of the values of a frame's only column (long). It may name others by chance, but misses none."""
+
+    def run(batches):
+        found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
+        if not found:
+            return
+        at = np.unique(_places(np.concatenate(found).astype(np.int64)))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at >> 15) > 0]))
+        pages, bits = [], []
+        for own in np.split(at, first[1:]):
+            page = np.zeros(1 << 15, dtype=np.uint8)
+            page[own & 0x7FFF] = 1
+            pages.append(int(own[0] >> 15))
+            bits.append(np.packbits(page).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(bits, pa.binary())], ["page", "bits"])
+
+    out = np.zeros((1 << MAP_BITS - 15, 1 << 12), dtype=np.uint8)
+    # few tasks, so that the driver gets few maps; each is of fixed size
+    for page, bits in values.coalesce(4).mapInArrow(run, "page long, bits binary").toLocalIterator():
+        out[page] |= np.frombuffer(bits, dtype=np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """bits: the map as unsigned bytes."""
+    at = _places(values)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def mapped_rows(batches, bits: np.ndarray):
+    """Arrow batches of (id, text) without the rows whose id is null or not in the map."""
+    for b in batches:
+        ids = b.column(0)
+        keep = in_bitmap(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+        if keep.any():
+            yield b.filter(pa.array(keep))
