@@ -31,6 +31,8 @@ from .shared import text_batches
 
 PAD, COLUMNS, ROWS, FPS = 64, 32, 32, 25
 CUT, FLOOR, WINDOW, BINS = 3.0, 0.25, 8, 16
+#: Bytes of text worked at once; the arrays for coding take some 150 bytes for each.
+AT_ONCE = 1 << 21
 
 # Fixed values of the JPEG standard: luminance DC code lengths (count of codes of 1 to 16 bits) and the zigzag order.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
@@ -356,7 +358,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id_col, media binary): each text's bytes, padded, as an AVI file."""
 
     def run(batches):
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, AT_ONCE):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(write_avis([pad((t or "").encode()) for t in texts]), pa.binary())], ["id", "media"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, media binary").withColumnRenamed("id", id_col)
@@ -385,7 +387,7 @@ def stored(docs: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, AT_ONCE):
             data = [(t or "").encode() for t in texts]
             media = write_avis([pad(d) for d in data])
             rows = []
