@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 
-COLUMNS = ["doc_id", "field_key", "value", "page_num", "snippet", "source", "confidence"]
+COLUMNS = ["doc_id", "field_key", "value", "page_num", "line_ord", "snippet", "source", "confidence"]
 
 
 def _hits(text: Column, words_by_field: dict, value) -> Column:
@@ -34,24 +34,24 @@ def line_candidates(lines: DataFrame) -> DataFrame:
     tag = lambda source, sure: lambda x: F.struct(x["field_key"].alias("field_key"), x["value"].alias("value"), F.lit(source).alias("source"), F.lit(sure).alias("confidence"))
     tagged = [F.transform(array, tag(source, sure)) for array, source, sure in parts]
     rows = own.select("doc_id", "page_num", "line_ord", F.col("text").alias("snippet"), F.explode(F.concat(*tagged)).alias("x"))
-    return rows.select("doc_id", "x.field_key", T.normalize(F.col("x.value")).alias("value"), "page_num", "snippet", "x.source", "x.confidence")
+    return rows.select("doc_id", "x.field_key", T.normalize(F.col("x.value")).alias("value"), "page_num", "line_ord", "snippet", "x.source", "x.confidence")
 
 
 def form_candidates(fields: DataFrame) -> DataFrame:
-    return fields.select("doc_id", F.col("field").alias("field_key"), "value", "page_num", F.coalesce("label", "value").alias("snippet"), F.lit("form_result").alias("source"), F.lit(0.93).alias("confidence"))
+    return fields.select("doc_id", F.col("field").alias("field_key"), "value", "page_num", F.lit(-1).alias("line_ord"), F.coalesce("label", "value").alias("snippet"), F.lit("form_result").alias("source"), F.lit(0.93).alias("confidence"))
 
 
 def receipt_candidates(receipts: DataFrame) -> DataFrame:
     names = {"vendor": "vendor", "date": "document_date", "invoice_number": "invoice_number", "subtotal": "subtotal_amount", "tax": "tax_amount", "total": "total_amount"}
     rows = F.array(*[F.struct(F.lit(k).alias("field_key"), F.col(c).cast("string").alias("value")) for c, k in names.items()])
     sure = F.when(F.col("x.field_key").isin("total_amount", "tax_amount"), 0.96).otherwise(0.9)
-    return receipts.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.field_key", "x.value", F.lit(1).alias("page_num"), F.col("x.value").alias("snippet"), F.lit("receipt_invoice_result").alias("source"), sure.alias("confidence"))
+    return receipts.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.field_key", "x.value", F.lit(1).alias("page_num"), F.lit(-1).alias("line_ord"), F.col("x.value").alias("snippet"), F.lit("receipt_invoice_result").alias("source"), sure.alias("confidence"))
 
 
 def index(*parts: DataFrame) -> DataFrame:
     """All candidates, each (field, value, page) of a document once, the surest first; ord is their order."""
     every = reduce(DataFrame.unionByName, [p.select(COLUMNS) for p in parts]).filter("value is not null and value != ''")
-    sure = [F.desc("confidence"), F.coalesce("page_num", F.lit(0)), "source", "snippet", "field_key"]
+    sure = [F.desc("confidence"), F.coalesce("page_num", F.lit(0)), "line_ord", "field_key", "source"]
     first = F.row_number().over(Window.partitionBy("doc_id", "field_key", "value", "page_num").orderBy(*sure))
     once = every.withColumn("r", first).filter("r = 1").drop("r")
     return once.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(*sure, "value")))
@@ -88,7 +88,8 @@ def answer(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     best = both.withColumn("score", score).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("ord")).alias("early"), "value", "page_num", "field_key", "source", "snippet")).alias("b"))
     out = questions.select("query_id", "query").join(best, "query_id", "left")
     status = F.when(T.normalize(F.col("query")) == "", "invalid_query").when(F.col("b").isNull(), "no_answer").otherwise("ok")
-    return out.select("query_id", status.alias("status"), F.coalesce("b.value", F.lit("")).alias("answer"), "b.page_num", F.coalesce("b.field_key", F.lit("")).alias("matched_field"), "b.source", F.coalesce(T.rounded(F.least(F.lit(0.99), F.col("b.score") / 24), 3), F.lit(0.0)).alias("confidence"))
+    out = out.withColumn("status", status).withColumn("b", F.when(F.col("status") == "ok", F.col("b")))
+    return out.select("query_id", "status", F.coalesce("b.value", F.lit("")).alias("answer"), "b.page_num", F.coalesce("b.field_key", F.lit("")).alias("matched_field"), "b.source", F.coalesce(T.rounded(F.least(F.lit(0.99), F.col("b.score") / 24), 3), F.lit(0.0)).alias("confidence"))
 
 
 def contracts(lines: DataFrame) -> DataFrame:
