@@ -7,9 +7,11 @@ alone: the same entity gets the same surrogate in every document and spelling (c
 type, script, case, length and separators; a number's country code and a card's first digit and Luhn state stay;
 given names keep the gender that title or name tell.
 
-Collision checks over the corpus's entities preserve distinctness: of entities of a type that share a surrogate, and
-of those whose surrogate is itself an entity of the corpus, all but the first draw again with the next attempt, until
-none collides. Only entities with a later attempt than the first are joined back to their documents.
+Numbers and IP addresses go through keyed Feistel permutations of their digits or bits, which never map two to one;
+addresses, secrets and names are drawn from spaces of 2^20 (names) to 2^160. Collision checks over the corpus's
+entities preserve distinctness: of entities of a type that share a surrogate, all but the first draw again with the
+next attempt, and so does one that is its own surrogate, until none collides. The entities with a later attempt, few
+or none, go as a map to all tasks if they are LATER_MAP at most, and are else joined to the texts that hold them.
 
 Defined results: null text stays null and empty text empty; texts without entities are unchanged, byte for byte;
 repeated rows get equal results; a null doc_id is kept; an empty table gives no rows; in replace() all other columns
@@ -25,6 +27,8 @@ from .shared import materialize
 
 KEY = "foliant"
 ROUNDS = 40
+#: Entities with a later attempt (some 50 bytes each) that are sent as one map.
+LATER_MAP = 5_000
 
 # Titles by gender, given names by gender, and syllables for surrogate names by script.
 MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir"]
@@ -87,7 +91,7 @@ def _body(found: Column, kind: Column) -> Column:
 
 def _canon(body: Column, kind: Column) -> Column:
     digits = F.regexp_replace(body, r"\D", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(body, " ", "")).otherwise(F.lower(body))
+    return F.when((kind == "phone") & body.startswith("+1"), F.substring(digits, F.lit(2), F.length(digits))).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(body, " ", "")).otherwise(F.lower(body))
 
 
 def _gender(title: Column, given: Column) -> Column:
@@ -157,41 +161,86 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _card(body: Column, stream: Column) -> Column:
-    """All digits but the first drawn anew; the last keeps the sum's residue by Luhn's rule at 0, or off it."""
+def _round(key: str, kind: Column, attempt: Column, *parts: Column) -> Column:
+    """A keyed number of 60 bits."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
 
-    def closed(drawn):
-        digits = F.regexp_replace(drawn, r"\D", "")
-        zero = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))
-        valid = _luhn(F.regexp_replace(body, r"\D", "")) % 10 == 0
-        own = F.substring(drawn, -1, 1).cast("int")
-        last = lambda right: F.when(valid, right).when(own == right, (right + 1) % 10).otherwise(own)
-        return F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), _let((10 - _luhn(zero) % 10) % 10, last).cast("string"))
 
-    return _let(_fill(body, stream, F.lit(1)), closed)
+def _feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, kind: Column, attempt: Column, extra: Column) -> Column:
+    """struct(l, r): a permutation of the pairs below (left_size, right_size), by four rounds in turn."""
 
+    def step(s, i):
+        even = i % 2 == 0
+        f = _round(key, kind, attempt, extra, i, F.when(even, s["r"]).otherwise(s["l"]))
+        return F.struct(F.when(even, (s["l"] + f % left_size) % left_size).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise((s["r"] + f % right_size) % right_size).alias("r"))
 
-def _ip(body: Column, stream: Column) -> Column:
-    """A private address (10.x.y.z), or a unique local one of version 6."""
-    return F.when(body.contains(":"), F.concat(F.lit("fd"), F.substring(stream, 1, 2), *[F.concat(F.lit(":"), F.substring(stream, 4 * i + 3, 4)) for i in range(7)])).otherwise(
-        F.concat_ws(".", F.lit("10"), *[_byte(stream, F.lit(i)).cast("string") for i in range(3)])
-    )
+    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    return F.aggregate(F.array(*map(F.lit, range(4))), start, step)
+
+
+def _permute(digits: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """A digit string of the same length, by a permutation of all of that length."""
+    half = F.floor(F.length(digits) / 2).cast("int")
+    rest = F.length(digits) - half
+    size = lambda n: F.pow(F.lit(10), n).cast("long")
+    number = lambda x: F.coalesce(x.cast("long"), F.lit(0))
+    mixed = _feistel(number(F.substring(digits, F.lit(1), half)), number(F.substring(digits, half + 1, rest)), size(half), size(rest), key, kind, attempt, F.length(digits))
+    return _let(mixed, lambda m: F.concat(F.when(half > 0, F.lpad(m["l"].cast("string"), half, F.lit("0"))).otherwise(F.lit("")), F.lpad(m["r"].cast("string"), rest, F.lit("0"))))
+
+
+def _refill(body: Column, digits: Column, skip: Column) -> Column:
+    """body with its digits, after the first `skip`, replaced by those of `digits` in turn."""
+
+    def step(acc, c):
+        real = c.rlike("[0-9]")
+        return F.struct(F.concat(acc["out"], F.when(real & (acc["i"] >= skip), F.substring(digits, acc["i"] - skip + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + real.cast("int")).alias("i"))
+
+    return F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
+
+
+def _number(body: Column, canon: Column, keep: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """All digits of the canonical form but the first `keep` permuted, in the body's format."""
+    before = F.length(F.regexp_replace(body, r"\D", "")) - F.length(canon)
+    return _let(_permute(F.substring(canon, keep + 1, F.length(canon)), key, kind, attempt), lambda d: _refill(body, d, before + keep))
+
+
+def _card(body: Column, canon: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """The middle digits permuted; the last keeps its distance from the one that Luhn's rule asks for."""
+    inner = F.substring(canon, F.lit(2), F.length(canon) - 2)
+    right = lambda head: (10 - _luhn(F.concat(head, F.lit("0"))) % 10) % 10
+    off = F.substring(canon, -1, 1).cast("int") - right(F.substring(canon, F.lit(1), F.length(canon) - 1)) + 10
+
+    def closed(mid):
+        head = F.concat(F.substring(canon, 1, 1), mid)
+        return _refill(body, F.concat(head, ((right(head) + off) % 10).cast("string")), F.lit(0))
+
+    return _let(_permute(inner, key, kind, attempt), closed)
+
+
+def _ip(body: Column, stream: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """Version 4: a permutation of all addresses; version 6: a unique local address."""
+    o = F.split(body, r"\.")
+    part = lambda i: F.get(o, F.lit(i)).cast("long")
+    mixed = _feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(1 << 16), F.lit(1 << 16), key, kind, attempt, F.lit(4))
+    four = _let(mixed, lambda m: F.concat_ws(".", F.floor(m["l"] / 256).cast("string"), (m["l"] % 256).cast("string"), F.floor(m["r"] / 256).cast("string"), (m["r"] % 256).cast("string")))
+    six = F.concat(F.lit("fd"), F.substring(stream, 1, 2), *[F.concat(F.lit(":"), F.substring(stream, 4 * i + 3, 4)) for i in range(7)])
+    return F.when(body.contains(":"), six).otherwise(four)
 
 
 def _email(body: Column, stream: Column, key: str) -> Column:
-    """Local part of the same shape, six letters and digits at least; the domain by itself, below example.org."""
+    """Local part of the same shape, with six digits more if it has under ten signs; the domain by itself, below example.org."""
     local, domain = F.substring_index(body, "@", 1), F.lower(F.substring_index(body, "@", -1))
     mapped = F.concat(F.lit("m"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), 1, 10), F.lit(".example.org"))
-    padded = F.concat(_fill(local, stream, F.lit(0)), F.when(F.length(local) < 6, F.substring(stream, 180, 6)).otherwise(F.lit("")))
+    padded = F.concat(_fill(local, stream, F.lit(0)), F.when(F.length(local) < 10, F.substring(stream, 180, 6)).otherwise(F.lit("")))
     return F.concat(padded, F.lit("@"), F.when(body == F.upper(body), F.upper(mapped)).otherwise(mapped))
 
 
 def _name(name: Column, kind: Column, stream: Column) -> Column:
-    """Four syllables of the name's script, with the gender's ending, in the name's case."""
+    """Five syllables of the name's script, with the gender's ending, in the name's case."""
     script = _script(name)
     out = F.when(F.lit(False), "")
     for s, syllables in SYLLABLES.items():
-        body = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), _byte(stream, F.lit(i)) % 16 + 1) for i in range(4)])
+        body = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), _byte(stream, F.lit(i)) % 16 + 1) for i in range(5)])
         end = F.when(kind == "given-m", MALE_END[s]).when(kind == "given-f", FEMALE_END[s]).otherwise(OTHER_END[s])
         out = out.when(script == s, F.concat(body, end))
     return F.when((F.length(name) > 1) & (name == F.upper(name)), F.upper(out)).otherwise(F.initcap(out))
@@ -204,10 +253,11 @@ def surrogate(kind: Column, body: Column, canon: Column, attempt: Column, key: s
     def drawn(stream):
         return (
             F.when(kind.isin("surname", "given-m", "given-f", "given-n"), _name(body, kind, stream))
-            .when(kind == "card", _card(body, stream))
-            .when(kind == "ip", _ip(body, stream))
+            .when(kind == "card", _card(body, canon, key, kind, attempt))
+            .when(kind == "ip", _ip(body, stream, key, kind, attempt))
             .when(kind == "email", _email(body, stream, key))
-            .when(kind == "phone", _fill(body, stream, country))
+            .when(kind == "phone", _number(body, canon, F.when(body.startswith("+1"), 0).otherwise(country), key, kind, attempt))
+            .when(kind == "ssn", _number(body, canon, F.lit(0), key, kind, attempt))
             .when(kind == "iban", _fill(body, stream, F.lit(2)))
             .when((kind == "secret") & body.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), _hex(body, stream))
             .otherwise(_fill(body, stream, F.lit(0)))
@@ -231,9 +281,8 @@ def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
         group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
         drawn = drawn.withColumn("group", group).withColumn("drawn", _canon(F.col("drawn"), F.col("kind")))
         order = Window.partitionBy("group", "drawn").orderBy("attempt", "canon", "kind")
-        real = known.select(F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("group"), F.col("canon").alias("drawn")).distinct().withColumn("real", F.lit(True))
-        judged = drawn.withColumn("place", F.row_number().over(order)).join(real, ["group", "drawn"], "left")
-        again = (F.col("place") > 1) | F.col("real").isNotNull()
+        judged = drawn.withColumn("place", F.row_number().over(order))
+        again = (F.col("place") > 1) | (F.col("drawn") == F.col("canon"))
         judged = materialize(judged.select("kind", "canon", "body", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")), "attempts")
         known = judged.drop("again")
         if judged.filter("again").isEmpty():
@@ -264,9 +313,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     later = attempts(docs, key)
     text = F.col("text")
     has = hinted(text)
-    if later.isEmpty():
-        done = F.when(has, _replaced(text, None, key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
-        out = docs.withColumn("_done", done)
+    few = later.limit(LATER_MAP + 1).collect()
+    if len(few) <= LATER_MAP:
+        known = F.map_from_arrays(F.lit([f"{r.kind}\x1f{r.canon}" for r in few]), F.lit([r.attempt for r in few])) if few else None
+        out = docs.withColumn("_done", F.when(has, _replaced(text, known, key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))))
     else:
         # the few documents with such entities get a map of their attempts, found by a hash of the text
         mark = F.sha2("text", 256)
