@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, html, language, media, minhash, pii, repeats, sharding
+from .oracles import ORACLES
 from .shared import table
 
 
@@ -63,6 +64,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer"]
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
@@ -75,4 +78,3 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
