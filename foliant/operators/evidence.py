@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +14,16 @@ from ..functions import text as T
 from ..functions import vocab
 
 TOP, LEAST = 5, 1.4
-#: Questions that go to all tasks as one array; more are worked in further passes.
+#: Questions that go to all tasks as one table; more are worked in further passes.
 QUESTIONS_AT_ONCE = 500
 
 
+class Question(NamedTuple):
+    query_id: int
+    tokens: list[str]
+    intents: list[str]
+
+
 def intents(query: Column) -> Column:
     """array<string> of the question's intents."""
     low = T.canonical(query)
@@ -41,30 +52,74 @@ def unit_score(query: Column, tokens: Column, low: Column, title_tokens: Column,
     return F.when(F.size(query["tokens"]) == 0, 0.0).otherwise(score)
 
 
+def _flags(low: Column) -> Column:
+    """Whether a text holds a word of each intent."""
+    return F.array(*[T.contains_any(low, words) for words in vocab.EVIDENCE_INTENTS.values()])
+
+
+def _scored(found: DataFrame, asked: list, top: int) -> DataFrame:
+    """(query_id, score, doc_id, ord): each task's best units of each question.
+
+    A unit's overlaps with all questions are one sum of rows of a (token x question) table, so a unit costs its tokens
+    times the questions in numpy, and a task returns `top` rows a question at most.
+    """
+    number = {t: i for i, t in enumerate(sorted({t for q in asked for t in q.tokens}))}
+    table = np.zeros((len(number), len(asked)), dtype=np.float32)
+    for j, q in enumerate(asked):
+        table[[number[t] for t in q.tokens], j] = 1
+    names = list(vocab.EVIDENCE_INTENTS)
+    wants = np.array([[n in q.intents for n in names] for q in asked], dtype=np.float64).reshape(len(asked), len(names))
+    query_ids, answerable = [q.query_id for q in asked], np.array([bool(q.tokens) for q in asked])
+    sent = found.sparkSession.sparkContext.broadcast((number, table, wants))
+
+    def run(batches):
+        number, table, wants = sent.value
+        amount = wants[:, names.index("amount")]
+        best: list[list[tuple]] = [[] for _ in query_ids]
+        for b in batches:
+            doc, place, kinds, tokens, titles, flags = (b.column(i).to_pylist() for i in range(6))
+            for at in range(0, len(doc), 512):
+                rows = range(at, min(at + 512, len(doc)))
+                sums = lambda lists: np.array([table[[number[t] for t in lists[r] or [] if t in number]].sum(axis=0) for r in rows], dtype=np.float64)
+                score = sums(tokens) * 2.0 + np.array([flags[r] for r in rows], dtype=np.float64) @ wants.T * 1.5 + sums(titles) * 0.8
+                score += np.array([kinds[r] == "chunk_table" for r in rows])[:, None] * amount[None, :] * 0.8
+                score = np.round(score, 3) * answerable
+                for j in range(len(query_ids)):
+                    own = score[:, j]
+                    least = -best[j][-1][0] if len(best[j]) == top else 0.0
+                    pick = np.flatnonzero((own > 0) & (own >= least))
+                    if len(pick) > top:
+                        pick = pick[own[pick] >= np.partition(own[pick], -top)[-top]]
+                    if len(pick):
+                        best[j] = sorted(best[j] + [(-own[i], doc[at + i], place[at + i]) for i in pick])[:top]
+        out = [(query_ids[j], -s, d, p) for j, own in enumerate(best) for s, d, p in own]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["query_id", "score", "doc_id", "ord"])
+
+    own = found.select(F.col("doc_id").cast("long"), F.col("ord").cast("long"), "unit_type", "tokens", T.tokens(F.coalesce("title_context", F.lit("")), vocab.EVIDENCE_STOPWORDS), _flags(F.lower("text")))
+    return own.mapInArrow(run, "query_id long, score double, doc_id long, ord long")
+
+
 def top_units(questions: DataFrame, found: DataFrame, top: int = TOP, within: str | None = None) -> DataFrame:
     """(query_id, rank, score, …unit columns): the best `top` units of each question, ties in (doc_id, unit order).
 
-    questions(query_id, query) are a stated set; they go to every task in arrays of QUESTIONS_AT_ONCE, so each unit is
-    read once a pass, scored in place, and only `top` rows a question and task are shuffled. within: a column of both
-    sides that must be equal, such as doc_id for questions about one document.
+    questions(query_id, query) are a stated set, which goes to every task in parts of QUESTIONS_AT_ONCE: each unit is
+    read once a part, and only `top` rows a question and task are shuffled. within: a column of both sides that must be
+    equal, such as doc_id for questions about one document; then questions and units are joined on it.
     """
     own = [within] if within else []
-    asked = questions.select("query_id", F.struct("query_id", T.tokens(F.col("query"), vocab.EVIDENCE_STOPWORDS).alias("tokens"), intents(F.col("query")).alias("intents")).alias("q"), *[F.col(c).alias(f"_{c}") for c in own])
-    scored = unit_score(F.col("q"), F.col("tokens"), F.lower("text"), T.tokens(F.coalesce("title_context", F.lit("")), vocab.EVIDENCE_STOPWORDS), F.col("unit_type"))
+    asked = questions.select("query_id", T.tokens(F.col("query"), vocab.EVIDENCE_STOPWORDS).alias("q_tokens"), intents(F.col("query")).alias("intents"), *[F.col(c).alias(f"_{c}") for c in own])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord")
     if within:
-        both = found.join(asked, F.col(within) == F.col(f"_{within}")).drop(f"_{within}")
-    else:
-        rows = [r.q for r in asked.collect()]
-        passes = [rows[i : i + QUESTIONS_AT_ONCE] for i in range(0, len(rows), QUESTIONS_AT_ONCE)] or [[]]
-        literal = lambda q: F.struct(F.lit(q.query_id).alias("query_id"), F.array(*map(F.lit, q.tokens)).cast("array<string>").alias("tokens"), F.array(*map(F.lit, q.intents)).cast("array<string>").alias("intents"))
-        both = None
-        for part in passes:
-            array = F.array(*map(literal, part)) if part else F.array().cast("array<struct<query_id:bigint,tokens:array<string>,intents:array<string>>>")
-            one = found.withColumn("q", F.explode(array)).withColumn("query_id", F.col("q.query_id"))
-            both = one if both is None else both.unionByName(one)
-    ranked = both.withColumn("score", T.rounded(scored, 3)).filter("score > 0").drop("q")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord"))
-    return ranked.withColumn("rank", rank).filter(F.col("rank") <= top)
+        both = found.join(asked, F.col(within) == F.col(f"_{within}")).drop(f"_{within}").withColumn("q", F.struct(F.col("q_tokens").alias("tokens"), "intents"))
+        scored = unit_score(F.col("q"), F.col("tokens"), F.lower("text"), T.tokens(F.coalesce("title_context", F.lit("")), vocab.EVIDENCE_STOPWORDS), F.col("unit_type"))
+        ranked = both.withColumn("score", T.rounded(scored, 3)).filter("score > 0").drop("q", "q_tokens", "intents")
+        return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    rows = [Question(r.query_id, r.q_tokens, r.intents) for r in asked.collect()]
+    parts = [_scored(found, rows[i : i + QUESTIONS_AT_ONCE], top) for i in range(0, len(rows), QUESTIONS_AT_ONCE)] or [_scored(found, [], top)]
+    best = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # at most `top` rows a question of the stated set
+    return found.join(F.broadcast(best) if len(rows) * top <= 100_000 else best, ["doc_id", "ord"])
 
 
 def best_sentence(text: Column, query_tokens: Column) -> Column:

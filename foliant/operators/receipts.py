@@ -9,19 +9,18 @@ from ..functions import text as T
 from ..functions import vocab
 
 
-def vendor_score(text: Column, index: Column) -> Column:
-    """How much one of a first page's first lines (index from 0) looks like the vendor."""
-    low = T.canonical(text)
+def vendor_score(text: Column, index: Column, low: Column, money: Column) -> Column:
+    """How much one of a first page's first lines (index from 0, case folded, money values) looks like the vendor."""
     one = lambda test, x: F.when(test, float(x)).otherwise(0.0)
     return (
         one(T.contains_any(low, vocab.VENDOR_WORDS), 4) + F.when(index == 0, 3.0).when(index <= 2, 1.5).otherwise(0.0) + one(text.rlike(r"\p{L}"), 1) + one(~text.rlike(r"(?U)\d"), 1)
-        + one(F.length(text) > 64, -2) + one(T.contains_any(low, vocab.NOT_VENDOR_WORDS), -3) + one(F.size(T.money_values(text)) > 0, -3)
+        + one(F.length(text) > 64, -2) + one(T.contains_any(low, vocab.NOT_VENDOR_WORDS), -3) + one(F.size(money) > 0, -3)
     )
 
 
-def _keyword_rank(text: Column, words) -> Column:
+def _keyword_rank(low: Column, words) -> Column:
     """Words left from the first word that the text contains, 0 for none."""
-    low, out = T.canonical(text), F
+    out = F
     for i, w in enumerate(words):
         out = out.when(low.contains(w), len(words) - i)
     return out.otherwise(0)
@@ -29,7 +28,7 @@ def _keyword_rank(text: Column, words) -> Column:
 
 def _amount(words) -> Column:
     """max struct (score, early, value) over lines with index and text."""
-    rank, value = _keyword_rank(F.col("text"), words), T.last_money(F.col("text"))
+    rank, value = _keyword_rank(F.col("low"), words), F.try_element_at("money", F.lit(-1))
     return F.max(F.when((rank > 0) & value.isNotNull(), F.struct((rank * 10 + F.col("index") * 0.1).alias("score"), (-F.col("index")).alias("early"), value.alias("value"))))["value"]
 
 
@@ -37,9 +36,10 @@ def extract(lines: DataFrame) -> DataFrame:
     """lines(doc_id, page_num, line_ord, text) -> vendor, document_type, date, invoice_number, currency, subtotal, tax, total."""
     own = lines.withColumn("text", T.normalize(F.col("text"))).filter("text != ''")
     own = own.withColumn("index", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "line_ord")) - 1)
-    score = F.when((F.col("page_num") == 1) & (F.col("index") < 8), vendor_score(F.col("text"), F.col("index")))
+    own = own.withColumn("low", T.canonical(F.col("text"))).withColumn("money", T.money_values(F.col("text"))).withColumn("day", T.iso_date(F.col("text")))
+    score = F.when((F.col("page_num") == 1) & (F.col("index") < 8), vendor_score(F.col("text"), F.col("index"), F.col("low"), F.col("money")))
     best = F.max(F.when(score.isNotNull(), F.struct(score.alias("score"), (-F.col("index")).alias("early"), F.col("text").alias("text"))))
-    date = F.min(F.when(T.iso_date(F.col("text")).isNotNull(), F.struct("index", T.iso_date(F.col("text")).alias("d"))))["d"]
+    date = F.min(F.when(F.col("day").isNotNull(), F.struct("index", "day")))["day"]
     blob = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "\n")
     out = own.groupBy("doc_id").agg(
         best.alias("best"), F.min(F.when(F.col("page_num") == 1, F.struct("index", "text")))["text"].alias("top"), date.alias("date"), blob.alias("blob"),

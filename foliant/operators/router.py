@@ -29,6 +29,9 @@ def features(docs: DataFrame) -> DataFrame:
         .withColumn("key_value_count", count(lambda x: x.rlike(vocab.KEY_VALUE)))
         .withColumn("checkbox_count", F.aggregate("lines", F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(vocab.CHECKBOX))))
         .withColumn("amount_line_count", count(lambda x: x.rlike(vocab.AMOUNT_LINE)))
+        .withColumns({f"hits_{k}": T.count_contained(F.col("blob"), getattr(vocab, f"{k.upper()}_HINTS")) for k in vocab.LABELS})
+        .withColumn("total_hint", T.contains_any(F.col("blob"), vocab.TOTAL_HINTS))
+        .withColumn("tax_hint", T.contains_any(F.col("blob"), vocab.TAX_HINTS))
     )
 
 
@@ -41,8 +44,8 @@ def item_tables(rows: Column) -> Column:
 def signals(form_fields: Column | None = None, receipt_items: Column | None = None) -> Column:
     """array<struct(label, signal, weight)> of a row with features(); a null signal is a silent adjustment."""
     c, blob = F.col, F.col("blob")
-    hits = {k: T.count_contained(blob, getattr(vocab, f"{k.upper()}_HINTS")) for k in vocab.LABELS}
-    total, tax = T.contains_any(blob, vocab.TOTAL_HINTS), T.contains_any(blob, vocab.TAX_HINTS)
+    hits = {k: c(f"hits_{k}") for k in vocab.LABELS}
+    total, tax = c("total_hint"), c("tax_hint")
     form_fields, receipt_items = F.coalesce(form_fields, F.lit(0)) if form_fields is not None else F.lit(0), F.coalesce(receipt_items, F.lit(0)) if receipt_items is not None else F.lit(0)
     numbered = lambda name, n: F.concat(F.lit(f"{name}:"), n.cast("string"))
     least = lambda most, x: F.least(F.lit(float(most)), x.cast("double"))
