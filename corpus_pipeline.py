@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontaminate, language, minhash, pii
 from foliant.llm.queries import tokenizer
-from foliant.llm.shared import materialize, table
+from foliant.llm.shared import bounded, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text or no letter) go."""
+    bounded(spark)
     return language.keep_identified(docs.select(COLUMNS), language.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the least doc_id stays."""
+    bounded(spark)
     return minhash.keep_first(docs.select(COLUMNS))
 
 
@@ -41,6 +43,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, decoded again: the digests of both."""
+    bounded(spark)
     return bpe.round_trip(docs, *tokenizer())
 
 
