@@ -29,7 +29,7 @@ from .shared import text_batches
 #: Bytes of a piece up to which it is merged in matrices.
 LONG_PIECE = 128
 #: Pieces kept per worker between batches; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 NONE = np.iinfo(np.uint32).max
 
 

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import give_back, text_batches
 
 ORDERS = (1, 2, 3, 4)
 DIM = 1 << 15
 #: Bytes per slice of one batch's concatenated text.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: How steep a margin (mean log odds per n-gram) enters the loss.
 STEEP = 4.0
 #: A share of the two best codewords' loss over which a row is ambiguous.
@@ -83,8 +83,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 def code_matrix(n: int) -> np.ndarray:
     """Codewords in rows: all splits for up to 7 languages, else 12 log2(n) random columns of the best of 64 draws."""
-    if n == 1:
-        return np.ones((1, 1))
+    if n <= 1:
+        return np.ones((n, 1))
     if n <= 7:
         others = np.array([c for c in itertools.product((1, -1), repeat=n - 1) if -1 in c]).T
         return np.vstack([np.ones(others.shape[1]), others])
@@ -159,7 +159,9 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
-            keep = [sent.value.predict(t)[0] != "und" for t in b.column(at).to_pylist()]
+            texts = b.column(at)
+            keep = [sent.value.predict(texts[i].as_py())[0] != "und" for i in range(len(texts))]
             yield b.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

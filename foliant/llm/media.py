@@ -32,7 +32,7 @@ from .shared import text_batches
 PAD, COLUMNS, ROWS, FPS = 64, 32, 32, 25
 CUT, FLOOR, WINDOW, BINS = 3.0, 0.25, 8, 16
 #: Bytes of text worked at once; the arrays for coding take some 150 bytes for each.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 # Fixed values of the JPEG standard: luminance DC code lengths (count of codes of 1 to 16 bits) and the zigzag order.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)

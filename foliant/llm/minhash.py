@@ -39,7 +39,7 @@ PERCENT = 85
 BUCKET_BITS = 18
 #: Values in a bucket of the histogram, beyond four times the mean, from which its lists are dealt in parts.
 HOT_VALUES, SALTS = 200_000, 64
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

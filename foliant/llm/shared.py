@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -37,8 +38,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch between Spark and Python: with long texts, Spark's 10,000 would hold gigabytes.
+BATCH_ROWS = 1_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read through Spark so that any file system works."""
+    """One of the input tables, read through Spark so that any file system works; see bounded()."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +60,16 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_batches(batches, most: int = 1 << 24):
+def give_back() -> None:
+    """Unused memory of the allocators goes back to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def text_batches(batches, most: int = 1 << 21):
     """Arrow batches of (doc_id, text) as pairs of lists, in slices that end with the text that passes `most` bytes."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -59,6 +81,8 @@ def text_batches(batches, most: int = 1 << 24):
                 start, size = i + 1, 0
         if start < len(ids):
             yield ids[start:], texts.slice(start).to_pylist()
+        del ids, texts, batch
+    give_back()
 
 
 #: Bits of the maps that tell tasks which ids or digests matter: of fixed size (8 MB), whatever the corpus.
