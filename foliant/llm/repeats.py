@@ -33,21 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _BASE, _power_tables, mix
-from .shared import materialize, text_batches
+from .shared import bitmap, give_back, in_bitmap, materialize, text_batches
 
 LENGTH, GRAM = 100, 24
-AT_ONCE = 1 << 20
-HOT_RUNS, BUCKET_BITS, MAP_BITS = 200_000, 18, 26
+AT_ONCE = 1 << 19
+HOT_RUNS, BUCKET_BITS = 200_000, 18
 #: Windows sorted at once in a bucket.
-WINDOWS_AT_ONCE = 1 << 19
+WINDOWS_AT_ONCE = 1 << 18
 
 _rng = np.random.default_rng(20240301)
 _BYTES = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-_DEPTHS = np.minimum(np.arange(-(-LENGTH // 8)) * 8, LENGTH - 8)
+#: Places of the tokens in the order that they are compared: equal anchors lie inside, so both ends come first.
+_DEPTHS = np.array(sorted({min(i * 8, LENGTH - 8) for i in range(-(-LENGTH // 8))}, key=lambda p: min(p, LENGTH - 8 - p)))
 
 
 class Slice:
-    """The runs of some documents, side by side: doc (its index), start, n (windows), off (place of the anchor), anchor, digest."""
+    """The runs of some documents, side by side: doc (its index), start, n (windows), off (place of the anchor), anchor."""
 
     def __init__(self, raw: list[bytes]):
         self.raw = raw
@@ -55,12 +56,13 @@ class Slice:
         self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         n = len(self.data)
         self.doc = self.start = self.n = self.off = np.zeros(0, dtype=np.int64)
-        self.anchor = self.digest = np.zeros(0, dtype=np.uint64)
+        self.anchor = np.zeros(0, dtype=np.uint64)
         if n < LENGTH:
             return
         self.power, self.inverse = _power_tables(n + 1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[self.data] * self.power[:n], dtype=np.uint64)]) for t in _BYTES]
-        grams = mix((self.sums[0][GRAM:] - self.sums[0][:-GRAM]) * self.inverse[: n - GRAM + 1])
+        self._sums: dict[int, np.ndarray] = {}
+        sums = self.sums(0)
+        grams = (sums[GRAM:] - sums[:-GRAM]) * self.inverse[: n - GRAM + 1]
         bits, width = n.bit_length(), LENGTH - GRAM + 1
         mask = np.uint64((1 << bits) - 1)
         keys = grams & ~mask | np.arange(len(grams), dtype=np.uint64)
@@ -81,11 +83,24 @@ class Slice:
         place = at[first]
         self.doc = np.searchsorted(self.edges, first, side="right") - 1
         self.first, self.start, self.n, self.off = first, first - self.edges[self.doc], stop - first, place - first
-        self.anchor = grams[place]
-        self.digest = mix(self.hash(1, first, stop - 1 + LENGTH) + (self.n * 128 + self.off).astype(np.uint64))
+        self.anchor = mix(grams[place])
+
+    def sums(self, table: int) -> np.ndarray:
+        """Running sums of the bytes' values at their powers, made when they are first asked for."""
+        if table not in self._sums:
+            n = len(self.data)
+            self._sums[table] = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTES[table][self.data] * self.power[:n], dtype=np.uint64, out=self._sums[table][1:])
+        return self._sums[table]
 
     def hash(self, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[table][b] - self.sums[table][a]) * self.inverse[a] + (b - a).astype(np.uint64) * np.uint64(_BASE))
+        sums = self.sums(table)
+        return mix((sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * np.uint64(_BASE))
+
+    def digest(self, at=slice(None)) -> np.ndarray:
+        """Digests of whole runs, with the place of their anchor."""
+        first, n = self.first[at], self.n[at]
+        return mix(self.hash(1, first, first + n - 1 + LENGTH) + (n * 128 + self.off[at]).astype(np.uint64))
 
 
 def _slices(batches):
@@ -141,7 +156,7 @@ def runs(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if not len(s.anchor):
                 continue
             doc = ids[s.doc]
-            digest = s.digest & ~np.uint64((1 << 14) - 1) | (s.n * 128 + s.off).astype(np.uint64)
+            digest = s.digest() & ~np.uint64((1 << 14) - 1) | (s.n * 128 + s.off).astype(np.uint64)
             order = np.lexsort((s.start, doc, digest, s.anchor))
             a, d = s.anchor[order], digest[order]
             first, later = _later(order, np.concatenate([[False], (a[1:] == a[:-1]) & (d[1:] == d[:-1])]), doc, s.start)
@@ -203,45 +218,22 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.when(F.col("kind") == GONE, F.xxhash64("doc", "start")).otherwise(F.col("key"))).mapInArrow(split, _RUNS)
 
 
-def anchor_map(several: DataFrame) -> bytes:
-    """A bitmap of 2^MAP_BITS bits in which the anchors of `several` are set: of fixed size, whatever the corpus."""
-
-    def run(batches):
-        found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        at = np.unique(_bucket(np.concatenate(found).view(np.uint64), MAP_BITS)) if found else np.zeros(0, np.int64)
-        part, cuts = at >> 15, np.flatnonzero(np.diff(at >> 15)) + 1
-        names = part[np.concatenate([[0], cuts])] if len(at) else []
-        bits = []
-        for p, own in zip(names, np.split(at, cuts) if len(at) else []):
-            page = np.zeros(1 << 15, dtype=np.uint8)
-            page[own & 0x7FFF] = 1
-            bits.append((int(p), np.packbits(page).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in bits], pa.int64()), pa.array([x for _, x in bits], pa.binary())], ["page", "bits"])
-
-    pages = several.select("key").coalesce(8).mapInArrow(run, "page long, bits binary").collect()
-    out = np.zeros((1 << MAP_BITS - 15, 1 << 12), dtype=np.uint8)
-    for p, x in pages:
-        out[p] |= np.frombuffer(x, dtype=np.uint8)
-    return out.tobytes()
-
-
 _STRETCH = "lead long, anchor long, n int, off int, doc long, start int, bytes binary"
 
 
-def stretches(docs: DataFrame, bitmap: bytes, counts: np.ndarray) -> DataFrame:
+def stretches(docs: DataFrame, named: bytes, counts: np.ndarray) -> DataFrame:
     """The bytes of the runs whose anchor is in the bitmap; of equal runs in a slice the first."""
-    sent = docs.sparkSession.sparkContext.broadcast((bitmap, np.flatnonzero(counts > HOT_RUNS)))
+    sent = docs.sparkSession.sparkContext.broadcast((named, np.flatnonzero(counts > HOT_RUNS)))
 
     def run(batches):
         bits, hot = np.frombuffer(sent.value[0], dtype=np.uint8), sent.value[1]
         for ids, s in _slices(batches):
-            at = _bucket(s.anchor, MAP_BITS)
-            pick = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & ~np.isin(_bucket(s.anchor, BUCKET_BITS), hot))
+            pick = np.flatnonzero(in_bitmap(bits, s.anchor) & ~np.isin(_bucket(s.anchor, BUCKET_BITS), hot)) if len(s.anchor) else []
             if not len(pick):
                 continue
-            doc = ids[s.doc[pick]]
-            order = np.lexsort((s.start[pick], doc, s.digest[pick], s.anchor[pick]))
-            a, d = s.anchor[pick][order], s.digest[pick][order]
+            doc, digest = ids[s.doc[pick]], s.digest(pick)
+            order = np.lexsort((s.start[pick], doc, digest, s.anchor[pick]))
+            a, d = s.anchor[pick][order], digest[order]
             first, later = _later(order, np.concatenate([[False], (a[1:] == a[:-1]) & (d[1:] == d[:-1])]), doc, s.start[pick])
             keep = pick[order[first | ~later]]
             whole = s.data.tobytes()
@@ -337,6 +329,7 @@ def compared(found: DataFrame) -> DataFrame:
                 i = j
         if held:
             yield from work(held)
+        give_back()
 
     return found.repartitionByRange("lead", "anchor").sortWithinPartitions("anchor").mapInArrow(run, _RUNS)
 
@@ -346,8 +339,9 @@ def spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = anchor_counts(docs)
     dealt = materialize(settled(runs(docs, counts)), "settled")
-    bitmap = anchor_map(dealt.filter(F.col("kind") == RUN))
-    more = compared(stretches(docs, bitmap, counts))
+    several = bitmap(dealt.filter(F.col("kind") == RUN).select("key"))
+    # a table, since range partitioning reads its input twice
+    more = compared(materialize(stretches(docs, several, counts), "stretches"))
     gone = dealt.filter(F.col("kind") == GONE).unionByName(more)
     return gone.select(F.col("doc").alias("doc_id"), F.col("start").alias("first"), (F.col("start") + F.col("key").cast("int") - 1 + LENGTH).alias("last"))
 
