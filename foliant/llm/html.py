@@ -23,6 +23,7 @@ import re
 from itertools import pairwise
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +144,25 @@ def line_hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode()), "little", signed=True)
 
 
+def _places(y: list[int]) -> tuple[dict[int, int], int]:
+    """The places of each line as bits, and all bits."""
+    places: dict[int, int] = {}
+    for j, h in enumerate(y):
+        places[h] = places.get(h, 0) | 1 << j
+    return places, (1 << len(y)) - 1
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and each prefix of y."""
+    places, row = _places(y)
+    full = row
+    for h in x:
+        u = row & places.get(h, 0)
+        row = (row + u | row - u) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def common_lines(own: list[int], other: list[int]) -> set[int]:
     """Places in own of a longest common subsequence of both (rows of a bit table, after equal ends are taken off)."""
     a, z = 0, 0
@@ -154,19 +174,13 @@ def common_lines(own: list[int], other: list[int]) -> set[int]:
     x, y = own[a : len(own) - z], other[a : len(other) - z]
     if not x or not y:
         return shared
-    if len(x) * len(y) > TABLE_BITS:
-        # too large for one table: lines that come once on both sides split the problem
-        once = lambda v: {h: i for i, h in enumerate(v) if v.count(h) == 1} if len(v) < 2000 else {h: i for h, i in ((h, i) for i, h in enumerate(v))}
-        there, best, last = once(y), [], -1
-        for i, h in enumerate(x):
-            if there.get(h, -1) > last:
-                last = there[h]
-                best.append(i)
-        return shared | {a + i for i in best}
-    places: dict[int, int] = {}
-    for j, h in enumerate(y):
-        places[h] = places.get(h, 0) | 1 << j
-    full = (1 << len(y)) - 1
+    if len(x) * len(y) > TABLE_BITS and len(x) > 1:
+        # Hirschberg: half of x against every prefix of y, the other half against every suffix; memory is one row
+        mid = len(x) // 2
+        split = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+        upper, lower = common_lines(x[:mid], y[:split]), common_lines(x[mid:], y[split:])
+        return shared | {a + i for i in upper} | {a + mid + i for i in lower}
+    places, full = _places(y)
     row, rows = full, [full]
     for h in x:
         u = row & places.get(h, 0)

@@ -183,3 +183,14 @@ def test_common_lines(a, b):
     own = [a[i] for i in sorted(html.common_lines(a, b))]
     rest = iter(b)
     assert all(x in rest for x in own) and len(own) == _lcs(a, b)
+
+
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_common_lines_by_halves(a, b):
+    kept, html.TABLE_BITS = html.TABLE_BITS, 3
+    try:
+        own = [a[i] for i in sorted(html.common_lines(a, b))]
+    finally:
+        html.TABLE_BITS = kept
+    rest = iter(b)
+    assert all(x in rest for x in own) and len(own) == _lcs(a, b)
