@@ -74,11 +74,11 @@ BANK_WORDS = ("bank statement", "account statement", "statement period", "transa
 # Routing.
 LABELS = ("invoice", "receipt", "form", "report", "id")
 PIPELINES = {
-    "invoice": ("ocr_inspector", "layout_reader", "table_to_csv", "receipt_invoice_extractor"),
-    "receipt": ("ocr_inspector", "layout_reader", "table_to_csv", "receipt_invoice_extractor"),
-    "form": ("ocr_inspector", "layout_reader", "table_to_csv", "form_to_json"),
-    "report": ("ocr_inspector", "layout_reader", "table_to_csv"),
-    "id": ("ocr_inspector", "layout_reader", "table_to_csv", "form_to_json"),
+    "invoice": ("recognition", "layout_reader", "table_to_csv", "receipt_invoice_extractor"),
+    "receipt": ("recognition", "layout_reader", "table_to_csv", "receipt_invoice_extractor"),
+    "form": ("recognition", "layout_reader", "table_to_csv", "form_to_json"),
+    "report": ("recognition", "layout_reader", "table_to_csv"),
+    "id": ("recognition", "layout_reader", "table_to_csv", "form_to_json"),
 }
 ITEM_HEADER_HINTS = ("item", "items", "description", "qty", "quantity", "price", "amount", "品名", "数量", "单价", "金额")
 TOTAL_HINTS = ("total", "grand total", "amount due", "合计", "总计", "应付")
