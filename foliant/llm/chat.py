@@ -31,10 +31,14 @@ BATCH_CHARS = 1 << 22
 
 
 def escape(text: str) -> str:
+    if "<" not in text and "[" not in text:
+        return text
     return _ADD.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + "\\" + g[1] + g[2], text)
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return _DROP.sub(lambda m: "".join(x for x in m.groups() if x is not None), text)
 
 
