@@ -97,26 +97,27 @@ def _places(values: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: DataFrame) -> bytes:
-    """A map of the values of a frame's only column (long). It may name others by chance, but misses none."""
+    """A map of the values of a frame's only column (long). It may name others by chance, but misses none.
 
-    def run(batches):
+    Bits are made distinct before and after a shuffle and gathered by page, so no task sees more than all bits.
+    """
+
+    def bits(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))], ["bit"])
+
+    def pages(batches):
         found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        if not found:
-            return
-        at = np.unique(_places(np.concatenate(found).astype(np.int64)))
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at >> 15) > 0]))
-        pages, bits = [], []
-        for own in np.split(at, first[1:]):
+        at = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        for own in np.split(at, np.flatnonzero(np.diff(at >> 15)) + 1) if len(at) else []:
             page = np.zeros(1 << 15, dtype=np.uint8)
             page[own & 0x7FFF] = 1
-            pages.append(int(own[0] >> 15))
-            bits.append(np.packbits(page).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(bits, pa.binary())], ["page", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(own[0] >> 15)], pa.int64()), pa.array([np.packbits(page).tobytes()], pa.binary())], ["page", "bits"])
 
     out = np.zeros((1 << MAP_BITS - 15, 1 << 12), dtype=np.uint8)
-    # few tasks, so that the driver gets few maps; each is of fixed size
-    for page, bits in values.coalesce(4).mapInArrow(run, "page long, bits binary").toLocalIterator():
-        out[page] |= np.frombuffer(bits, dtype=np.uint8)
+    by_page = values.mapInArrow(bits, "bit long").distinct().repartition(F.expr("bit div 32768")).mapInArrow(pages, "page long, bits binary")
+    for page, own in by_page.collect():  # 2048 rows of 4 kB at most
+        out[page] |= np.frombuffer(own, dtype=np.uint8)
     return out.tobytes()
 
 
