@@ -15,6 +15,8 @@ from foliant.llm.queries import tokenizer
 from foliant.llm.shared import bounded, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this many percent of their word shingles' union.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the least doc_id stays."""
     bounded(spark)
-    return minhash.keep_first(docs.select(COLUMNS))
+    return minhash.keep_first(docs.select(COLUMNS), NEAR_PERCENT)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

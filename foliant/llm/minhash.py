@@ -34,7 +34,7 @@ from .graph import components
 from .shared import bitmap, mapped_rows, materialize, text_batches
 
 SHINGLE, K, ERRORS = 5, 128, 5.5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; a query's or stage's contract names its own, this is op1's.
 PERCENT = 85
 BUCKET_BITS = 18
 #: Values in a bucket of the histogram, beyond four times the mean, from which its lists are dealt in parts.
@@ -100,9 +100,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def prefix(n: int) -> int:
+def prefix(n: int, percent: int) -> int:
     """How many values a set of n values retains: one of them is shared with any set over the threshold."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def value_counts(signed: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, named: bytes, counts: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, named: bytes, counts: np.ndarray, percent: int) -> DataFrame:
     """(value, salt, id, n, place): each document that the bitmap names under the values it retains, place 0 first."""
     sent = docs.sparkSession.sparkContext.broadcast((named, counts))
     hot = HOT_VALUES + 4 * int(counts.mean())
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, named: bytes, counts: np.ndarray) -> DataFrame:
                 n = len(values)
                 if n:
                     rank = rarity[_bucket(values)]
-                    order = np.lexsort((values, rank))[: prefix(n)]
+                    order = np.lexsort((values, rank))[: prefix(n, percent)]
                     salt = np.where(rank[order] > hot, 1 + key % SALTS, 0)
                     parts.append((values[order], salt, np.full(len(order), key), np.full(len(order), n), np.arange(len(order))))
             if parts:
@@ -176,10 +176,10 @@ def sets(docs: DataFrame, named: bytes, most: int | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n int, values array<long>")
 
 
-def _feasible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+def _feasible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
     """Whether sizes and places of a shared value leave room for the threshold."""
-    least = F.ceil(PERCENT * (na + nb) / (100 + PERCENT) - 1e-9)
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
+    least = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
 
 
 def _ends(pairs: DataFrame) -> bytes:
@@ -192,13 +192,13 @@ def _with_sets(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), a materialized table, those whose full sets reach the threshold."""
     both = _with_sets(pairs, sets(docs, _ends(pairs), K))
     both = both.withColumn("common", F.array_intersect("va", "vb")).withColumn("union", F.slice(F.array_sort(F.array_union("va", "vb")), 1, K))
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
-    exact = lambda inter: 100 * inter >= PERCENT * (F.col("na") + F.col("nb") - inter)
-    t, size = PERCENT / 100, F.size("union")
+    exact = lambda inter: 100 * inter >= percent * (F.col("na") + F.col("nb") - inter)
+    t, size = percent / 100, F.size("union")
     near = F.size(F.array_intersect("common", "union")) >= t * size - ERRORS * F.sqrt(size * (t * (1 - t)))
     judged = materialize(both.filter(F.when(whole, exact(F.size("common"))).otherwise(near)).select("a", "b", whole.alias("sure")), "estimated")
     open_ = judged.filter("not sure").select("a", "b")
@@ -213,46 +213,46 @@ def lists(listed: DataFrame) -> DataFrame:
     return dealt.join(lead.select("value", "salt", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place")), ["value", "salt"])
 
 
-def _pairs(rows: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str]) -> DataFrame:
+def _pairs(rows: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], percent: int) -> DataFrame:
     """Feasible pairs (a, b), a < b, of the columns x and y (id, n, place)."""
-    ok = (F.col(x[0]) != F.col(y[0])) & _feasible(F.col(x[1]), F.col(x[2]), F.col(y[1]), F.col(y[2]))
+    ok = (F.col(x[0]) != F.col(y[0])) & _feasible(F.col(x[1]), F.col(x[2]), F.col(y[1]), F.col(y[2]), percent)
     return rows.filter(ok).select(F.least(x[0], y[0]).alias("a"), F.greatest(x[0], y[0]).alias("b")).distinct()
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(digests of all rows, classes (h1, h2, id), components (id, component) of linked classes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(digests(docs), "digests")
     rows = signed.filter(F.col("kind") == SET).drop("kind")
     classes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
     # a document that the bitmap names by chance is one more node with its class's set, and is linked with it
-    shared = materialize(lists(postings(docs, bitmap(classes.select("id")), value_counts(signed))), "lists")
+    shared = materialize(lists(postings(docs, bitmap(classes.select("id")), value_counts(signed), percent)), "lists")
     own, lead = ("id", "n", "place"), ("lead", "lead_n", "lead_place")
     salted = shared.filter("salt > 0").select("value", *lead).distinct()
     top = salted.groupBy("value").agg(F.min(F.struct("lead_place", "lead", "lead_n")).alias("top")).select("value", F.col("top.lead").alias("top"), F.col("top.lead_n").alias("top_n"), F.col("top.lead_place").alias("top_place"))
-    tried = materialize(_pairs(shared, own, lead).union(_pairs(salted.join(top, "value"), lead, ("top", "top_n", "top_place"))).distinct(), "leader-pairs")
-    links = materialize(verified(tried, docs), "leader-links")
+    tried = materialize(_pairs(shared, own, lead, percent).union(_pairs(salted.join(top, "value"), lead, ("top", "top_n", "top_place"), percent)).distinct(), "leader-pairs")
+    links = materialize(verified(tried, docs, percent), "leader-links")
     tied = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     owned = shared.select("value", *own).join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")).repartition("value")
     several = owned.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
     split = materialize(owned.join(several, "value"), "split-lists")
     other = split.select("value", *[F.col(c).alias(f"{c}2") for c in (*own, "component")])
-    feasible = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _feasible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"))
+    feasible = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _feasible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
     crossing = split.join(other, "value").filter(feasible).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = verified(materialize(crossing.join(tried, ["a", "b"], "left_anti"), "crossing-pairs"), docs)
+    more = verified(materialize(crossing.join(tried, ["a", "b"], "left_anti"), "crossing-pairs"), docs, percent)
     return rows, classes, components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    rows, classes, tied = link(docs)
+    rows, classes, tied = link(docs, percent)
     named = rows.join(classes, ["h1", "h2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
     out = named.join(tied, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns as they are, that are the least doc_id of their component."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

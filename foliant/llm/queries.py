@@ -20,7 +20,7 @@ def tokenizer() -> tuple[bytes, str]:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, (_, c) in want.items() if c == k}
 
 
+def test_near_copies_stage_brute_force(spark):
+    texts = {}
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(60 + 40 * g)]
+        texts[2 * g] = " ".join(words)
+        texts[2 * g + 1] = " ".join(words[: len(words) - (len(words) - 4) * (12 + g) // 100])
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    like = [len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(12)]
+    assert sum(0.8 <= x < 0.85 for x in like) >= 3 and any(x < 0.8 for x in like)
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda df: {r.doc_id for r in df.collect()}
+    want = lambda least: {2 * g for g in range(12)} | {2 * g + 1 for g in range(12) if like[g] < least}
+    assert kept(corpus_pipeline.drop_near_copies(spark, docs, "")) == want(0.8)
+    assert kept(minhash.keep_first(docs)) == want(0.85)
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are here now"), (2, "other words are here now")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(docs).collect())
