@@ -15,7 +15,9 @@ or none, go as a map to all tasks if they are LATER_MAP at most, and are else jo
 
 Defined results: null text stays null and empty text empty; texts without entities are unchanged, byte for byte;
 repeated rows get equal results; a null doc_id is kept; an empty table gives no rows; in replace() all other columns
-stay as they are, whatever their names. Texts are worked whole; the pattern has bounded repeats only.
+stay as they are, whatever their names. Texts are worked whole; repeats in the pattern are
+bounded or, in secrets of any length, possessive over one class of signs. Of compressed IPv6 addresses those of the
+reserved block 0000::/8 stay (::, ::1, 1::2, which are slices in code), but not IPv4 in IPv6.
 """
 
 from __future__ import annotations
@@ -46,10 +48,15 @@ MALE_END, FEMALE_END, OTHER_END = {"latin": "n", "cyrillic": "н", "greek": "ν"
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
 _either = lambda xs: "(?:" + "|".join(sorted(xs, key=lambda x: (-len(x), x))) + ")"
 _NAME = r"\p{Lu}[\p{L}'’]{1,40}(?:-\p{Lu}\p{L}{1,40})?"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_QUAD = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# IPv6 with '::': a first group of three or four digits, one decimal digit or an allocated first group, at most seven groups.
+_SHORT_V6 = rf"(?<![\w:.])(?=[0-9A-Fa-f]{{3,4}}:)(?=[A-Fa-f:]*\d|[Ff][C-Fc-f])(?!(?:[0-9A-Fa-f]{{0,4}}:){{8}}[0-9A-Fa-f:])(?:{_HEX}:){{1,7}}(?::(?:{_HEX}:){{0,5}}(?:{_QUAD}(?!\.?\d)|{_HEX})|:)(?![\w:])"
+_V4_IN_V6 = rf"(?<![\w:.])(?:::(?:[Ff]{{4}}:(?:0{{1,4}}:)?)?|64:[Ff]{{2}}9[Bb]::|(?:{_HEX}:){{6}}){_QUAD}(?!\.?\d)"
 PATTERNS = {
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/.\-]{8,200}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/.\-]{8,}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])" + f"|{_SHORT_V6}|{_V4_IN_V6}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -89,9 +96,24 @@ def _body(found: Column, kind: Column) -> Column:
     return F.when(kind == "secret", F.regexp_replace(found, _GROUPS["secret"], "")).when(kind == "person", F.regexp_replace(found, rf"^{_either(_TITLES)}\.? ", "")).otherwise(found)
 
 
+def _v6(body: Column) -> Column:
+    """An IPv6 address as eight groups of four digits in lower case."""
+    quad = lambda i: F.regexp_extract(body, r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).cast("int")
+    two = lambda i: F.hex(quad(i) * 256 + quad(i + 1))
+    plain = F.lower(F.when(body.contains("."), F.concat(F.regexp_replace(body, r"[\d.]+$", ""), two(1), F.lit(":"), two(3))).otherwise(body))
+
+    def whole(b):
+        groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+        head, tail = groups(F.substring_index(b, "::", 1)), F.when(b.contains("::"), groups(F.substring_index(b, "::", -1))).otherwise(F.array().cast("array<string>"))
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
+        return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), ":")
+
+    return _let(plain, whole)
+
+
 def _canon(body: Column, kind: Column) -> Column:
     digits = F.regexp_replace(body, r"\D", "")
-    return F.when((kind == "phone") & body.startswith("+1"), F.substring(digits, F.lit(2), F.length(digits))).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(body, " ", "")).otherwise(F.lower(body))
+    return F.when((kind == "phone") & body.startswith("+1"), F.substring(digits, F.lit(2), F.length(digits))).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(body, " ", "")).when((kind == "ip") & body.contains(":"), _v6(body)).otherwise(F.lower(body))
 
 
 def _gender(title: Column, given: Column) -> Column:
@@ -132,14 +154,23 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _fresh(c: Column, b: Column) -> Column:
+    """A sign of the class of c (digit, capital, other letter) that the byte b picks."""
+    pick = lambda chars: F.substring(F.lit(chars), b % len(chars) + 1, F.lit(1))
+    return F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(pick("abcdefghijklmnopqrstuvwxyz"))
+
+
+def _fill_secret(body: Column, stream: Column) -> Column:
+    """_fill for bodies of any length: by place, so time is linear."""
+    return F.array_join(F.transform(F.split(body, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), _fresh(c, _byte(stream, i))).otherwise(c)), "")
+
+
 def _fill(body: Column, stream: Column, keep: Column) -> Column:
     """Letters and digits drawn anew, all else as it is; the first `keep` letters and digits stay."""
-    pick = lambda chars, b: F.substring(F.lit(chars), b % len(chars) + 1, F.lit(1))
     is_real = lambda c: c.rlike(r"[\p{L}\p{N}]")
 
     def step(acc, c):
-        b = _byte(stream, acc["i"])
-        fresh = F.when(c.rlike("[0-9]"), pick("0123456789", b)).when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", b))
+        fresh = _fresh(c, _byte(stream, acc["i"]))
         return F.struct(F.concat(acc["out"], F.when(is_real(c) & (acc["i"] >= keep), fresh).otherwise(c)).alias("out"), (acc["i"] + is_real(c).cast("int")).alias("i"))
 
     return F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
@@ -147,7 +178,7 @@ def _fill(body: Column, stream: Column, keep: Column) -> Column:
 
 def _hex(body: Column, stream: Column) -> Column:
     """Hexadecimal digits drawn anew in the body's case."""
-    drawn = F.substring(stream, F.lit(1), F.length(body))
+    drawn = F.substring(F.repeat(stream, F.ceil(F.length(body) / 192).cast("int")), F.lit(1), F.length(body))
     return F.when(body.rlike("[A-F]"), F.upper(drawn)).otherwise(drawn)
 
 
@@ -259,7 +290,8 @@ def surrogate(kind: Column, body: Column, canon: Column, attempt: Column, key: s
             .when(kind == "phone", _number(body, canon, F.when(body.startswith("+1"), 0).otherwise(country), key, kind, attempt))
             .when(kind == "ssn", _number(body, canon, F.lit(0), key, kind, attempt))
             .when(kind == "iban", _fill(body, stream, F.lit(2)))
-            .when((kind == "secret") & body.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), _hex(body, stream))
+            .when((kind == "secret") & body.rlike("^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$"), _hex(body, stream))
+            .when(kind == "secret", _fill_secret(body, stream))
             .otherwise(_fill(body, stream, F.lit(0)))
         )
 

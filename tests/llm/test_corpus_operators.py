@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -177,6 +178,26 @@ def test_surrogates(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_long_secrets_and_short_addresses(spark):
+    rng = random.Random(3)
+    sign = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bodies = [sign(word + "_-", 1000), sign("0123456789abcdef", 1000), sign("0123456789ABCDEF", 129), "sk-" + sign(word, 400), "sk-" + sign(word + "_-", 400) + "x", sign(word, 300_000)]
+    texts = [f'token = "{bodies[0]}" end', f"key {bodies[1]} end", f"key {bodies[2]} end", f"key {bodies[3]} end", f"key {bodies[4]} end", f'secret: "{bodies[5]}" end']
+    v6 = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8::", "2001:DB8:0:0:1::1", "fd00::", "1:2:3:4:5:6:7:8", "::ffff:192.0.2.128", "64:ff9b::192.0.2.33", "2001:db8::192.0.2.7"]
+    texts += [f"from {a}, port" for a in v6] + ["2001:db8::1 2001:0DB8:0:0:0:0:0:1 2001:db8:0::1"]
+    clean = ["x[::2] y[1::2] std::add face::add at 12:30:45, a::b", "12:34:56:78::90 is ::1", "2001:db8:1:2:3:4:5:6::7"]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = [r.text for r in pii.replace(docs).orderBy("doc_id").collect()]
+    for body, text, new in zip(bodies, texts, got):
+        assert len(new) == len(text) and new != text and new.endswith(("end",))
+        old = {body[i : i + 12] for i in range(len(body) - 11)}
+        assert not any(new[i : i + 12] in old for i in range(len(new) - 11))
+    for a, new in zip(v6, got[len(bodies) :]):
+        assert re.fullmatch(r"from fd[0-9a-f]{2}(:[0-9a-f]{4}){7}, port", new), (a, new)
+    assert len(set(got[len(texts) - 1].split())) == 1 and got[len(texts) :] == clean
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     texts = [(i, f"Mr. S{chr(97 + i % 26)}{chr(97 + i // 26)}x called +1 (017) 555-{i:04d} from 10.0.{i // 256}.{i % 256}") for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
