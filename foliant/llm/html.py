@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from itertools import pairwise
 from urllib.parse import urlsplit
 
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-# Elements that hold no page text, boilerplate elements, main elements, elements that end a block, and
-# words of class and id that mark boilerplate.
-RAW = ["script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "button", "title", "option", "datalist"]
+# Elements that reach to their end tag or the page's end, elements without page text that end with their
+# parent, boilerplate elements, main elements, elements that end a block, and words
+# of class and id that mark boilerplate.
+READ_ON = ["script", "style", "noscript", "iframe", "textarea", "title"]
+MUTE = {"template", "svg", "object", "canvas", "audio", "video", "select", "button", "option", "datalist"}
 BOILER = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "status", "toolbar"}
 MAIN = {"article", "main"}
@@ -47,19 +50,29 @@ TABLE_BITS = 1 << 29
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for n in READ_ON}
+#: Elements that a start tag ends where they are still open, and the elements that it doesn't look beyond.
+_ITEM, _CELL = {"ul", "ol", "menu"}, {"table"}
+_ENDS = {"li": ({"li"}, _ITEM), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, _CELL), "th": ({"td", "th"}, _CELL), "tr": ({"tr"}, _CELL), "option": ({"option"}, {"select", "datalist"} | BLOCK), "button": ({"button"}, BLOCK)}
+#: Elements beyond which an end tag doesn't look.
+_SCOPE = {"li": _ITEM, "dt": {"dl"}, "dd": {"dl"}, "td": _CELL, "th": _CELL, "tr": _CELL, "p": BLOCK - {"p"}}
+#: Start tags of text inside <svg> or <math>, which end it.
+_BREAKOUT = (BLOCK | {"b", "big", "code", "em", "i", "img", "s", "small", "span", "strong", "strike", "sub", "sup", "tt", "u"}) - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+_FOREIGN, _INSIDE = {"svg", "math"}, {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 
 
 def _region(name: str, attrs: str, around: str) -> str:
     """The region that an element opens inside region `around`."""
-    if around == "boiler":
+    if around in ("boiler", "mute"):
         return around
+    if name in MUTE:
+        return "mute"
     role = ""
     if attrs:
         for key, *values in _ATTR.findall(attrs):
@@ -77,8 +90,10 @@ def _region(name: str, attrs: str, around: str) -> str:
 
 def blocks(page: str) -> list[tuple[str, str, float]]:
     """(region, text, share of link text) of each block in page order; references decoded, white space made single."""
-    out, parts, linked, region, at = [], [], 0, "open", 0
-    stack: list[tuple[str, str]] = []
+    out, parts, linked, at = [], [], 0, 0
+    region = shown = "open"  # shown: the region of the parts at hand, which a mute element leaves as it is
+    stack: list[tuple[str, str, bool]] = []  # open elements: name, region around, whether it opened another
+    opened: Counter[str] = Counter()
     anchors = 0
 
     def close():
@@ -86,45 +101,92 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((region, text, min(1.0, linked / max(1, len(text)))))
+                out.append((shown, text, min(1.0, linked / max(1, len(text)))))
         parts, linked = [], 0
 
     def keep(piece):
         nonlocal linked
-        if piece:
+        if piece and region != "mute":
             parts.append(piece)
             linked += len(piece) if anchors else 0
 
-    for m in _TOKEN.finditer(page):
+    def enter(new):
+        nonlocal region, shown
+        if new not in ("mute", shown):
+            close()
+            shown = new
+        region = new
+
+    def end(k):
+        """Ends the element at place k of the stack and all inside it."""
+        enter(stack[k][1])
+        opened.subtract(n for n, _, _ in stack[k:])
+        del stack[k:]
+
+    def end_tag(name):
+        stops, inline, crossed = _SCOPE.get(name, ()), name not in BLOCK and name not in MUTE, False
+        for k in range(len(stack) - 1, -1, -1):
+            n, _, changed = stack[k]
+            if n == name:
+                if changed or not (inline and crossed):
+                    end(k)
+                return
+            if n in stops:
+                return
+            crossed = crossed or n in BLOCK
+
+    def implied_ends(name):
+        """Ends what a start tag ends without an end tag."""
+        if (opened["svg"] or opened["math"]) and name in _BREAKOUT:
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _FOREIGN | _INSIDE)
+            if stack[k][0] in _FOREIGN:
+                end(k)
+        if opened["p"] and name in BLOCK:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    end(k)
+                    break
+                if stack[k][0] in BLOCK or stack[k][0] in MUTE:
+                    break
+        ended, stops = _ENDS.get(name, ((), ()))
+        if any(opened[n] for n in ended):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ended:
+                    end(k)
+                    break
+                if stack[k][0] in stops:
+                    break
+
+    while m := _TOKEN.search(page, at):
         keep(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
         ends, is_block = bool(m["end"] or m["end2"]), name in BLOCK
-        if name == "a":
-            anchors = max(0, anchors + (-1 if ends else 1))
-        if is_block:
+        if is_block and region != "mute":
             close()
-            if name in ("p", "li", "div", "td"):
-                anchors = 0
-        if name in VOID:
+        if not ends and name not in VOID:
+            implied_ends(name)
+        elif ends and opened[name]:
+            end_tag(name)
+        if region != "mute":
+            if name == "a":
+                anchors = max(0, anchors + (-1 if ends else 1))
+            if is_block:
+                close()
+                if name in ("p", "li", "div", "td"):
+                    anchors = 0
+        if ends or name in VOID or m[0].endswith("/>") and (name in _FOREIGN or opened["svg"] or opened["math"]):
             continue
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if not is_block and stack[k][1] != region:
-                        close()
-                    region = stack[k][1]
-                    del stack[k:]
-                    break
-        else:
-            inner = _region(name, m["attrs"] or "", region)
-            if inner != region or is_block and name not in ("p", "li", "td", "tr", "th", "dt", "dd"):
-                if inner != region and not is_block:
-                    close()
-                stack.append((name, region))
-                region = inner
+        if name in _RAW_END:
+            over = _RAW_END[name].search(page, at)
+            at = over.end() if over else len(page)
+            continue
+        inner = _region(name, m["attrs"] or "", region)
+        stack.append((name, region, inner != region))
+        opened[name] += 1
+        enter(inner)
     keep(page[at:])
     close()
     return out

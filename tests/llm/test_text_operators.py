@@ -160,6 +160,16 @@ def test_html_structure(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p>a</p><svg class="i"/><p>rest</p>', "a rest"), ("<article><p>a <svg><path d=x><g><p>rest</p></article>", "a rest"), ("<article><p>a<svg><style/><title>t</title><path/></svg>b</p><p>c</p>", "ab c"),
+    ("<article><p>a<button>x</p><p>rest</p>", "a rest"), ("<article><ul><li>a<select><option>x<option>y<li>b</ul><p>rest</p>", "a b rest"), ("<article><div><button>x</div><p>rest</p>", "rest"), ("<article><p><a href=x><svg></a>rest</p>", "rest"),
+    ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b"), ("<article><p>a<math/>b</p>", "ab"), ("<article><table><tr><td>a<object><td>b<tr><td>c</table>", "a b c"), ("<article>a<canvas>no</canvas>b<video><p>no</p></video>c", "abc"),
+    ("<article>a<script>x</article>y", "a"), ("<article><p>a<b>b<p>c</b> d</p><p>e</p>", "ab c d e"), ("<article><button><div>no</div></button><p>in</p></article><p>out</p>", "in"), ("<b><article>x</b> y</article>", "x y"),
+])
+def test_html_muted_elements(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_differencing(spark):
     rows = [(i, f"http://h{i % 3}.org/a/{i:03d}", f"<body><div>Site menu</div><p>Story {i}</p><p>Body {i * 7}</p><div>Foot note</div>") for i in range(40)]
     rows += [(90, "http://solo/x", "<p>Only</p><p><a href=x>all link</a></p>"), (91, None, None), (92, "http://h1.org/a/001", ""), (93, "http://[bad", "<p>x</p>"), (None, "http://h1.org/b", "<article>kept</article>")]
