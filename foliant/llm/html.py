@@ -3,8 +3,9 @@
 A page is read into blocks, each with a region: 'main' (inside article, main or an element with such a role), 'boiler'
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) or 'open'.
 Where a page has main blocks, they are its text. Structure says nothing of open blocks on pages without main blocks:
-those pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path shares
-the longer prefix, their open lines are aligned by longest common subsequence, and shared lines are deleted, as are
+of each host's distinct lists of open lines a representative is sorted by host and URL path, each is paired with the
+neighbour of the same host whose path shares the longer prefix (so never with a copy), its result goes to all pages
+with that list, their open lines are aligned by longest common subsequence, and shared lines are deleted, as are
 blocks that are mostly links. Lines inside a page's main element are never deleted for being shared, since copies of
 an article on two pages would lose their text.
 
@@ -12,8 +13,7 @@ Pages are sorted by range partitions with sampled bounds; a host may span many,
 through a table of two rows a partition. Only hashes of lines are sorted; pages join their neighbour's hashes.
 
 Defined results: null or empty html gives empty text; null url has no host and is paired with none; a page without
-neighbour keeps its open blocks; repeated pages are paired with each other and so lose what both share, except main
-blocks; unclosed and cut tags are read as far as they go; an empty table gives no rows; other columns are not read.
+a neighbour whose lines differ keeps its open blocks; copies (same lines) of a host get equal text; unclosed and cut tags are read as far as they go; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -270,8 +270,14 @@ def main_text(page: str | None, other: list[int] | None = None) -> str:
     return " ".join(t for i, (t, s) in enumerate(lines) if i not in shared and s <= LINK_SHARE)
 
 
+def list_digest(lines: list[int]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(np.array(lines, dtype=np.int64).tobytes())
+
+
 def undecided(pages: DataFrame) -> DataFrame:
-    """(k, page_id, host, path, lines) of the pages that need a neighbour: no main block, but open ones, and a host."""
+    """(k, page_id, host, path, lines, digest of lines) of the pages that need a neighbour: no main block, but open ones, and a host."""
 
     def run(batches):
         for b in batches:
@@ -281,11 +287,11 @@ def undecided(pages: DataFrame) -> DataFrame:
                 host, path = host_and_path(url)
                 if host and not any(r == "main" for r, _, _ in found):
                     if lines := [line_hash(t) for r, t, _ in found if r == "open"]:
-                        out.append((k, page_id, host, path, lines))
+                        out.append((k, page_id, host, path, lines, list_digest(lines)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())))], names=["k", "page_id", "host", "path", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()))], names=["k", "page_id", "host", "path", "lines", "digest"])
 
-    return pages.select(_key(), F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "k long, page_id long, host string, path string, lines array<long>")
+    return pages.select(_key(), F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "k long, page_id long, host string, path string, lines array<long>, digest binary")
 
 
 def _key():
@@ -322,14 +328,17 @@ def _paired(batches, with_edges: bool):
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(k, page_id, other: the lines of the nearest page by URL) for each page of undecided() that shares its host."""
+    """(k, other: the lines of the nearest page by URL whose lines differ) for each page of undecided() with such a page on its host."""
+    first = F.min_by(F.struct("k", "page_id", "path", "lines"), F.struct("path", "page_id", "k")).alias("first")
+    single = materialize(keys.groupBy("host", "digest").agg(first).select("host", "digest", "first.*"), "distinct-pages")
     order, columns = ["host", "path", "page_id", "k"], ["k", "page_id", "host", "path", "lines"]
-    found = materialize(keys.select(columns).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _paired(b, True), _PAIR), "page-pairs")
+    found = materialize(single.select(columns).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _paired(b, True), _PAIR), "page-pairs")
     # two rows a partition: the last of one is paired with the first of the next
     edges = found.filter("kind != 'pair'").select(*columns, "kind").coalesce(1).sortWithinPartitions(*order, "kind").mapInArrow(lambda b: _paired(b, False), _PAIR)
     inner = found.filter("kind = 'pair'")
     best = inner.unionByName(edges).groupBy("k", "page_id").agg(F.max(F.struct("near", "lines")).alias("best"))
-    return best.select("k", "page_id", F.col("best.lines").alias("other"))
+    of_list = single.select("k", "host", "digest").join(best.select("k", F.col("best.lines").alias("other")), "k").drop("k")
+    return keys.select("k", "host", "digest").dropDuplicates(["k"]).join(of_list, ["host", "digest"]).select("k", "other")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -345,6 +354,5 @@ def extract(pages: DataFrame) -> DataFrame:
     if keys.isEmpty():
         rows = rows.withColumn("other", F.lit(None).cast("array<long>"))
     else:
-        other = neighbours(keys).withColumnRenamed("page_id", "_page")
-        rows = rows.withColumn("k", _key()).join(other, ["k"], "left").select("page_id", "url", "html", "other")
+        rows = rows.withColumn("k", _key()).join(neighbours(keys), ["k"], "left").select("page_id", "url", "html", "other")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

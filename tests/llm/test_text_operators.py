@@ -180,6 +180,16 @@ def test_html_differencing(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_keep_their_text(spark):
+    page = lambda body: f"<div>Site menu</div><p>{body}</p><div>Foot note</div>"
+    rows = [(i, f"http://a.org/x/1?ref={i}", page("Copied story")) for i in range(5)] + [(0, "http://a.org/x/1?ref=0", page("Copied story"))]
+    rows += [(10, "http://a.org/x/2", page("Other story")), (11, "http://a.org/y", page("Copied story"))]
+    rows += [(20 + i, f"http://b.org/{i}", page("All are copies")) for i in range(3)]
+    got = [(r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()]
+    whole = "Site menu All are copies Foot note"
+    assert sorted(got) == sorted([(i, "Copied story") for i in (0, 0, 1, 2, 3, 4, 11)] + [(10, "Other story")] + [(20 + i, whole) for i in range(3)])
+
+
 def _lcs(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
