@@ -2,7 +2,7 @@
 
 A page is read into blocks, each with a region: 'main' (inside article, main or an element with such a role), 'boiler'
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) or 'open'.
-Where a page has main blocks, they are its text. Structure says nothing of open blocks on pages without main blocks:
+Main blocks are text. Structure says nothing of open blocks, be there main blocks beside them or not:
 of each host's distinct lists of open lines a representative is sorted by host and URL path, each is paired with the
 neighbour of the same host whose path shares the longer prefix (so never with a copy), its result goes to all pages
 with that list, their open lines are aligned by longest common subsequence, and shared lines are deleted, as are
@@ -261,13 +261,13 @@ def common_lines(own: list[int], other: list[int]) -> set[int]:
 
 
 def main_text(page: str | None, other: list[int] | None = None) -> str:
-    """A page's text; other: hashes of the open lines of its neighbour."""
+    """A page's text; other: hashes of the open lines of its neighbour, empty if it has none; None: by structure alone."""
     found = blocks(page or "")
-    if any(r == "main" for r, _, _ in found):
+    if other is None and any(r == "main" for r, _, _ in found):
         return " ".join(t for r, t, _ in found if r == "main")
-    lines = [(t, s) for r, t, s in found if r == "open"]
-    shared = common_lines([line_hash(t) for t, _ in lines], other) if other else set()
-    return " ".join(t for i, (t, s) in enumerate(lines) if i not in shared and s <= LINK_SHARE)
+    places = [i for i, (r, _, _) in enumerate(found) if r == "open"]
+    shared = {places[i] for i in common_lines([line_hash(found[i][1]) for i in places], other)} if other else set()
+    return " ".join(t for i, (r, t, s) in enumerate(found) if r == "main" or r == "open" and i not in shared and s <= LINK_SHARE)
 
 
 def list_digest(lines: list[int]) -> bytes:
@@ -277,7 +277,7 @@ def list_digest(lines: list[int]) -> bytes:
 
 
 def undecided(pages: DataFrame) -> DataFrame:
-    """(k, page_id, host, path, lines, digest of lines) of the pages that need a neighbour: no main block, but open ones, and a host."""
+    """(k, page_id, host, path, lines, digest of lines) of the pages that need a neighbour: with open blocks and a host."""
 
     def run(batches):
         for b in batches:
@@ -285,9 +285,8 @@ def undecided(pages: DataFrame) -> DataFrame:
             for k, page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(4))):
                 found = blocks(page or "")
                 host, path = host_and_path(url)
-                if host and not any(r == "main" for r, _, _ in found):
-                    if lines := [line_hash(t) for r, t, _ in found if r == "open"]:
-                        out.append((k, page_id, host, path, lines, list_digest(lines)))
+                if host and (lines := [line_hash(t) for r, t, _ in found if r == "open"]):
+                    out.append((k, page_id, host, path, lines, list_digest(lines)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()))], names=["k", "page_id", "host", "path", "lines", "digest"])
 
@@ -346,7 +345,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [main_text(h, o) for h, o in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [main_text(h, o or []) for h, o in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     keys = materialize(undecided(pages), "undecided-pages")

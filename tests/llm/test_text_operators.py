@@ -190,6 +190,13 @@ def test_html_copies_keep_their_text(spark):
     assert sorted(got) == sorted([(i, "Copied story") for i in (0, 0, 1, 2, 3, 4, 11)] + [(10, "Other story")] + [(20 + i, whole) for i in range(3)])
 
 
+def test_html_open_blocks_beside_articles(spark):
+    page = lambda i: f"<div>Site menu</div><p>Body {i}</p><article class='card'><p>Teaser</p></article><p>End {i}</p><div>Foot note</div>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(6)] + [(9, "http://solo.org/", "<p>Own</p><article>Card</article>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Body {i} Teaser End {i}" for i in range(6)} | {9: "Own Card"}
+
+
 def _lcs(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
