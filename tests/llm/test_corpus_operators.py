@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -75,6 +76,12 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, (_, c) in want.items() if c == k}
 
 
+def test_estimate_keeps_pairs_at_the_threshold():
+    for t in (0.80, 0.85):
+        least = math.ceil(t * minhash.K - minhash.ERRORS * math.sqrt(minhash.K * t * (1 - t)))
+        assert sum(math.comb(minhash.K, i) * t**i * (1 - t) ** (minhash.K - i) for i in range(least)) < 1e-8
+
+
 def test_near_copies_stage_brute_force(spark):
     texts = {}
     for g in range(12):
