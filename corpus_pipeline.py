@@ -20,7 +20,7 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go."""
+    """Documents without a language (no text or no letter) go; beyond that the model decides no row of this stage."""
     bounded(spark)
     return language.keep_identified(docs.select(COLUMNS), language.fit(docs))
 

@@ -153,7 +153,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is identified: those that get 'und' go."""
+    """The rows of docs, all columns as they are, whose language is identified: those that get 'und' go.
+
+    With any labelled row these are the texts that are null or have no letter, so codewords, decoding and ambiguity
+    decide no row here: ambiguous texts and those in languages without labelled rows stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
