@@ -19,11 +19,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Where the setting is absent, as in local tests, a temporary folder is made once and removed at exit.
+    Where the setting is absent and the master is local, as in tests, a temporary folder is made once and removed at
+    exit. On a cluster a folder of the driver's machine would lose what executors write, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="foliant-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -34,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +88,18 @@ def text_batches(batches, most: int = 1 << 21):
     give_back()
 
 
+#: Bytes of a table up to which it is broadcast; its rows and strings are counted first.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialized table, marked for broadcast where its size allows it: 32 bytes a column and the strings' bytes."""
+    strings = [F.octet_length(F.col(f.name).cast("string")) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    wide = sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(32 * len(df.columns)))
+    size = df.agg(F.sum(wide.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 #: Bits of the maps that tell tasks which ids or digests matter: of fixed size (8 MB), whatever the corpus.
 MAP_BITS = 26
 

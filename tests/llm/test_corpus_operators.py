@@ -6,9 +6,13 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -131,13 +135,47 @@ def test_repeats_brute_force(spark, sf, monkeypatch):
     rows += [(5000, "a" * 500), (5001, "ab" * 200), (5002, None), (5003, ""), (5004, "x" * 99), (5005, "x" * 100), (5006, "x" * 100), (None, "a" * 500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
     want = _without_repeats(rows)
-    for hot in (repeats.HOT_RUNS, 3):
+    for hot, piece in ((repeats.HOT_RUNS, repeats.AT_ONCE), (3, 1000), (repeats.HOT_RUNS, 150)):
         monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+        monkeypatch.setattr(repeats, "AT_ONCE", piece)
         got = repeats.remove(docs).filter("doc_id is not null").collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+        ways = {r.way for r in repeats.spans(docs).select("way").distinct().collect()}
+        assert ways == ({"runs", "windows", "hot"} if hot == 3 else {"runs", "windows"})
     assert repeats.remove(docs).count() == len(rows) and repeats.remove(docs.limit(0)).count() == 0
 
 
+def test_repeats_across_boundaries(spark):
+    """One passage in all documents: its equal suffixes lie in many buckets, and only the first place stays."""
+    passage = "".join(chr(97 + (i * i * 11 + 3 * i) % 26) for i in range(260))
+    rows = [(i, f"{passage} {i}") for i in range(300)] + [(7, f"{passage} 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.n_removed for r in repeats.remove(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = _without_repeats(list(dict(rows).items()))
+    assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_bucket_edges():
+    """The last suffix of a bucket against the first of the next, over whole buckets of one suffix."""
+    end = lambda key, digest, doc, n: SimpleNamespace(key=key, digest=digest, doc=doc, start=0, n=n)
+    edges = [(0, end(1, 5 << 7, 1, 1), end(2, 6 << 7, 3, 4)), (1, end(2, 6 << 7, 3, 9), end(2, 6 << 7, 3, 9)), (2, end(2, 6 << 7, 4, 2), end(2, 7 << 7, 1, 2)), (5, end(2, 8 << 7, 1, 1), end(9, 8, 1, 1))]
+    assert repeats.across(edges, False, 10) == [(repeats.HOT, 2, 0, 0, 0), (repeats.GONE, 6, 0, 4, 0), (repeats.HOT, 2, 0, 0, 0), (repeats.SEVERAL, 2, 0, 0, 0), (repeats.HOT, 2, 0, 0, 0)]
+    assert repeats.across([], False, 10) == [] and [x[0] for x in repeats.across(edges, True, 1)] == [repeats.GONE]
+
+
+@given(st.lists(st.integers(0, 5), min_size=4, max_size=40), st.integers(1, 4))
+def test_least_places(values, width):
+    x = np.array(values, dtype=np.uint64)
+    assert repeats._least(x, width).tolist() == [i + values[i : i + width].index(min(values[i : i + width])) for i in range(len(values) - width + 1)]
+
+
 def test_sharding(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("part", F.lit("clash"))
     docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None, "x")], docs.schema))
