@@ -36,9 +36,16 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[s + 1:s + n], ' ') AS w FR
 dw AS (SELECT doc_id, s, n, array_to_string(ws[s + 1:s + n], ' ') AS w FROM (SELECT doc_id, ws, n, unnest(range(0, greatest(0, len(ws) - n + 1))) AS s FROM d, (SELECT DISTINCT n FROM i))),
 h AS (SELECT doc_id, s, n, item_id FROM dw JOIN iw USING (n, w)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
-own AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS digest FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
+own AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS digest FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id),
+tok AS (SELECT doc_id, ws[p] AS term, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+cnt AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+rare AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), encode(term)) AS r FROM (SELECT DISTINCT item_id, unnest(ws) AS term FROM t) LEFT JOIN cnt USING (term)) WHERE r <= 4),
+need AS (SELECT item_id, count(*) AS need FROM rare GROUP BY item_id),
+occ AS (SELECT doc_id, item_id, p, term FROM tok JOIN rare USING (term)),
+closeby AS (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.term) AS got FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p - 19 AND a.p GROUP BY 1, 2, 3),
+nearby AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM closeby JOIN need USING (item_id) WHERE got >= need GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN nearby USING (doc_id)"""
 
 _MARKS = "|".join("".join(f"\\{c}" if not c.isalnum() and c not in "_ " else c for c in mark) for mark in sorted(CONTROL, key=len, reverse=True))
 OP9 = f"""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from foliant.llm import decontaminate, graph, minhash, pii, queries, repeats, sharding
+from foliant.llm import decontaminate, graph, minhash, pii, queries, repeats, shared, sharding
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -256,11 +256,46 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
         assert [len(set(x)) for x in zip(*parts)] == [400, 400, 400]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [shared.BROADCAST_BYTES, 0])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old if most else "-1")
+    try:
+        _decontamination(spark)
+        if not most:
+            _windows_brute_force(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _windows_brute_force(spark):
+    """Few words, so that windows overlap, repeat and share terms."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    docs, tests = [(i, text(rng.randrange(60))) for i in range(40)], [(i, text(rng.randrange(1, 9))) for i in range(12)]
+    want = {}
+    for d, t in docs:
+        w, hit, own = t.split(), set(), set()
+        for i, x in tests:
+            v = x.split()
+            n = min(3, len(v))
+            for s in range(len(v) - n + 1):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[s : s + n]:
+                        hit |= set(range(p, p + n))
+                        own.add(i)
+        if hit:
+            want[d] = (len(hit), len(own))
+    found = decontaminate.hit_counts(decontaminate.phrase_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"), 3))
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in found.collect()} == want
+
+
+def _decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     docs = [(1, f"x {item} y"), (2, item[:50]), (3, f"{item.upper()}!! {item}"), (4, "a short one"), (5, None), (6, ""), (None, item), (7, "Zwei"), (7, "Zwei")]
     tests = [(10, item), (11, "short one"), (12, None), (13, ""), (14, "ZWEI"), (2, item)]
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")), spark.createDataFrame(tests, "item_id long, text string")
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("hit_id", F.lit(1)), spark.createDataFrame(tests, "item_id long, text string")
     got = collections.defaultdict(list)
     for r in decontaminate.contamination(df, bench).collect():
         got[r.doc_id].append((r.n_words, r.n_hit, r.n_items, r.contaminated))
