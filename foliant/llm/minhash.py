@@ -1,31 +1,37 @@
 """Near-duplicate detection with bottom-k MinHash sketches.
 
 One hash function maps each shingle of SHINGLE words to 64 bits. Documents with equal sets form a class with one
-representative. A class retains the least values of its set in one order, rare before frequent and then by hash, as
-many as any pair over the threshold must share one of; inverted lists of the retained values generate overlaps.
-Rarity comes from a histogram of fixed size over all values, so passages and templates that many documents share come
-last. Two classes of a list are a candidate pair when their sizes and the value's places leave room for the threshold.
-The union of two uniform sketches (the K least hashes of a set, which is all of a short one) estimates a pair's
-similarity; a pair within ERRORS standard deviations below the threshold is verified by exact Jaccard similarity of
-the full sets, from the sketches alone where they are whole sets.
+representative. A class's sketch retains the K least hashes of its set, which is all of a short one. Of the K least
+values of two sets' union those in both sets are in both sketches, so a pair over the threshold has a least overlap of
+its sketches: exactly known where sets are whole, else ERRORS standard deviations below the mean (see least_overlap).
+Inverted lists of the retained values generate the overlaps: a class is listed under as many of its retained values as
+a pair with the least overlap must share one of, rare ones first. Rarity comes from a histogram of fixed size over all
+values, so passages and templates that many documents share come last. Two classes of a list are a candidate pair when
+their sizes and the value's places leave room for the least overlap. The union of the two sketches then estimates a
+pair's similarity; a pair that comes through is verified by exact Jaccard similarity of the full sets, from the
+sketches alone where they are whole sets.
 
 A list of n classes isn't expanded to n^2 pairs: first every class meets its list's leader (the class with the least
 place, such as the original of many copies), which ties large groups into components; then, in lists that hold more
 than one component, pairs between different components are tried. Pairs inside a component can't change the result.
 Lists of frequent values are dealt in SALTS parts with a leader each, and the leaders meet theirs.
 
-Generation is exact; a pair at the very threshold is lost by the estimate with a chance (binomial tail of K values)
-of 4.3e-9 at 85 percent and 9.8e-10 at 80 (ERRORS = 6.5), in model; verification stays exact.
-Texts are read again where sets are needed, of the documents that a bitmap of fixed size names, so sets of documents
-without candidates are never moved.
+Lists and estimate ask for the same overlap, so a pair at the very threshold is lost with a chance (binomial tail of K
+values) of 4.3e-9 at 85 percent and 9.8e-10 at 80 (ERRORS = 6.5), in model, and never where sets are whole;
+verification stays exact. Texts are read again where sets are needed, of the documents that a bitmap of fixed size
+names, so sets of documents without candidates are never moved.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE make
 one shingle; rows that share a doc_id are one node; a null doc_id is linked with nothing, its component is null;
-repeated rows fall into one class; an empty table gives no rows; other columns are not read. Texts are used whole.
+repeated rows fall into one class; an empty table gives no rows; other columns are not read. Texts are used whole; a
+very long one in pieces of AT_ONCE bytes that overlap by SHINGLE - 1 words.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,6 +54,7 @@ _MUL = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_SPACE_BYTE, _WORD_BYTES = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,9 +79,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes (signed 64 bits) of each text."""
-    raw = [(t or "").encode().lower() for t in texts]
+def _hashed(raw: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The shingle hashes and the word hashes of each text of raw, in order."""
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     power, inverse = _power_tables(len(data))
@@ -83,27 +89,70 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
     word = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    n = len(word)
-    hashed = np.zeros(max(0, n - SHINGLE + 1), dtype=np.uint64)
+    hashed = np.zeros(max(0, len(word) - SHINGLE + 1), dtype=np.uint64)
     for i in range(SHINGLE):
         hashed += word[i : i + len(hashed)] * _MUL[i]
     hashed = mix(hashed).view(np.int64)
-    bounds = np.searchsorted(starts, edges)
+    bounds = np.searchsorted(starts, edges).tolist()
+    own = list(zip(bounds[:-1], bounds[1:]))
+    return [hashed[a : max(a, b - SHINGLE + 1)] for a, b in own], [word[a:b] for a, b in own]
+
+
+def _words_back(raw: bytes, at: int) -> int:
+    """Where the SHINGLE - 1 words before place `at` begin."""
+    look = 4096
+    while True:
+        low = max(0, at - look)
+        starts = [m.start() for m in _WORD_BYTES.finditer(raw, low, at)]
+        if low == 0 or len(starts) >= SHINGLE:  # the first may be cut
+            return starts[1 - SHINGLE :][0] if starts else at
+        look *= 8
+
+
+def _pieces(raw: bytes) -> list[bytes]:
+    """A long text in pieces that end between words and begin SHINGLE - 1 words back."""
+    out, at, back = [], 0, 0
+    while space := _SPACE_BYTE.search(raw, at + AT_ONCE):
+        at = space.start()
+        out.append(raw[back:at])
+        back = _words_back(raw, at)
+    return [*out, raw[back:]]
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes (signed 64 bits) of each text."""
+    raw = [(t or "").encode().lower() for t in texts]
+    long = {i for i, r in enumerate(raw) if len(r) > 2 * AT_ONCE}
+    sets, words = _hashed([b"" if i in long else r for i, r in enumerate(raw)])
     out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= SHINGLE:
-            out.append(np.unique(hashed[a : b - SHINGLE + 1]))
-        elif b > a:
-            few = (word[a:b] * _MUL[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
+    for i, (found, word) in enumerate(zip(sets, words)):
+        if i in long:
+            parts = [_hashed([p]) for p in _pieces(raw[i])]
+            found, word = np.unique(np.concatenate([np.unique(s[0]) for s, _ in parts])), parts[-1][1][0]
+        if len(found):
+            out.append(np.unique(found))
+        elif len(word):
+            few = (word * _MUL[: len(word)]).sum(dtype=np.uint64) + np.uint64(len(word))
             out.append(mix(mix(np.array([few]))).view(np.int64))
         else:
             out.append(np.zeros(0, dtype=np.int64))
     return out
 
 
-def prefix(n: int, percent: int) -> int:
-    """How many values a set of n values retains: one of them is shared with any set over the threshold."""
-    return n - -(-percent * n // 100) + 1
+def least_overlap(n: int, percent: int) -> int:
+    """How many retained values a set of n values shares at least with any set over the threshold.
+
+    A partner of a set of up to percent / 100 * K values has K at most, so both sketches are whole and the number is exact.
+    """
+    t = percent / 100
+    if 100 * n <= percent * K:
+        return -(-percent * n // 100)
+    return math.ceil(t * K - ERRORS * math.sqrt(K * t * (1 - t)))
+
+
+def listed(n: int, percent: int) -> int:
+    """Under how many of its retained values, rare ones first, a class is listed: a pair must share one of them."""
+    return min(n, K) - least_overlap(n, percent) + 1
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -142,7 +191,7 @@ def value_counts(signed: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, named: bytes, counts: np.ndarray, percent: int) -> DataFrame:
-    """(value, salt, id, n, place): each document that the bitmap names under the values it retains, place 0 first."""
+    """(value, salt, id, n, place): each document that the bitmap names under the first of its retained values, by rarity."""
     sent = docs.sparkSession.sparkContext.broadcast((named, counts))
     hot = HOT_VALUES + 4 * int(counts.mean())
 
@@ -153,10 +202,11 @@ def postings(docs: DataFrame, named: bytes, counts: np.ndarray, percent: int) ->
             for key, values in zip(ids, shingle_sets(texts)):
                 n = len(values)
                 if n:
-                    rank = rarity[_bucket(values)]
-                    order = np.lexsort((values, rank))[: prefix(n, percent)]
+                    sketch = values[:K]
+                    rank = rarity[_bucket(sketch)]
+                    order = np.lexsort((sketch, rank))[: listed(n, percent)]
                     salt = np.where(rank[order] > hot, 1 + key % SALTS, 0)
-                    parts.append((values[order], salt, np.full(len(order), key), np.full(len(order), n), np.arange(len(order))))
+                    parts.append((sketch[order], salt, np.full(len(order), key), np.full(len(order), n), np.arange(len(order))))
             if parts:
                 value, salt, key, n, place = (np.concatenate(c) for c in zip(*parts))
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(salt.astype(np.int32)), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["value", "salt", "id", "n", "place"])
@@ -178,9 +228,11 @@ def sets(docs: DataFrame, named: bytes, most: int | None = None) -> DataFrame:
 
 
 def _feasible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Whether sizes and places of a shared value leave room for the threshold."""
-    least = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
+    """Whether sizes and places of a shared value leave room for the threshold: the first shared place has the others behind it."""
+    whole = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    least = F.when(100 * F.least(na, nb) <= percent * K, whole).otherwise(least_overlap(2 * K, percent))
+    room = F.least(F.least(na, F.lit(K)) - pa_, F.least(nb, F.lit(K)) - pb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room >= least)
 
 
 def _ends(pairs: DataFrame) -> bytes:
@@ -199,8 +251,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     both = both.withColumn("common", F.array_intersect("va", "vb")).withColumn("union", F.slice(F.array_sort(F.array_union("va", "vb")), 1, K))
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
     exact = lambda inter: 100 * inter >= percent * (F.col("na") + F.col("nb") - inter)
-    t, size = percent / 100, F.size("union")
-    near = F.size(F.array_intersect("common", "union")) >= t * size - ERRORS * F.sqrt(size * (t * (1 - t)))
+    near = F.size(F.array_intersect("common", "union")) >= least_overlap(2 * K, percent)
     judged = materialize(both.filter(F.when(whole, exact(F.size("common"))).otherwise(near)).select("a", "b", whole.alias("sure")), "estimated")
     open_ = judged.filter("not sure").select("a", "b")
     checked = _with_sets(open_, sets(docs, _ends(open_))).filter(exact(F.size(F.array_intersect("va", "vb")))).select("a", "b")
@@ -247,6 +298,8 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     rows, classes, tied = link(docs, percent)
+    # rows without words have no class; each goes its own way in the join
+    rows = rows.withColumn("h1", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc_id")))
     named = rows.join(classes, ["h1", "h2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
     out = named.join(tied, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
@@ -255,5 +308,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns as they are, that are the least doc_id of their component."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
+    return docs.alias("kept").join(gone.alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
