@@ -2,12 +2,15 @@
 
 Metadata dimensions are quantised to BITS bits each: the text's size (logarithmic), language, source and document id.
 A row's cell gets its index on the Hilbert curve, rows follow the curve, and runs of equal counts become shards, so
-a shard's file covers a compact box of every dimension. Rows of one cell are ordered by the text's checksum, so equal
-texts lie together.
+a shard's file covers a compact box of every dimension, and a reader that filters by one of them skips the others'
+files. Within a cell rows are ordered by the text's checksum, so equal texts of one cell lie together; equal texts
+with other ids, languages or sources may lie in other cells, and then in other shards. The law is `rows`.
 
-Ranks need no global sort: rows are counted by cell (2^(BITS x dimensions) at most), the cells' counts are summed
-along the curve, and rows are numbered within their cell. A cell of over CELL_ROWS rows is divided by a hash of the
-id into as many parts as it takes, so no task numbers more.
+Ranks need no global sort: rows are counted by cell (2^(BITS x dimensions) at most), cells' counts are summed along
+the curve, and rows are numbered within their cell. A cell of over CELL_ROWS rows is divided by ranges of the checksum
+into parts of its own, as many as it takes; parts are summed within their cell and cells along the curve, so neither
+sum sees all parts. Rows of one checksum stay in one part unless they alone are over CELL_ROWS: then that checksum is
+divided by a hash of the id.
 
 Defined results: null text has no bytes and checksum 0; null dimensions are quantised to 0; repeated rows take
 places of their own; an empty table gives no rows; other columns are not read. With fewer rows than shards the first
@@ -19,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize, small
+
 BITS = 4
 CELL_ROWS = 50_000
+#: Rows of a written file.
+FILE_ROWS = 1_000_000
 
 
 def quantised(docs: DataFrame) -> dict[str, Column]:
@@ -31,7 +38,7 @@ def quantised(docs: DataFrame) -> dict[str, Column]:
     return {
         "q_lang": F.coalesce(F.crc32(F.col("lang").cast("binary")) % (top + 1), F.lit(0)),
         "q_source": F.coalesce(F.crc32(F.col("source").cast("binary")) % (top + 1), F.lit(0)),
-        "q_size": F.least(F.floor(F.log2("size") * 0.75), F.lit(top)),
+        "q_size": F.least(F.floor(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) * 0.75), F.lit(top)),
         "q_id": F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / span * top), F.lit(0)),
     }
 
@@ -57,33 +64,56 @@ def hilbert(axes: list[Column], bits: int = BITS) -> Column:
     return F.get(F.transform(with_flip, lambda y: F.aggregate(places, F.lit(0).cast("long"), lambda h, s: h * 2 + F.when(F.get(y, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0))), F.lit(0))
 
 
+def _placed(docs: DataFrame, shards: int, keep: list[str]) -> DataFrame:
+    """_row (a struct of the columns `keep`), _size, _crc, _shard, _slot and _curve of every row."""
+    dims = quantised(docs)
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("doc_id").alias("_id"), size.alias("_size"), crc.alias("_crc"), *[c.cast("int").alias(f"_{k}") for k, c in dims.items()])
+    cell = [f"_{k}" for k in dims]
+    ids = F.xxhash64("_id", "_crc", "_size")
+
+    # parts of a cell: ranges of the checksum's high bits, as many as its rows ask for
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("_cell_n"))
+    many = materialize(cells.withColumn("_parts", F.ceil(F.col("_cell_n") / CELL_ROWS).cast("long")).drop("_cell_n"), "cells")
+    rows = rows.join(F.broadcast(many), cell)  # 2^(BITS x dimensions) rows at most
+    rows = rows.withColumn("_part", F.expr("(_crc * _parts) div 4294967296"))
+    # checksums that alone are too many for a part
+    crowded = rows.filter("_parts > 1").groupBy(*cell, "_part", "_crc").agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL_ROWS)
+    salts = small(materialize(crowded.select(*cell, "_crc", F.ceil(F.col("_n") / CELL_ROWS).cast("long").alias("_salts")), "crowded-checksums"))
+    rows = rows.join(salts, [*cell, "_crc"], "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(1 + F.pmod(ids, F.col("_salts"))))
+    # a part with a crowded checksum: rows before it, its salts, rows after it
+    part = [*cell, "_part", "_salt", "_group"]
+    rows = rows.withColumn("_group", F.when(F.col("_salt") > 0, F.col("_crc")).otherwise(F.lit(-1).cast("long")))
+
+    counted = materialize(rows.groupBy(*part).agg(F.count("*").alias("_n")), "cell-parts")
+    inside = Window.partitionBy(*cell).orderBy("_part", "_group", "_salt")
+    parts = counted.withColumn("_in_cell", F.sum("_n").over(inside) - F.col("_n"))
+    along = Window.orderBy("_curve")
+    summed = counted.groupBy(*cell).agg(F.sum("_n").alias("_cell_n")).withColumn("_curve", hilbert([F.col(k) for k in cell]))
+    starts = summed.select(*cell, "_curve", (F.sum("_cell_n").over(along) - F.col("_cell_n")).alias("_before"), F.sum("_cell_n").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    starts = parts.join(F.broadcast(starts), cell).select(*part, "_curve", "_total", (F.col("_before") + F.col("_in_cell")).alias("_before"))
+    own = Window.partitionBy(*part).orderBy("_crc", "_id", "_size")
+    ranked = rows.withColumn("_own", F.row_number().over(own)).join(starts, part).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    ranked = ranked.withColumn("_low", F.expr(f"_total div {shards}")).withColumn("_extra", F.col("_total") % shards).withColumn("_edge", F.col("_extra") * (F.col("_low") + 1))
+    head = F.col("_rank") < F.col("_edge")
+    shard = F.when(head, F.expr("_rank div (_low + 1)")).otherwise(F.col("_extra") + F.expr("(_rank - _edge) div greatest(_low, 1)"))
+    slot = F.when(head, F.expr("_rank % (_low + 1)")).otherwise(F.expr("(_rank - _edge) % greatest(_low, 1)"))
+    return ranked.withColumn("_shard", shard.cast("int")).withColumn("_slot", slot.cast("long"))
+
+
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), curve of every row."""
-    rows = docs.select(
-        "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    dims = quantised(docs)
-    rows = rows.select("doc_id", "size", "text_crc32", *[c.cast("int").alias(k) for k, c in dims.items()])
-    cells = rows.groupBy(*dims).agg(F.count("*").alias("n"))
-    largest = cells.agg(F.max("n")).first()[0] or 0
-    parts = -(-largest // CELL_ROWS) or 1
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int") if parts > 1 else F.lit(0))
-    key = [*dims, "part"]
-    counted = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("curve", hilbert([F.col(k) for k in dims]))
-    along = Window.orderBy("curve", "part")
-    starts = counted.select(*key, "curve", (F.sum("n").over(along) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    own = Window.partitionBy(*key).orderBy("text_crc32", "doc_id", "size")
-    ranked = rows.withColumn("own", F.row_number().over(own)).join(starts, key).withColumn("rank", F.col("before") + F.col("own") - 1)
-    ranked = ranked.withColumn("low", F.expr(f"total div {shards}")).withColumn("extra", F.col("total") % shards).withColumn("edge", F.col("extra") * (F.col("low") + 1))
-    head = F.col("rank") < F.col("edge")
-    shard = F.when(head, F.expr("rank div (low + 1)")).otherwise(F.col("extra") + F.expr("(rank - edge) div greatest(low, 1)"))
-    slot = F.when(head, F.expr("rank % (low + 1)")).otherwise(F.expr("(rank - edge) % greatest(low, 1)"))
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
-
-
-def write(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """docs as Parquet below path, in one folder shard=K for each shard, its rows in slot order."""
-    placed = assign(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    out = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    named = {"_size": "size", "_crc": "text_crc32", "_shard": "shard", "_slot": "slot", "_curve": "curve"}
+    rows = _placed(docs, shards, ["doc_id"]).select("_row.doc_id", *[F.col(a).alias(b) for a, b in named.items()])
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def write(docs: DataFrame, path: str, shards: int = 16, file_rows: int = FILE_ROWS) -> None:
+    """docs as Parquet below path, in folders shard=K; a file holds up to file_rows rows that follow the curve.
+
+    Every row is placed by itself, so repeated rows keep places of their own. Columns of docs stay as they are; one
+    that is named shard would clash with the folders and is an error.
+    """
+    placed = _placed(docs, shards, docs.columns)
+    rows = placed.withColumn("_file", F.expr(f"_slot div {file_rows}")).repartitionByRange("_shard", "_file").sortWithinPartitions("_shard", "_slot")
+    rows.select("_row.*", F.col("_shard").alias("shard")).write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(path)

@@ -9,6 +9,7 @@ import zlib
 from types import SimpleNamespace
 
 import duckdb
+import pyarrow.parquet as pq
 import numpy as np
 import pytest
 from hypothesis import given
@@ -70,7 +71,7 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     texts = {i: t for i, t in enumerate(_near_copies(60, 150, 9))}
     texts |= {100 + i: t for i, t in enumerate(_near_copies(30, 600, 40))}
     texts |= {200: None, 201: "", 202: " \n ", 203: "one two", 204: "ONE two", 205: "one  two three", 206: "a b c d e", 207: "A B C D E", 208: "é É é É é", 209: "É É É É É"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("component", F.lit(1))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("component", F.lit(1)).withColumn("_gone", F.lit(2))
     want = _components(texts)
     for hot in (minhash.HOT_VALUES, -1000):
         monkeypatch.setattr(minhash, "HOT_VALUES", hot)
@@ -80,9 +81,34 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, (_, c) in want.items() if c == k}
 
 
+def test_near_duplicates_long_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "bb", "x" * 300, "é" * 40, "tail"]) for _ in range(n)) for n in (1, 3, 4, 5, 9, 400)] + ["\t" * 9000, "w" * 9000, ("w" * 5000 + " ") * 3, None, ""]
+    whole = minhash.shingle_sets(texts)
+    for piece in (50, 333, 4000):
+        monkeypatch.setattr(minhash, "AT_ONCE", piece)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, minhash.shingle_sets(texts)))
+
+
+def test_variants_of_one_template(spark):
+    """Ten thousand texts that share a template but are no near copies, with some near copies among them."""
+    template = [f"t{i}" for i in range(30)]
+    texts = {}
+    for i in range(10_000):
+        own = [f"v{i}w{j}" for j in range(40)]
+        texts[i] = " ".join(own[:20] + template + own[20:])
+    for i in range(0, 400, 2):
+        words = texts[i].split()
+        texts[i + 1] = " ".join([*words[:-1], f"other{i}"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i - 1 if i < 400 and i % 2 else i for i in texts}
+
+
 def test_estimate_keeps_pairs_at_the_threshold():
     for t in (0.80, 0.85):
-        least = math.ceil(t * minhash.K - minhash.ERRORS * math.sqrt(minhash.K * t * (1 - t)))
+        least = minhash.least_overlap(10_000, round(100 * t))
+        assert least == math.ceil(t * minhash.K - minhash.ERRORS * math.sqrt(minhash.K * t * (1 - t)))
         assert sum(math.comb(minhash.K, i) * t**i * (1 - t) ** (minhash.K - i) for i in range(least)) < 1e-8
 
 
@@ -176,20 +202,76 @@ def test_least_places(values, width):
     assert repeats._least(x, width).tolist() == [i + values[i : i + width].index(min(values[i : i + width])) for i in range(len(values) - width + 1)]
 
 
+def _skilling(axes, bits=4):
+    """The Hilbert index of a cell, in plain code."""
+    x, n = list(axes), len(axes)
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & q - 1
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if x[-1] & 1 << b:
+            t ^= (1 << b) - 1
+    x = [v ^ t for v in x]
+    return sum((x[i] >> b & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def _curve(doc, low, span):
+    size = len((doc.text or "").encode()) + 1
+    q = [zlib.crc32(v.encode()) % 16 if v is not None else 0 for v in (doc.lang, doc.source)]
+    return _skilling([*q, min(15, math.floor(math.log2(size) * 0.75)), math.floor((doc.doc_id - low) / span * 15) if doc.doc_id is not None else 0])
+
+
 def test_sharding(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("part", F.lit("clash"))
-    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None, "x")], docs.schema))
-    for rows in (sharding.CELL_ROWS, 2):
-        monkeypatch.setattr(sharding, "CELL_ROWS", rows)
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None, "x")], docs.schema)).unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(30)).drop("id"))
+    rows = docs.collect()
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    curve = {r.doc_id: _curve(r, min(ids), max(ids) - min(ids)) for r in rows}
+    for most in (sharding.CELL_ROWS, 2):
+        monkeypatch.setattr(sharding, "CELL_ROWS", most)
         got = sharding.assign(docs).toPandas()
         sizes = got.groupby("shard").size()
         assert len(got) == docs.count() and set(sizes.index) == set(range(16)) and sizes.max() - sizes.min() <= 1
         assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
-    text = {r.doc_id: r.text or "" for r in docs.collect()}
-    assert all(zlib.crc32(text[d].encode()) == c and len(text[d].encode()) + 1 == s for d, c, s in zip(got.doc_id.astype(object).where(got.doc_id.notna(), None), got.text_crc32, got["size"]))
+        ids_ = got.doc_id.astype(object).where(got.doc_id.notna(), None)
+        assert [curve[d] for d in ids_] == got.curve.tolist()  # brute force
+        along = got.sort_values(["shard", "slot"])
+        assert along.curve.is_monotonic_increasing
+        runs = along.groupby("curve").text_crc32.apply(lambda c: (c != c.shift()).sum() == c.nunique())
+        assert runs.all()  # equal texts of a cell lie together
+    text = {r.doc_id: r.text or "" for r in rows}
+    assert all(zlib.crc32(text[d].encode()) == c and len(text[d].encode()) + 1 == s for d, c, s in zip(ids_, got.text_crc32, got["size"]))
     assert sharding.assign(docs.limit(0)).count() == 0 and sorted(r.shard for r in sharding.assign(docs.limit(3)).collect()) == [0, 1, 2]
 
 
+def test_sharding_writes_and_prunes(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_row", F.lit("clash")).withColumn("_size", F.lit(0))
+    docs = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1))
+    sharding.write(docs, str(tmp_path / "out"), 16, file_rows=8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda df: collections.Counter(map(tuple, df.select(docs.columns).collect()))
+    assert key(back) == key(docs)
+    sizes = sorted(r["count"] for r in back.groupBy("shard").count().collect())
+    assert len(sizes) == 16 and sizes[-1] - sizes[0] <= 1
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    bounds = [[(s.min, s.max) for s in (pq.ParquetFile(f).metadata.row_group(0).column(i).statistics for i in (0, 2))] for f in files]
+    assert len(files) >= 16 and all(pq.ParquetFile(f).metadata.num_rows <= 8 for f in files)
+    ids = [r.doc_id for r in docs.collect()]
+    low, high = min(ids), min(ids) + (max(ids) - min(ids)) // 8
+    # a range of ids, or a language, leaves most files unread by their statistics
+    assert sum(a <= high and b >= low for (a, b), _ in bounds) <= len(files) / 2
+    assert sum(a <= "de" <= b for _, (a, b) in bounds) <= len(files) / 2
+
+
 def test_hilbert_steps(spark):
     cells = spark.range(1 << 9).select(*[F.expr(f"(id div {1 << 3 * i}) % 8").alias(f"a{i}") for i in range(3)])
     rows = sorted((r[3], r[:3]) for r in map(tuple, cells.select("a0", "a1", "a2", sharding.hilbert([F.col(f"a{i}") for i in range(3)], 3)).collect()))
