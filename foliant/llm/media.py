@@ -12,8 +12,8 @@ are cut where the difference of two frames' grey histograms exceeds the mean plu
 in the WINDOW frames before it, and FLOOR at least.
 
 Defined results: null text counts as empty (a payload of 64 zero bytes); a null or unreadable medium has no frames
-and no clips; equal payloads give equal files; rows are independent; other columns are not read. Batches are worked
-in slices, so memory follows the longest text and not the table.
+and no clips, and so has one with a damaged frame; equal payloads give equal files; rows are independent; other columns
+are not read. Frames are coded and decoded AT_ONCE samples at a time, so work space beyond a text and its file is bounded.
 """
 
 from __future__ import annotations
@@ -129,17 +129,33 @@ def pad(data: bytes) -> bytes:
     return data + b"\0" * (PAD - len(data) % PAD if len(data) % PAD or not data else 0)
 
 
+def _groups(sizes: list[int], most: int):
+    """(first, end) of neighbours with up to `most` in all, one at least."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def write_avis(payloads: list[bytes]) -> list[bytes]:
-    """An AVI file for each payload, whose length is a positive multiple of PAD."""
-    shapes, padded, sizes = [], [], []
+    """An AVI file for each payload, whose length is a positive multiple of PAD; frames are coded AT_ONCE samples at a time."""
+    shapes, frames = [], []
     for p in payloads:
         rows = min(ROWS, len(p) // COLUMNS)
-        n = -(-len(p) // (rows * COLUMNS))
-        shapes.append((rows, n))
-        padded.append(p + b"\0" * (n * rows * COLUMNS - len(p)))
-        sizes += [rows * COLUMNS] * n
-    scans = iter(encode_scans(np.frombuffer(b"".join(padded), dtype=np.uint8), np.array(sizes)))
-    return [_avi([_frame_head(rows) + next(scans) + b"\xff\xd9" for _ in range(n)], rows, len(p)) for p, (rows, n) in zip(payloads, shapes)]
+        size = rows * COLUMNS
+        own = [p[i : i + size] for i in range(0, len(p), size)]
+        own[-1] += b"\0" * (size - len(own[-1]))
+        shapes.append((rows, len(own)))
+        frames += own
+    scans: list[bytes] = []
+    for a, z in _groups([len(f) for f in frames], AT_ONCE):
+        scans += encode_scans(np.frombuffer(b"".join(frames[a:z]), dtype=np.uint8), np.array([len(f) for f in frames[a:z]]))
+    each = iter(scans)
+    return [_avi([_frame_head(rows) + next(each) + b"\xff\xd9" for _ in range(n)], rows, len(p)) for p, (rows, n) in zip(payloads, shapes)]
 
 
 def parse_riff(data: bytes) -> tuple[int, list[bytes], int | None]:
@@ -148,26 +164,27 @@ def parse_riff(data: bytes) -> tuple[int, list[bytes], int | None]:
         return 0, [], None
     pause, index, movi, payload, found = 0, None, None, None, []
 
-    def walk(at: int, end: int) -> None:
-        nonlocal pause, index, movi, payload
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body, stop = at + 8, min(end, at + 8 + size)
-            if name == b"LIST" and data[body : body + 4] == b"movi":
-                movi = body
-            if name == b"LIST" and data[body : body + 4] != b"rec ":
-                walk(body + 4, stop)
-            elif name == b"avih" and stop - body >= 4:
-                pause = struct.unpack_from("<I", data, body)[0]
-            elif name == b"strd" and stop - body == 8:
-                payload = struct.unpack_from("<Q", data, body)[0]
-            elif name == b"idx1":
-                index = (body, stop)
-            elif name[2:] in (b"dc", b"db"):
-                found.append(data[body:stop])
-            at = body + size + (size & 1)
-
-    walk(12, len(data))
+    parts = [(12, len(data))]  # stretches that are still to be read, the next one last
+    while parts:
+        at, end = parts.pop()
+        if at + 8 > end:
+            continue
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        body, stop = at + 8, min(end, at + 8 + size)
+        parts.append((body + size + (size & 1), end))
+        kind = data[body : body + 4] if name == b"LIST" else b""
+        if kind == b"movi":
+            movi = body
+        if name == b"LIST":
+            parts.append((body + 4, stop))
+        elif name == b"avih" and stop - body >= 4:
+            pause = struct.unpack_from("<I", data, body)[0]
+        elif name == b"strd" and stop - body == 8:
+            payload = struct.unpack_from("<Q", data, body)[0]
+        elif name == b"idx1":
+            index = (body, stop)
+        elif name[2:] in (b"dc", b"db"):
+            found.append(data[body:stop])
     if index and movi is not None:
         table = np.frombuffer(data[index[0] : index[0] + (index[1] - index[0]) // 16 * 16], dtype="<u4").reshape(-1, 4)
         base = movi if len(table) and table[0, 2] < movi else 0  # offsets count from 'movi', in some files from the file's start
@@ -273,23 +290,34 @@ def _dc_lookup():
 _SIZE, _LENGTH = _dc_lookup()
 
 
-def decode_frames(frames: list[Frame]) -> list[np.ndarray]:
-    """Each frame's samples (rows x columns): its blocks' grey values."""
+def decode_frames(frames: list[Frame]) -> list[np.ndarray | None]:
+    """Each frame's samples (rows x columns): its blocks' grey values; None where a scan is damaged."""
     out: list = [None] * len(frames)
-    fast = [i for i, f in enumerate(frames) if f.flat]
+    # a block takes two bits at least
+    sound = [f.rows * f.columns <= 4 * len(f.scan) for f in frames]
     for i, f in enumerate(frames):
-        if not f.flat:
-            out[i] = np.rint(f.blocks().mean(axis=(2, 3))).astype(np.uint8)
-    if not fast:
-        return out
-    fast.sort(key=lambda i: -frames[i].rows * frames[i].columns)
-    n = np.array([frames[i].rows * frames[i].columns for i in fast])
-    scans = [frames[i].scan.replace(b"\xff\0", b"\xff") for i in fast]
+        if sound[i] and not f.flat:
+            try:
+                out[i] = np.rint(f.blocks().mean(axis=(2, 3))).astype(np.uint8)
+            except (ValueError, KeyError, IndexError):
+                pass
+    fast = [i for i, f in enumerate(frames) if sound[i] and f.flat and f.rows * f.columns]
+    for a, z in _groups([frames[i].rows * frames[i].columns for i in fast], AT_ONCE):
+        own = sorted(fast[a:z], key=lambda i: -frames[i].rows * frames[i].columns)
+        for i, samples in zip(own, _decode_flat([frames[i] for i in own])):
+            out[i] = samples
+    return out
+
+
+def _decode_flat(frames: list[Frame]) -> list[np.ndarray | None]:
+    """Frames of flat blocks, the largest first, side by side: step k decodes block k of each."""
+    n = np.array([f.rows * f.columns for f in frames])
+    scans = [f.scan.replace(b"\xff\0", b"\xff") for f in frames]
     raw = np.frombuffer(b"".join(scans) + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
     word = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
     at = np.concatenate([[0], np.cumsum([len(s) for s in scans])[:-1]]) * 8
     end = at + np.array([len(s) * 8 for s in scans])
-    grey, value, good = np.zeros((len(fast), n[0]), dtype=np.uint8), np.full(len(fast), 128, dtype=np.int64), np.ones(len(fast), dtype=bool)
+    grey, value, good = np.zeros((len(frames), n[0]), dtype=np.uint8), np.full(len(frames), 128, dtype=np.int64), np.ones(len(frames), dtype=bool)
     active = np.searchsorted(-n, -np.arange(n[0]), side="left")
     for k in range(n[0]):
         m = active[k]
@@ -300,31 +328,31 @@ def decode_frames(frames: list[Frame]) -> list[np.ndarray]:
         extra = (bits << length & 0xFFFFFFFF) >> (32 - size)
         value[:m] += np.where(extra >> np.maximum(size - 1, 0) > 0, extra, extra - (1 << size) + 1) * (size > 0)
         used = length + size
-        good[:m] &= (bits >> (31 - used) & 1 == 0) & (length > 0) & (p + used < end[:m])
+        good[:m] &= (bits >> (31 - used) & 1 == 0) & (length > 0) & (p + used < end[:m]) & (value[:m] >= 0) & (value[:m] <= 255)
         at[:m] = p + used + 1
-        grey[:m, k] = value[:m]
-    for row, i in enumerate(fast):
-        if not good[row]:
-            raise ValueError("a frame's scan is damaged")
-        out[i] = grey[row, : n[row]].reshape(frames[i].rows, frames[i].columns)
-    return out
+        grey[:m, k] = value[:m] & 255
+    return [grey[row, : n[row]].reshape(f.rows, f.columns) if good[row] else None for row, f in enumerate(frames)]
 
 
 def read_avis(media: list[bytes | None]) -> list[tuple[int, list[np.ndarray], int | None]]:
-    """(microseconds a frame, frames, payload's length) of each file; frames that can't be parsed make a file unreadable."""
+    """(microseconds a frame, frames, payload's length) of each file; a frame that can't be read makes its file unreadable."""
     heads, frames, owner = [], [], []
     for k, m in enumerate(media):
         try:
             pause, raw, payload = parse_riff(m or b"")
             own = [Frame(f) for f in raw]
-        except (ValueError, KeyError, IndexError, struct.error):
+        except (ValueError, KeyError, IndexError, struct.error, AttributeError):
             pause, own, payload = 0, [], None
         heads.append((pause, [], payload))
         frames += own
         owner += [k] * len(own)
+    damaged = set()
     for k, f in zip(owner, decode_frames(frames)):
-        heads[k][1].append(f)
-    return heads
+        if f is None:
+            damaged.add(k)
+        else:
+            heads[k][1].append(f)
+    return [(0, [], None) if k in damaged else h for k, h in enumerate(heads)]
 
 
 def payload_of(frames: list[np.ndarray], length: int | None) -> bytes:
@@ -364,36 +392,42 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, media binary").withColumnRenamed("id", id_col)
 
 
+def timed(pause: int, frames: list[np.ndarray]) -> list[tuple]:
+    """(clip, first_frame, n_frames, start_ms, end_ms, mean_grey) of each shot."""
+    return [(i, a, z - a, a * pause / 1000, z * pause / 1000, float(sum(int(f.sum()) for f in frames[a:z]) / sum(f.size for f in frames[a:z]))) for i, (a, z) in enumerate(shots(frames))]
+
+
+CLIP_NAMES, CLIP_KINDS = ["clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_grey"], (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+CLIP_TYPE = "clip:int,first_frame:int,n_frames:int,start_ms:double,end_ms:double,mean_grey:double"
+CLIP = "clip int, first_frame int, n_frames int, start_ms double, end_ms double, mean_grey double"
+
+
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row for each shot: id_col, clip, first_frame, n_frames, start_ms, end_ms, mean_grey."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for key, (pause, frames, _) in zip(b.column(0).to_pylist(), read_avis(b.column(1).to_pylist())):
-                for i, (a, z) in enumerate(shots(frames)):
-                    rows.append((key, i, a, z - a, a * pause / 1000, z * pause / 1000, float(np.mean([f.mean() for f in frames[a:z]]))))
+            rows = [(key, *clip) for key, m in zip(*(b.column(i).to_pylist() for i in range(2))) for pause, frames, _ in read_avis([m]) for clip in timed(pause, frames)]
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_grey"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), *CLIP_KINDS))], names=["id", *CLIP_NAMES])
 
-    kinds = "id long, clip int, first_frame int, n_frames int, start_ms double, end_ms double, mean_grey double"
-    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, f"id long, {CLIP}").withColumnRenamed("id", id_col)
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """What comes back of each text that is written as a medium and read again; the columns of query op2."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    """What comes back of each text that is written as a medium and read again, with its timed clip rows; the columns of query op2."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.list_(pa.struct(list(zip(CLIP_NAMES, CLIP_KINDS))))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip)
 
     def run(batches):
         for ids, texts in text_batches(batches, AT_ONCE):
             data = [(t or "").encode() for t in texts]
             media = write_avis([pad(d) for d in data])
             rows = []
-            for key, d, m, (_, frames, length) in zip(ids, data, media, read_avis(media)):
+            for key, d, m, (pause, frames, length) in zip(ids, data, media, read_avis(media)):
                 back = payload_of(frames, length)
-                rows.append((key, len(d), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature(frames)))
+                rows.append((key, len(d), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature(frames), [dict(zip(CLIP_NAMES, c)) for c in timed(pause, frames)]))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<{CLIP_TYPE}>>")

@@ -3,10 +3,13 @@
 import base64
 import hashlib
 import html as entities
+import math
 import random
 import re
+import struct
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -32,6 +35,13 @@ def test_bpe_odd_texts():
     assert got == [ids(x) for x in ODD] and [codec.decode(g) for g in got] == [x.encode() for x in ODD]
 
 
+def test_bpe_long_texts(monkeypatch):
+    codec, text = bpe.Codec(LINES, PATTERN), "Ein Satz, 12 Zeichen.\n  日本語 " * 40
+    monkeypatch.setattr(bpe, "LONG_TEXT", 100)
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 7)
+    assert codec.encode_batch([text, "short", ""]) == [ids(text), ids("short"), ids("")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=200), max_size=5))
 def test_bpe_any_text(texts):
@@ -66,13 +76,37 @@ def test_language(spark, sf):
     held = got[got.held_out]
     assert len(held) and (held.lang == held.lang_pred).mean() >= 0.95 and got.score.between(0, 1).all()
     assert all(zlib.crc32(str(d).encode()) % 3 == 1 for d in held.doc_id)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the of and " * 5)], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()} | {4: "en"} == {1: "und", 2: "und", 3: "und", 4: "en"}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the of and " * 5), (5, "½ ² ① Ⅷ")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()} | {4: "en"} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "und"}
     wide = odd.withColumn("lang", F.lit("x")).withColumn("held_out", F.lit(1))
-    assert [r.doc_id for r in language.keep_identified(wide, model).collect()] == [4] and language.keep_identified(wide, model).columns == wide.columns
+    kept = language.keep_identified(wide, model)
+    assert [(r.doc_id, r.lang) for r in kept.collect()] == [(4, model.predict("the of and " * 5)[0])] and kept.columns == wide.columns
+    assert language.keep_identified(odd, model).columns == odd.columns
     assert language.predict(odd, language.fit(docs.limit(0))).filter("lang_pred != 'und'").isEmpty()
 
 
+def test_language_decoding_brute_force(spark, sf):
+    """Every codeword's loss, bit by bit, over n-grams counted one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    for r in docs.limit(25).collect():
+        data = language.fold(r.text[:300])
+        total, n = [0.0] * model.code.shape[1], 0
+        for order in language.ORDERS:
+            for i in range(len(data) - order + 1):
+                h = 0
+                for byte in data[i : i + order]:
+                    h = (h * 257 + byte + 1) % 2**32
+                h = (h ^ order * 0x1E3779B1 % 2**32) * 0x85EBCA6B % 2**32 >> 17
+                total = [t + float(w) for t, w in zip(total, model.weights[h])]
+                n += 1
+        loss = [sum(math.exp(-bit * t / n * language.STEEP) for bit, t in zip(word, total)) for word in model.code.tolist()]
+        best, second = sorted(range(len(loss)), key=loss.__getitem__)[:2]
+        share = loss[best] / (loss[best] + loss[second])
+        lang, score, ambiguous = model.predict(r.text[:300])
+        assert lang == model.langs[best] and abs(score - (1 - share)) < 1e-4 and (ambiguous == (share > language.AMBIGUOUS) or abs(share - language.AMBIGUOUS) < 1e-4)
+
+
 def test_language_slices_agree(monkeypatch):
     text = "Ünder the mountains, où est la plume? " * 40
     whole = sum(len(g[:own]) for d, own in language.slices(language.fold(text)) for g in language.grams(d))
@@ -87,20 +121,24 @@ def test_codewords_differ():
         assert len(set(rows)) == n
 
 
-def test_chat(spark, sf):
+def test_chat(spark, sf, tmp_path):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("example", F.lit("clash"))
     extra = [(-5, 0, "system", None, "x"), (-5, 1, "assistant", "<|im_end|>\n[INST]", "x"), (-5, 1, "assistant", "<\\|im_end|>", "x"), (-6, 0, "assistant", "", "x"), (-7, 3, None, "a\\nb", "x"), (None, 1, "user", "q", "x"), (-8, 1, "we\nird\\n", "q", "x")]
     turns = turns.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string, example string"))
     by = {}
     for r in turns.collect():
         by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
-    got = {r.conv_id: r for r in chat.read_back(chat.expand(turns)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(turns), in_order=True).collect()}
     assert set(got) == set(by)
     for key, own in by.items():
         own.sort()
         loss = "".join(t for _, role, t in own if role == "assistant")
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
         assert (got[key].n_turns, got[key].turns_sha256, got[key].loss_chars, got[key].loss_sha256) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest()), key
+    stored = tmp_path / "examples"
+    chat.expand(turns).repartition(7, "text").write.parquet(str(stored))
+    again = {r.conv_id: tuple(r) for r in chat.read_back(spark.read.parquet(str(stored))).collect()}
+    assert again == {k: tuple(r) for k, r in got.items()}
     examples = chat.expand(turns).collect()
     assert sum(e.loss_start is not None for e in examples) == sum(r == "assistant" for own in by.values() for _, r, _ in own)
     assert chat.read_back(chat.expand(turns.limit(0))).count() == 0
@@ -128,6 +166,57 @@ def test_media_plain_decoder_agrees():
     assert media.read_avis([None, b"", b"RIFF1234AVI ", b"junk"]) == [(0, [], None)] * 4
 
 
+def test_media_damage(spark):
+    """Damaged files have no frames, and don't harm the others."""
+    whole = media.write_avis([bytes(range(256)) * 40])[0]
+    rng = random.Random(9)
+    files = [whole]
+    for _ in range(60):
+        bad = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        files.append(bytes(bad[: rng.randrange(len(bad))] if rng.random() < 0.3 else bad))
+    nested = b"movi"
+    for _ in range(3000):
+        nested = b"LIST" + struct.pack("<I", len(nested) + 4) + b"abcd" + nested
+    files.append(b"RIFF" + struct.pack("<I", len(nested) + 4) + b"AVI " + nested)
+    scan = whole.rfind(b"\xff\xda") + 10
+    files.append(whole[:scan] + b"\xff\x00" * 60 + whole[scan + 120 :])
+    got = media.read_avis(files)
+    assert media.payload_of(*got[0][1:]) == bytes(range(256)) * 40 and got[-1] == got[-2] == (0, [], None)
+    rows = media.clips(spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in rows} == {i for i, (_, frames, _) in enumerate(got) if frames}
+
+
+def test_media_in_groups(monkeypatch):
+    payloads = [bytes((i * j) % 256 for i in range(64 * n)) for j, n in ((3, 1), (5, 90), (7, 33), (11, 2))]
+    whole = media.write_avis(payloads)
+    monkeypatch.setattr(media, "AT_ONCE", 1500)
+    assert media.write_avis(payloads) == whole and [media.payload_of(f, n) for _, f, n in media.read_avis(whole)] == payloads
+
+
+def _shots(frames):
+    """The rule frame by frame, with fractions."""
+    share = [[sum(v * 16 // 256 == b for row in f.tolist() for v in row) / f.size for b in range(16)] for f in frames]
+    diff = [sum(abs(p - q) for p, q in zip(a, b)) / 2 for a, b in zip(share, share[1:])]
+    cuts = [0]
+    for i, d in enumerate(diff):
+        past = diff[max(cuts[-1], i - 8) : i]
+        mean = sum(past) / len(past) if past else 0
+        limit = max(0.25, mean + 3 * (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5) if past else 0.25
+        if d > limit:
+            cuts.append(i + 1)
+    return list(zip(cuts, [*cuts[1:], len(frames)]))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 255), st.integers(1, 6), st.integers(0, 60)), min_size=1, max_size=6), st.integers(0, 99))
+def test_media_shots_brute_force(scenes, seed):
+    rng = random.Random(seed)
+    frames = [np.array([[min(255, level + rng.randrange(spread + 1)) for _ in range(8)] for _ in range(4)], dtype=np.uint8) for level, n, spread in scenes for _ in range(n)]
+    assert media.shots(frames) == _shots(frames)
+
+
 def test_media_shots_and_query(spark):
     dark, light = b"\x10" * 1024 * 3, b"\xf0" * 1024 * 2
     frames = media.read_avis(media.write_avis([dark + light]))[0][1]
@@ -139,6 +228,7 @@ def test_media_shots_and_query(spark):
     assert (got[3].n_bytes, got[3].payload_bytes, got[3].payload_sha256, got[3].tail_crc32) == (1400, 1408, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert got[3].media_sha256 == got[4].media_sha256 and got[1].payload_bytes == got[2].payload_bytes == 64
     rows = media.clips(media.to_media(docs)).orderBy("doc_id", "clip").collect()
+    assert [(d, *c) for d, r in sorted(got.items()) for c in r.clips] == [tuple(r) for r in rows]
     assert {r.doc_id for r in rows} == {1, 2, 3, 4} and rows[0].end_ms == 40.0
 
 
@@ -212,12 +302,16 @@ def test_common_lines(a, b):
     assert all(x in rest for x in own) and len(own) == _lcs(a, b)
 
 
-@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
-def test_common_lines_by_halves(a, b):
-    kept, html.TABLE_BITS = html.TABLE_BITS, 3
-    try:
-        own = [a[i] for i in sorted(html.common_lines(a, b))]
-    finally:
-        html.TABLE_BITS = kept
+def test_common_lines_of_long_pages():
+    rng = random.Random(2)
+    a, b = ([rng.randrange(40) for _ in range(n)] for n in (700, 900))
+    own = [a[i] for i in sorted(html.common_lines(a, b))]
     rest = iter(b)
     assert all(x in rest for x in own) and len(own) == _lcs(a, b)
+
+
+@pytest.mark.parametrize("word, mark", [("ad", 1), ("cookie-banner", 1), ("site-footer", 1), ("share_buttons", 1), ("comment-12", 1), ("sidebar", 1), ("nav-menu", 1), ("share-price", 0), ("navy", 0), ("promoted", 0), ("popular", 0), ("legal", 0), ("advertiser-interview", 0), ("story", 0), ("header-image", 0)])
+def test_html_marks(word, mark):
+    assert html.is_mark(word) == bool(mark)
+    page = f'<article><p>one</p><div class="x {word}">two</div></article>'
+    assert html.main_text(page) == ("one" if mark else "one two")
