@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small
 
 # Elements that reach to their end tag or the page's end, elements without page text that end with their
 # parent, boilerplate elements, main elements, elements that end a block, and words
@@ -41,12 +41,28 @@ BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 MAIN = {"article", "main"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MARKS = re.compile(
-    r"^(?:ads?|advert\w*|adsense|adslot|adbox|adunit|banner|sponsor\w*|promo\w*|sidebar\w*|side-?(?:bar|nav|menu)|nav\w*|menu\w*|breadcrumbs?|crumbs?|masthead|topbar|toolbar|site-?(?:header|footer|nav)|page-?(?:header|footer)|footer\w*|header\w*|cookies?\w*|consent\w*|gdpr|notice\w*|notification\w*|alert|popup|pop-up|modal|overlay|subscribe\w*|subscription|newsletter\w*|signup|sign-up|login|paywall|comments?|comment-?\w+|comments?list|disqus\w*|responses?|replies|respond|share|sharing|share-?\w+|social\w*|related\w*|recommend\w*|teasers?|trending|popular|widgets?|pagination|pager|tags|taglist|outbrain|taboola|skip-?link|disclaimer|copyright|legal)$"
+MARKS = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot adbox adunit banner sponsor sponsors sponsored promo promos sidebar sidebars sidenav sidemenu nav navbar navigation"
+    " navmenu menu menus menubar breadcrumb breadcrumbs crumbs masthead topbar toolbar footer header cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay"
+    " subscribe subscription newsletter signup login paywall comment comments commentlist disqus responses replies respond share sharing social related recommended recommendations teaser teasers"
+    " trending widget widgets pagination pager tags taglist outbrain taboola skiplink disclaimer copyright".split()
 )
+#: What a word with hyphens may end in, after one of MARKS, or begin with, before one.
+MARK_ENDS = set("area bar block box button buttons container form icons label link links list menu message popup section slot unit widget wrap wrapper".split()) | MARKS
+MARK_STARTS = set("bottom global left main page post right side site skip sticky top".split())
+
+
+def is_mark(word: str) -> bool:
+    """Whether a word of class or id names boilerplate: 'ad', 'cookie-banner', 'site-footer'; not 'share-price' or 'navy'."""
+    parts = [p for p in re.split("[-_]+", word) if p]
+    if len(parts) < 2:
+        return word in MARKS
+    if parts[0] in ("comment", "comments"):
+        return True
+    return parts[0] in MARKS and parts[-1] in MARK_ENDS or parts[0] in MARK_STARTS and parts[-1] in MARKS
+
+
 LINK_SHARE = 0.5
-#: Bits of an alignment table up to which it is kept whole.
-TABLE_BITS = 1 << 29
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -79,7 +95,7 @@ def _region(name: str, attrs: str, around: str) -> str:
             key, value = key.lower(), "".join(values).lower()
             if key == "role":
                 role = value
-            elif key in ("class", "id") and name not in ("html", "body") and any(MARKS.match(w) for w in value.split()):
+            elif key in ("class", "id") and name not in ("html", "body") and any(is_mark(w) and not (w == "header" and around == "main") for w in value.split()):
                 return "boiler"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return "boiler"
@@ -226,38 +242,26 @@ def _lengths(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def common_lines(own: list[int], other: list[int]) -> set[int]:
-    """Places in own of a longest common subsequence of both (rows of a bit table, after equal ends are taken off)."""
+    """Places in own of a longest common subsequence of both.
+
+    Equal ends are taken off; then half of own is aligned with every prefix of other and the other half with every
+    suffix, which tells where to part both (Hirschberg), at all sizes alike. Rows are bits of one number.
+    """
     a, z = 0, 0
     while a < min(len(own), len(other)) and own[a] == other[a]:
         a += 1
     while z < min(len(own), len(other)) - a and own[-1 - z] == other[-1 - z]:
         z += 1
     shared = set(range(a)) | set(range(len(own) - z, len(own)))
-    x, y = own[a : len(own) - z], other[a : len(other) - z]
-    if not x or not y:
-        return shared
-    if len(x) * len(y) > TABLE_BITS and len(x) > 1:
-        # Hirschberg: half of x against every prefix of y, the other half against every suffix; memory is one row
-        mid = len(x) // 2
-        split = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
-        upper, lower = common_lines(x[:mid], y[:split]), common_lines(x[mid:], y[split:])
-        return shared | {a + i for i in upper} | {a + mid + i for i in lower}
-    places, full = _places(y)
-    row, rows = full, [full]
-    for h in x:
-        u = row & places.get(h, 0)
-        row = (row + u | row - u) & full
-        rows.append(row)
-    j = len(y) - 1
-    for i in range(len(x), 0, -1):
-        while j >= 0 and rows[i] >> j & 1:  # a zero bit is where the length grows
-            j -= 1
-        if j < 0:
-            break
-        if rows[i - 1] >> j & 1:
-            shared.add(a + i - 1)
-            j -= 1
-    return shared
+    y = other[a : len(other) - z]
+    known = set(y)
+    at = [i for i in range(a, len(own) - z) if own[i] in known]  # lines that other lacks are in no alignment
+    if len(at) <= 1:
+        return shared | set(at)
+    x, mid = [own[i] for i in at], len(at) // 2
+    split = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+    upper, lower = common_lines(x[:mid], y[:split]), common_lines(x[mid:], y[split:])
+    return shared | {at[i] for i in upper} | {at[mid + i] for i in lower}
 
 
 def main_text(page: str | None, other: list[int] | None = None) -> str:
@@ -297,45 +301,49 @@ def _key():
     return F.xxhash64("page_id", "url", "html").alias("k")
 
 
-_PAIR = "kind string, k long, page_id long, near int, lines array<long>, host string, path string"
-_PAIR_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.string())
+_PAIR = "kind string, k long, page_id long, near int, other long, lines array<long>, host string, path string"
+_PAIR_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string())
+
 
+def _paired(batches, edges: bool):
+    """Rows in order -> for each two that follow one another on a host a row for both, and the first and last as edges.
 
-def _paired(batches, with_edges: bool):
-    """Rows in order -> for each two that follow one another on a host a row for both; the first and last as edges."""
+    edges: the rows are edges of several partitions, without lines; the last of one is paired with the first of the next.
+    """
 
     def near(x, y, bonus):
         n = next((i for i, (p, q) in enumerate(zip(x[3], y[3])) if p != q), min(len(x[3]), len(y[3])))
-        return ("pair", x[0], x[1], 2 * n + bonus, y[4], None, None)
+        return ("pair", x[0], x[1], 2 * n + bonus, y[0], None if edges else y[4], None, None)
 
-    edge = lambda kind, x: (kind, x[0], x[1], None, x[4], x[2], x[3])
+    end = lambda kind, x: (kind, x[0], x[1], None, None, None, x[2], x[3])
+    out_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PAIR_TYPES)], names=[c.split()[0] for c in _PAIR.split(", ")])
     last, first = None, True
     for b in batches:
         rows = list(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))))
         out = []
-        if rows and first and with_edges:
-            out.append(edge("first", rows[0]))
+        if rows and first and not edges:
+            out.append(end("first", rows[0]))
         first = first and not rows
         for x, y in pairwise([*([last] if last else []), *rows]):
-            if x[2] == y[2] and (with_edges or (x[5], y[5]) == ("last", "first")):
+            if x[2] == y[2] and (not edges or (x[4], y[4]) == ("last", "first")):
                 out += [near(x, y, 0), near(y, x, 1)]
         last = rows[-1] if rows else last
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PAIR_TYPES)], names=["kind", "k", "page_id", "near", "lines", "host", "path"])
-    if last and with_edges:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(edge("last", last), _PAIR_TYPES)], names=["kind", "k", "page_id", "near", "lines", "host", "path"])
+            yield out_of(out)
+    if last and not edges:
+        yield out_of([end("last", last)])
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
     """(k, other: the lines of the nearest page by URL whose lines differ) for each page of undecided() with such a page on its host."""
     first = F.min_by(F.struct("k", "page_id", "path", "lines"), F.struct("path", "page_id", "k")).alias("first")
     single = materialize(keys.groupBy("host", "digest").agg(first).select("host", "digest", "first.*"), "distinct-pages")
-    order, columns = ["host", "path", "page_id", "k"], ["k", "page_id", "host", "path", "lines"]
-    found = materialize(single.select(columns).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _paired(b, True), _PAIR), "page-pairs")
-    # two rows a partition: the last of one is paired with the first of the next
-    edges = found.filter("kind != 'pair'").select(*columns, "kind").coalesce(1).sortWithinPartitions(*order, "kind").mapInArrow(lambda b: _paired(b, False), _PAIR)
-    inner = found.filter("kind = 'pair'")
-    best = inner.unionByName(edges).groupBy("k", "page_id").agg(F.max(F.struct("near", "lines")).alias("best"))
+    order = ["host", "path", "page_id", "k"]
+    found = materialize(single.select("k", "page_id", "host", "path", "lines").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _paired(b, False), _PAIR), "page-pairs")
+    # two short rows a partition; lines of those few pairs are joined afterwards
+    ends = found.filter("kind != 'pair'").select("k", "page_id", "host", "path", "kind").coalesce(1).sortWithinPartitions(*order, "kind").mapInArrow(lambda b: _paired(b, True), _PAIR)
+    across = ends.drop("lines").join(single.select(F.col("k").alias("other"), "lines"), "other")
+    best = found.filter("kind = 'pair'").unionByName(across, allowMissingColumns=True).groupBy("k", "page_id").agg(F.max(F.struct("near", "lines")).alias("best"))
     of_list = single.select("k", "host", "digest").join(best.select("k", F.col("best.lines").alias("other")), "k").drop("k")
     return keys.select("k", "host", "digest").dropDuplicates(["k"]).join(of_list, ["host", "digest"]).select("k", "other")
 
@@ -353,5 +361,6 @@ def extract(pages: DataFrame) -> DataFrame:
     if keys.isEmpty():
         rows = rows.withColumn("other", F.lit(None).cast("array<long>"))
     else:
-        rows = rows.withColumn("k", _key()).join(neighbours(keys), ["k"], "left").select("page_id", "url", "html", "other")
+        near = materialize(neighbours(keys), "neighbours")
+        rows = rows.withColumn("k", _key()).join(small(near), ["k"], "left").select("page_id", "url", "html", "other")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
