@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,8 @@ SLICE = 1 << 19
 STEEP = 4.0
 #: A share of the two best codewords' loss over which a row is ambiguous.
 AMBIGUOUS = 0.45
-HAS_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a sign of Unicode category L: not a fraction, a circled digit or a Roman numeral sign.
+HAS_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -153,19 +154,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is identified: those that get 'und' go.
+    """The rows of docs whose language is identified, all columns as they are but lang, which becomes the prediction.
 
-    With any labelled row these are the texts that are null or have no letter, so codewords, decoding and ambiguity
-    decide no row here: ambiguous texts and those in languages without labelled rows stay.
+    Rows that get 'und' go: with any labelled row these are the texts that are null or have no letter, so the model
+    decides which language a row has, not whether it stays; ambiguous texts and those in languages without labelled
+    rows stay with the nearest codeword's language. Without a column lang of strings none is written.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    named = dict(docs.dtypes).get("lang") == "string"
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("text")
-            texts = b.column(at)
-            keep = [sent.value.predict(texts[i].as_py())[0] != "und" for i in range(len(texts))]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            texts = b.column(b.schema.get_field_index("text"))
+            found = [sent.value.predict(texts[i].as_py())[0] for i in range(len(texts))]
+            if named:
+                at = b.schema.get_field_index("lang")
+                b = pa.RecordBatch.from_arrays([pa.array(found, b.schema.field(i).type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+            yield b.filter(pa.array([x != "und" for x in found], pa.bool_()))
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
