@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .shared import text_batches
 LONG_PIECE = 128
 #: Pieces kept per worker between batches; the cache is emptied when it is full.
 CACHE_PIECES = 150_000
+#: Code points of a text from which its matches are worked in blocks, and matches of a block.
+LONG_TEXT, BLOCK_PIECES = 1 << 20, 100_000
 NONE = np.iinfo(np.uint32).max
 
 
@@ -177,8 +180,18 @@ class Codec:
         self.token = [self.ranks.by_id.get(i, b"") for i in range(max(self.ranks.by_id) + 1)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(t) for t in texts]
+        """Each text's ids as little-endian unsigned 32-bit integers; a very long text goes in blocks of its matches."""
+        if any(len(t) > LONG_TEXT for t in texts):
+            return [self._encode_long(t) if len(t) > LONG_TEXT else self.encode_batch([t])[0] for t in texts]
+        return self._encode([self.pattern.findall(t) for t in texts])
+
+    def _encode_long(self, text: str) -> bytes:
+        found, out = self.pattern.finditer(text), []
+        while block := [m[0] for m in islice(found, BLOCK_PIECES)]:
+            out += self._encode([block])
+        return b"".join(out)
+
+    def _encode(self, split: list[list[str]]) -> list[bytes]:
         fresh = set().union(*split) - self.cache.keys() if split else set()
         if len(self.cache) + len(fresh) > CACHE_PIECES:
             self.cache.clear()

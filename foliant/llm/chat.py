@@ -115,8 +115,13 @@ def expand(conversations: DataFrame) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, EXAMPLES)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Digests of what expand() wrote, from its text and loss spans alone: one row per conversation."""
+def read_back(examples: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of what expand() wrote, from its text and loss spans alone: one row per conversation.
+
+    in_order: the rows come as expand() gives them; those of a table are brought into that order first.
+    """
+    if not in_order:
+        examples = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
 
     def run(batches):
         out, conv, open_ = [], None, False
