@@ -20,7 +20,7 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go; beyond that the model decides no row of this stage."""
+    """Documents without a language (no text or no letter) go; lang becomes the predicted language of the others."""
     bounded(spark)
     return language.keep_identified(docs.select(COLUMNS), language.fit(docs))
 
@@ -38,7 +38,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the new text."""
-    done = pii.replace(docs.select(COLUMNS))
+    done = pii.replace(docs.select(COLUMNS), pii.session_key(spark))
     length = F.when(F.col("_n_entities") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length.cast("long")).select(COLUMNS)
 

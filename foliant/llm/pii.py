@@ -1,33 +1,39 @@
 """Personal data: detection and keyed surrogates; DataFrame functions alone.
 
-One pattern finds e-mail and IP addresses, phone, card, account and social security numbers, secrets, and persons
-behind a title or with a known given name. Every entity has a type and a canonical form (digits of a number, lower
-case of an address, each name by itself), and its surrogate follows from sha2(key, type, canonical form, attempt)
-alone: the same entity gets the same surrogate in every document and spelling (coreference). The surrogate keeps
-type, script, case, length and separators; a number's country code and a card's first digit and Luhn state stay;
-given names keep the gender that title or name tell.
-
-Numbers and IP addresses go through keyed Feistel permutations of their digits or bits, which never map two to one;
-addresses, secrets and names are drawn from spaces of 2^20 (names) to 2^160. Collision checks over the corpus's
-entities preserve distinctness: of entities of a type that share a surrogate, all but the first draw again with the
-next attempt, and so does one that is its own surrogate, until none collides. The entities with a later attempt, few
+One pattern finds e-mail and IP addresses, phone, card, account and social security numbers, birth dates behind a word
+for them, secrets, and persons behind a title or with a known given name. Every entity has a type and a canonical form
+(a number's digits with its country code, lower case of an address, each name by itself), and its surrogate follows from
+the caller's key, type, canonical form and attempt alone (sha2): the same entity gets the same surrogate in every
+document and spelling (coreference). There is no default key: whoever knows it can search for an entity's surrogate.
+The surrogate keeps type, script, case, length and separators; a phone's country code, a card's first digit and Luhn
+state, an account's country and an address's network class (private, loopback or public) stay, and an account gets
+valid check digits; known given names keep their gender (a title stands beside its name and tells its own).
+
+Numbers, IP addresses and birth dates go through keyed Feistel permutations of their digits, bits or days, which never
+map two to one; e-mail addresses, accounts, secrets and names are drawn from spaces of 2^20 (names) to 2^160. Collision
+checks over the corpus's entities preserve distinctness: of entities of a type that share a surrogate, all but the
+first draw again with the next attempt, and so does one that is its own surrogate, until none collides. Every spelling
+is drawn from the canonical form, so the check of one spelling holds for all. The entities with a later attempt, few
 or none, go as a map to all tasks if they are LATER_MAP at most, and are else joined to the texts that hold them.
 
 Defined results: null text stays null and empty text empty; texts without entities are unchanged, byte for byte;
 repeated rows get equal results; a null doc_id is kept; an empty table gives no rows; in replace() all other columns
 stay as they are, whatever their names. Texts are worked whole; repeats in the pattern are
 bounded or, in secrets of any length, possessive over one class of signs. Of compressed IPv6 addresses those of the
-reserved block 0000::/8 stay (::, ::1, 1::2, which are slices in code), but not IPv4 in IPv6.
+reserved block 0000::/8 stay (::, ::1, 1::2, which are slices in code), but not IPv4 in IPv6. Persons with neither a
+title nor a known given name stay, as a pattern can't tell them from other capitalised words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
-KEY = "foliant"
 ROUNDS = 40
 #: Entities with a later attempt (some 50 bytes each) that are sent as one map.
 LATER_MAP = 5_000
@@ -36,8 +42,8 @@ LATER_MAP = 5_000
 MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Lady"]
 NEUTRAL_TITLES = ["Dr", "Prof", "Professor", "Doctor"]
-MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Daniel", "Paul", "Peter", "Hans", "Klaus", "Jürgen", "Pierre", "Jean", "Jacques", "Carlos", "José", "Juan", "Miguel", "Иван", "Сергей"]
-FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Alice", "Emma", "Maria", "Ursula", "Petra", "Marie", "Sophie", "Claire", "Carmen", "Lucía", "Isabel", "Анна", "Мария"]
+MALE_NAMES = "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Alexander Benjamin Samuel Peter Henry Oliver Hans Klaus Jürgen Wolfgang Stefan Andreas Matthias Lukas Felix Jonas Pierre Jean Jacques Michel Philippe Nicolas Antoine Olivier Carlos José Juan Miguel Luis Javier Antonio Pablo Diego Fernando Иван Сергей Алексей Дмитрий Николай".split()
+FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Michelle Laura Rebecca Emma Olivia Anna Alice Julia Maria Ursula Petra Sabine Monika Claudia Katharina Johanna Marie Sophie Claire Camille Charlotte Isabelle Nathalie Carmen Lucía Isabel Elena Ana Pilar Teresa Анна Мария Елена Ольга Наталья".split()
 SYLLABLES = {
     "latin": ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va"],
     "cyrillic": ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ша"],
@@ -45,34 +51,43 @@ SYLLABLES = {
 }
 MALE_END, FEMALE_END, OTHER_END = {"latin": "n", "cyrillic": "н", "greek": "ν"}, {"latin": "la", "cyrillic": "ла", "greek": "λα"}, {"latin": "r", "cyrillic": "р", "greek": "ρ"}
 
+# Calling codes of one and two digits; all others have three. Words for a birth date.
+CODES_1, CODES_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+BORN = ["born", "date of birth", "birth date", "birthdate", "birthday", "dob", "geboren", "geburtsdatum", "geb.", "né", "née", "naissance", "nacido", "nacida", "nacimiento"]
+
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
+#: Titles behind which a second capitalised word is mostly a noun.
+_GERMAN = ["Herr", "Frau"]
 _either = lambda xs: "(?:" + "|".join(sorted(xs, key=lambda x: (-len(x), x))) + ")"
 _NAME = r"\p{Lu}[\p{L}'’]{1,40}(?:-\p{Lu}\p{L}{1,40})?"
+_given, _second = _either(MALE_NAMES + FEMALE_NAMES), rf"(?:{_either(['Dr', 'Prof'])}\.? )?"
+_titled = rf"{_either(_TITLES)}\.? {_second}"
+_WORD_START = r"(?<![\p{L}\p{N}])(?=\p{Lu})"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _QUAD = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # IPv6 with '::': a first group of three or four digits, one decimal digit or an allocated first group, at most seven groups.
 _SHORT_V6 = rf"(?<![\w:.])(?=[0-9A-Fa-f]{{3,4}}:)(?=[A-Fa-f:]*\d|[Ff][C-Fc-f])(?!(?:[0-9A-Fa-f]{{0,4}}:){{8}}[0-9A-Fa-f:])(?:{_HEX}:){{1,7}}(?::(?:{_HEX}:){{0,5}}(?:{_QUAD}(?!\.?\d)|{_HEX})|:)(?![\w:])"
 _V4_IN_V6 = rf"(?<![\w:.])(?:::(?:[Ff]{{4}}:(?:0{{1,4}}:)?)?|64:[Ff]{{2}}9[Bb]::|(?:{_HEX}:){{6}}){_QUAD}(?!\.?\d)"
+#: Phone numbers without a country code that begin with 0 and aren't grouped as in North America.
+_NATIONAL = r"^0[1-9](?:(?:[ .-]\d{2}){4}|\d{1,4}[ /]\d{5,9})$"
 PATTERNS = {
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/.\-]{8,}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])" + f"|{_SHORT_V6}|{_V4_IN_V6}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w.-])0[1-9](?:[ .-]\d{2}){4}(?![\w-])|(?<![\w.-])0[1-9]\d{1,4}[ /]\d{5,9}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.-])(?:\d{4}[ -]){3}\d{1,7}(?![\d-])|(?<![\w.-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])|(?<![\w.-])\d{13,19}(?!\w)",
-    "person": rf"(?<![\p{{L}}\p{{N}}]){_either(_TITLES)}\.? (?:{_NAME})(?: {_NAME}){{0,2}}|(?<![\p{{L}}\p{{N}}]){_either(MALE_NAMES + FEMALE_NAMES)} {_NAME}(?: {_NAME})?(?![\p{{L}}])",
+    "birth": rf"(?i:(?<!\p{{L}}){_either([b.replace('.', '[.]') for b in BORN])}(?: ?[:=]| (?:on|am|le|el))?) (?:(?:19|20)\d{{2}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)\d{{2}})(?!\d)",
+    "person": rf"{_WORD_START}{_either(_GERMAN)} {_second}(?:{_given} )?{_NAME}|{_WORD_START}{_either([t for t in _TITLES if t not in _GERMAN])}\.? {_second}{_NAME}(?: {_NAME}){{0,2}}|{_WORD_START}{_given} {_NAME}(?: {_NAME})?(?![\p{{L}}])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _GROUPS = {"secret": r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s*[=:]\s*\"?"}
 
 
 def hinted(text: Column) -> Column:
-    """False only for texts without an entity; cheap searches for a byte class and fixed strings."""
-    out = text.rlike("[0-9@=:]")
-    for name in [*_TITLES, *MALE_NAMES, *FEMALE_NAMES]:
-        out = out | text.contains(name)
-    return out
+    """False only for texts without an entity; cheap searches for a byte class and for titles and names."""
+    return text.rlike("[0-9@=:]") | text.rlike(rf"{_WORD_START}{_either(_TITLES + MALE_NAMES + FEMALE_NAMES)}[. ]")
 
 
 def _let(value: Column, use) -> Column:
@@ -88,12 +103,17 @@ def _kind(found: Column) -> Column:
 
 
 def _title(found: Column) -> Column:
-    return F.regexp_extract(found, rf"^({_either(_TITLES)}\.? )", 1)
+    return F.regexp_extract(found, rf"^({_titled})", 1)
 
 
 def _body(found: Column, kind: Column) -> Column:
     """The part of a match that is replaced: no title, no label."""
-    return F.when(kind == "secret", F.regexp_replace(found, _GROUPS["secret"], "")).when(kind == "person", F.regexp_replace(found, rf"^{_either(_TITLES)}\.? ", "")).otherwise(found)
+    return (
+        F.when(kind == "secret", F.regexp_replace(found, _GROUPS["secret"], ""))
+        .when(kind == "person", F.regexp_replace(found, rf"^{_titled}", ""))
+        .when(kind == "birth", F.regexp_extract(found, r"[\d./-]+$", 0))
+        .otherwise(found)
+    )
 
 
 def _v6(body: Column) -> Column:
@@ -111,14 +131,28 @@ def _v6(body: Column) -> Column:
     return _let(plain, whole)
 
 
+def _iso(date: Column) -> Column:
+    """A birth date as year-month-day."""
+    return F.when(date.rlike("^[0-9]{4}"), date).otherwise(F.concat_ws("-", F.substring(date, 7, 4), F.substring(date, 4, 2), F.substring(date, 1, 2)))
+
+
 def _canon(body: Column, kind: Column) -> Column:
     digits = F.regexp_replace(body, r"\D", "")
-    return F.when((kind == "phone") & body.startswith("+1"), F.substring(digits, F.lit(2), F.length(digits))).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(body, " ", "")).when((kind == "ip") & body.contains(":"), _v6(body)).otherwise(F.lower(body))
+    return (
+        F.when((kind == "phone") & body.startswith("+1"), F.substring(digits, F.lit(2), F.length(digits)))
+        .when((kind == "phone") & body.startswith("+"), F.concat(F.lit("+"), digits))
+        .when((kind == "phone") & body.rlike(_NATIONAL), F.concat(F.lit("n"), digits))
+        .when(kind.isin("phone", "card", "ssn"), digits)
+        .when(kind == "iban", F.regexp_replace(body, " ", ""))
+        .when(kind == "birth", _iso(body))
+        .when((kind == "ip") & body.contains(":"), _v6(body))
+        .otherwise(F.lower(body))
+    )
 
 
-def _gender(title: Column, given: Column) -> Column:
-    bare = F.regexp_replace(title, r"[. ]", "")
-    return F.when(bare.isin(MALE_TITLES) | given.isin(MALE_NAMES), "m").when(bare.isin(FEMALE_TITLES) | given.isin(FEMALE_NAMES), "f").otherwise("n")
+def _gender(given: Column) -> Column:
+    """By the name alone, so that a name keeps one surrogate behind any title."""
+    return F.when(given.isin(MALE_NAMES), "m").when(given.isin(FEMALE_NAMES), "f").otherwise("n")
 
 
 def _script(name: Column) -> Column:
@@ -131,7 +165,7 @@ def units(found: Column, kind: Column, body: Column) -> Column:
     def of_person(names):
         title = _title(found)
         family = lambda i: (i == F.size(names) - 1) & ((F.size(names) > 1) | (title != ""))
-        given = F.concat(F.lit("given-"), _gender(title, F.get(names, F.lit(0))))
+        given = F.concat(F.lit("given-"), _gender(F.get(names, F.lit(0))))
         return F.transform(names, lambda n, i: F.struct(F.when(family(i), "surname").otherwise(given).alias("kind"), F.lower(n).alias("canon"), n.alias("body")))
 
     whole = F.array(F.struct(kind.alias("kind"), _canon(body, kind).alias("canon"), body.alias("body")))
@@ -229,10 +263,39 @@ def _refill(body: Column, digits: Column, skip: Column) -> Column:
     return F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
 
 
-def _number(body: Column, canon: Column, keep: Column, key: str, kind: Column, attempt: Column) -> Column:
-    """All digits of the canonical form but the first `keep` permuted, in the body's format."""
-    before = F.length(F.regexp_replace(body, r"\D", "")) - F.length(canon)
-    return _let(_permute(F.substring(canon, keep + 1, F.length(canon)), key, kind, attempt), lambda d: _refill(body, d, before + keep))
+def _number(body: Column, canon: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """All digits of the canonical form but a country code or a phone's leading 0 permuted, in the body's format."""
+    code = F.when(F.substring(canon, 2, 1).isin(CODES_1), 1).when(F.substring(canon, 2, 2).isin(CODES_2), 2).otherwise(3)
+    keep = F.when(canon.startswith("+"), code).when(canon.startswith("n"), 1).otherwise(0)
+    digits = F.regexp_replace(canon, r"\D", "")
+    before = F.length(F.regexp_replace(body, r"\D", "")) - F.length(digits)
+    return _let(_permute(F.substring(digits, keep + 1, F.length(digits)), key, kind, attempt), lambda d: _refill(body, d, before + keep))
+
+
+def _birth(body: Column, canon: Column, key: str, kind: Column, attempt: Column) -> Column:
+    """A permutation of the days of 1900 to 2099 (below 271 x 270, walked until a day comes), in the body's format."""
+    days, wide = 73_049, 270
+    day = F.greatest(F.lit(0), F.coalesce(F.datediff(F.try_to_timestamp(canon, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date")), F.lit(0))).cast("long")
+
+    def step(x, i):
+        mixed = _feistel(F.floor(x / wide), x % wide, F.lit(271), F.lit(wide), key, kind, attempt, F.lit("day"))
+        return F.when((i > 0) & (x < days), x).otherwise(_let(mixed, lambda m: (m["l"] * wide + m["r"]).cast("long")))
+
+    drawn = F.aggregate(F.array(*map(F.lit, range(8))), day, step)
+    date = F.date_add(F.lit("1900-01-01").cast("date"), (drawn % days).cast("int"))
+    iso = body.rlike("^[0-9]{4}")
+    return F.when(iso, F.date_format(date, "yyyy-MM-dd")).when(body.contains("/"), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
+
+
+def _iban(body: Column, stream: Column) -> Column:
+    """Letters and digits behind the country drawn anew, and the check digits that they ask for (ISO 7064, modulo 97)."""
+
+    def closed(filled):
+        order = F.concat(F.regexp_replace(F.substring(filled, F.lit(5), F.length(filled)), " ", ""), F.substring(filled, 1, 2), F.lit("00"))
+        rest = F.aggregate(F.split(order, ""), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+        return F.concat(F.substring(filled, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(filled, F.lit(5), F.length(filled)))
+
+    return _let(_fill(body, stream, F.lit(2)), closed)
 
 
 def _card(body: Column, canon: Column, key: str, kind: Column, attempt: Column) -> Column:
@@ -249,10 +312,28 @@ def _card(body: Column, canon: Column, key: str, kind: Column, attempt: Column)
 
 
 def _ip(body: Column, stream: Column, key: str, kind: Column, attempt: Column) -> Column:
-    """Version 4: a permutation of all addresses; version 6: a unique local address."""
+    """Version 4: a permutation of the address's class; version 6: a unique local address.
+
+    Classes are the private blocks 172.16/12 and 192.168/16, 169.254/16, each first octet of 0, 10, 127 and 224 on, and
+    all public addresses, whose permutation of 32 bits is walked until it comes to a public one.
+    """
     o = F.split(body, r"\.")
     part = lambda i: F.get(o, F.lit(i)).cast("long")
-    mixed = _feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(1 << 16), F.lit(1 << 16), key, kind, attempt, F.lit(4))
+    high, low = part(0) * 256 + part(1), part(2) * 256 + part(3)
+    octet = lambda x: F.floor(x / 256).isin(0, 10, 127) | (x >= 224 * 256)
+    twelve = lambda x: x.between(172 * 256 + 16, 172 * 256 + 31)
+    sixteen = lambda x: x.isin(192 * 256 + 168, 169 * 256 + 254)
+    # the block's first address, and the sizes of what is permuted: all below the block
+    base = F.when(octet(high), F.floor(high / 256) * 256).when(twelve(high), F.lit(172 * 256 + 16).cast("long")).otherwise(high)
+    size = F.when(octet(high), 256).when(twelve(high), 16).otherwise(1)
+    inner = _feistel(high - base, low, size, F.lit(1 << 16), key, kind, attempt, base)
+
+    def step(x, i):
+        again = _feistel(x["l"], x["r"], F.lit(1 << 16), F.lit(1 << 16), key, kind, attempt, F.lit("public"))
+        return F.when((i > 0) & ~(octet(x["l"]) | twelve(x["l"]) | sixteen(x["l"])), x).otherwise(again)
+
+    outer = F.aggregate(F.array(*map(F.lit, range(8))), F.struct(high.cast("long").alias("l"), low.cast("long").alias("r")), step)
+    mixed = F.when(octet(high) | twelve(high) | sixteen(high), _let(inner, lambda m: F.struct((m["l"] + base).cast("long").alias("l"), m["r"].alias("r")))).otherwise(outer)
     four = _let(mixed, lambda m: F.concat_ws(".", F.floor(m["l"] / 256).cast("string"), (m["l"] % 256).cast("string"), F.floor(m["r"] / 256).cast("string"), (m["r"] % 256).cast("string")))
     six = F.concat(F.lit("fd"), F.substring(stream, 1, 2), *[F.concat(F.lit(":"), F.substring(stream, 4 * i + 3, 4)) for i in range(7)])
     return F.when(body.contains(":"), six).otherwise(four)
@@ -279,17 +360,15 @@ def _name(name: Column, kind: Column, stream: Column) -> Column:
 
 def surrogate(kind: Column, body: Column, canon: Column, attempt: Column, key: str) -> Column:
     """What stands for one entity, in the format of the spelling `body`."""
-    country = F.length(F.regexp_extract(body, r"^\+(\d{1,3})[ .(-]", 1))
-
     def drawn(stream):
         return (
             F.when(kind.isin("surname", "given-m", "given-f", "given-n"), _name(body, kind, stream))
             .when(kind == "card", _card(body, canon, key, kind, attempt))
             .when(kind == "ip", _ip(body, stream, key, kind, attempt))
             .when(kind == "email", _email(body, stream, key))
-            .when(kind == "phone", _number(body, canon, F.when(body.startswith("+1"), 0).otherwise(country), key, kind, attempt))
-            .when(kind == "ssn", _number(body, canon, F.lit(0), key, kind, attempt))
-            .when(kind == "iban", _fill(body, stream, F.lit(2)))
+            .when(kind.isin("phone", "ssn"), _number(body, canon, key, kind, attempt))
+            .when(kind == "birth", _birth(body, canon, key, kind, attempt))
+            .when(kind == "iban", _iban(body, stream))
             .when((kind == "secret") & body.rlike("^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$"), _hex(body, stream))
             .when(kind == "secret", _fill_secret(body, stream))
             .otherwise(_fill(body, stream, F.lit(0)))
@@ -305,7 +384,7 @@ def entities(docs: DataFrame) -> DataFrame:
     return each.groupBy("u.kind", "u.canon").agg(F.min("u.body").alias("body"))
 
 
-def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
+def attempts(docs: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate collides; mostly there are none."""
     known = materialize(entities(docs).withColumn("attempt", F.lit(0)), "entities")
     for _ in range(ROUNDS):
@@ -339,23 +418,36 @@ def _replaced(text: Column, later: Column | None, key: str) -> Column:
     return F.struct(F.array_join(joined, "").alias("text"), F.size(found).cast("long").alias("n"))
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with every entity in text replaced; all columns stay, and a last column _n_entities counts replacements."""
-    columns = docs.columns
+def session_key(spark: SparkSession) -> str:
+    """The secret of spark.foliant.pii.key; where it is unset one that is drawn for this process, so runs differ."""
+    return spark.conf.get("spark.foliant.pii.key", None) or _drawn_key()
+
+
+@lru_cache(maxsize=1)
+def _drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """docs with every entity in text replaced; all columns stay, and a last column _n_entities counts replacements.
+
+    A column of docs that is named _n_entities gives way to it.
+    """
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    columns = [c for c in docs.columns if c != "_n_entities"]
     later = attempts(docs, key)
-    text = F.col("text")
+    rows, text = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), F.col("row.text")
     has = hinted(text)
     few = later.limit(LATER_MAP + 1).collect()
     if len(few) <= LATER_MAP:
         known = F.map_from_arrays(F.lit([f"{r.kind}\x1f{r.canon}" for r in few]), F.lit([r.attempt for r in few])) if few else None
-        out = docs.withColumn("_done", F.when(has, _replaced(text, known, key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))))
     else:
         # the few documents with such entities get a map of their attempts, found by a hash of the text
-        mark = F.sha2("text", 256)
-        own = docs.filter(has).select("text").distinct().select(mark.alias("_mark"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda m: parted(m)["units"]))).alias("u"))
-        maps = own.select("_mark", "u.kind", "u.canon").distinct().join(later, ["kind", "canon"]).groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("_later"))
-        found = docs.withColumn("_mark", F.when(has, mark)).join(maps, "_mark", "left")
-        none = F.create_map().cast("map<string,int>")
-        out = found.withColumn("_done", F.when(has, _replaced(text, F.coalesce("_later", none), key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))))
-    return out.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.col("_done.n").alias("_n_entities"))
-
+        mark = F.sha2(text, 256)
+        own = rows.filter(has).select(text.alias("text")).distinct().select(F.sha2("text", 256).alias("mark"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda m: parted(m)["units"]))).alias("u"))
+        maps = own.select("mark", "u.kind", "u.canon").distinct().join(later, ["kind", "canon"]).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("later"))
+        rows = rows.withColumn("mark", F.when(has, mark)).join(maps, "mark", "left")
+        known = F.coalesce("later", F.create_map().cast("map<string,int>"))
+    done = rows.withColumn("done", F.when(has, _replaced(text, known, key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))))
+    return done.select(*[F.col("done.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns], F.col("done.n").alias("_n_entities"))

@@ -40,8 +40,8 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text with surrogates, n_entities replaced."""
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("_n_entities", "n_entities")
+    """doc_id, text with surrogates, n_entities replaced; the key is the session's."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark)).withColumnRenamed("_n_entities", "n_entities")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return chat.read_back(chat.expand(turns.unionByName(own)))
+    return chat.read_back(chat.expand(turns.unionByName(own)), in_order=True)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

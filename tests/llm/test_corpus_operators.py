@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -278,6 +279,7 @@ def test_hilbert_steps(spark):
     assert [h for h, _ in rows] == list(range(512)) and all(sum(abs(p - q) for p, q in zip(a, b)) == 1 for (_, a), (_, b) in zip(rows, rows[1:]))
 
 
+KEY = "a secret of these tests"
 PRIVATE = {
     "email": "john.smith@mail.com", "phone": "+1 (017) 555-7713", "card": "4929348385146306", "ip": "97.51.17.173", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00",
     "secret": "04dbebab91ab85687d33eeaaf9ac699e1188f962", "person": "Johnson", "cyrillic": "Петров",
@@ -286,8 +288,8 @@ PRIVATE = {
 
 def test_surrogates(spark):
     texts = [f"Write to {PRIVATE['email']} or JOHN.SMITH@MAIL.COM.", f"Call {PRIVATE['phone']}, (017) 555-7713; card {PRIVATE['card']}, 4929-3483-8514-6306.", f"from {PRIVATE['ip']}. ssn {PRIVATE['ssn']}", f'token = "{PRIVATE["secret"]}"', "Mr. James Johnson met Mrs Mary Johnson, Dr Иван Петров", PRIVATE["iban"], None, "", "clean text, version 1.2.3 of 2024-01-02, sum 12.50"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kind", F.lit("clash"))
-    out = pii.replace(docs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kind", F.lit("clash")).withColumn("_done", F.lit(1)).withColumn("row", F.lit(2)).withColumn("later", F.lit(3))
+    out = pii.replace(docs, KEY)
     got = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == [*docs.columns, "_n_entities"]
     assert not any(v in (t or "") for v in PRIVATE.values() for t in got.values())
@@ -301,8 +303,8 @@ def test_surrogates(spark):
     names = re.fullmatch(r"Mr\. (\S+n) (\S+) met Mrs (\S+la) (\S+), Dr (\S+) (\S+)", got[4]).groups()
     assert names[1] == names[3] and re.fullmatch("[А-Я][а-я]+", names[5])
     assert re.search(r'token = "[0-9a-f]{40}"$', got[3]) and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", got[5])
-    assert {r.doc_id: r.text for r in pii.replace(docs).collect()} == got and pii.replace(docs, "other key").filter("doc_id = 0").first().text != got[0]
-    assert pii.replace(docs.limit(0)).count() == 0
+    assert {r.doc_id: r.text for r in pii.replace(docs, KEY).collect()} == got and pii.replace(docs, "other key").filter("doc_id = 0").first().text != got[0]
+    assert pii.replace(docs.limit(0), KEY).count() == 0
 
 
 def test_long_secrets_and_short_addresses(spark):
@@ -315,7 +317,7 @@ def test_long_secrets_and_short_addresses(spark):
     texts += [f"from {a}, port" for a in v6] + ["2001:db8::1 2001:0DB8:0:0:0:0:0:1 2001:db8:0::1"]
     clean = ["x[::2] y[1::2] std::add face::add at 12:30:45, a::b", "12:34:56:78::90 is ::1", "2001:db8:1:2:3:4:5:6::7"]
     docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
-    got = [r.text for r in pii.replace(docs).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.replace(docs, KEY).orderBy("doc_id").collect()]
     for body, text, new in zip(bodies, texts, got):
         assert len(new) == len(text) and new != text and new.endswith(("end",))
         old = {body[i : i + 12] for i in range(len(body) - 11)}
@@ -333,11 +335,60 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(pii, "SYLLABLES", few)
     for most in (pii.LATER_MAP, 3):
         monkeypatch.setattr(pii, "LATER_MAP", most)
-        got = [r.text for r in pii.replace(docs).collect()]
+        got = [r.text for r in pii.replace(docs, KEY).collect()]
         parts = [re.fullmatch(r"Mr\. (\S+) called (\+1 \(\d{3}\) \d{3}-\d{4}) from (\S+)", t).groups() for t in got]
         assert [len(set(x)) for x in zip(*parts)] == [400, 400, 400]
 
 
+SPELLINGS = [  # one entity a line, in several spellings; all are distinct
+    ("phone", ["+44 1234 567890", "+441234567890", "+44-1234-567890", "+44.1234.567890"]), ("phone", ["+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "+1 017 555 7713"]),
+    ("phone", ["06 12 34 56 78", "06.12.34.56.78"]), ("phone", ["030 1234567"]), ("phone", ["+351 21 123 4567", "+351211234567"]), ("card", ["4929348385146306", "4929-3483-8514-6306", "4929 3483 8514 6306"]),
+    ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]), ("iban", ["GB29 NWBK 6016 1331 9268 19"]), ("ip", ["10.0.0.1"]), ("ip", ["10.0.0.2"]), ("ip", ["172.16.9.9"]), ("ip", ["192.168.7.1"]), ("ip", ["8.8.4.4"]), ("ip", ["127.0.0.9"]),
+    ("ip", ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1"]), ("email", ["a.b@c.org", "A.B@C.ORG"]), ("email", ["a.c@c.org"]), ("ssn", ["123-45-6789"]), ("birth", ["born on 12.03.1980", "dob: 1980-03-12", "née le 12/03/1980"]), ("birth", ["born 13.03.1980"]),
+    ("person", ["Dr. Alex", "Mr. Alex", "Herr Alex", "Prof. Dr. Alex"]), ("person", ["Alexander Petersen", "Mr. Alexander Petersen", "Dr Alexander Petersen", "Sir Alexander Petersen"]), ("person", ["Mrs. Doe", "Frau Doe"]),
+]
+
+
+def _canonical(text):
+    """Signs that count, in lower case, without what only tells the type."""
+    text = re.sub(r"^(?:Prof\. Dr\.|Dr\.?|Mr\.|Mrs\.|Herr|Frau|Sir|born on|born|dob:|née le) ", "", text)
+    if re.fullmatch(r"[0-9a-fA-F:]*:[0-9a-fA-F:]*", text):
+        return str(ipaddress.ip_address(text))
+    if m := re.fullmatch(r"(\d\d)[./](\d\d)[./](\d{4})", text):
+        return "".join(m.groups()[::-1])
+    return text.lower() if "@" in text else re.sub(r"^1(?=\d{10}$)", "", re.sub(r"[^A-Za-z0-9]", "", text).lower()) if text[:2] != "10" and text.count(".") != 3 else text
+
+
+def test_surrogates_by_entity(spark):
+    """Against a table of entities: spellings agree, entities differ, formats and classes stay."""
+    rows = [(i * 10 + j, f"see {s}, then", s) for i, (_, own) in enumerate(SPELLINGS) for j, s in enumerate(own)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text[4:-6] for r in pii.replace(docs, KEY).collect()}
+    seen = {}
+    for i, (kind, own) in enumerate(SPELLINGS):
+        new = [got[i * 10 + j] for j in range(len(own))]
+        forms = {_canonical(x) for x in new}
+        assert len(forms) == 1 and not forms & {_canonical(x) for x in own}, (own, new)
+        assert seen.setdefault((kind, *forms), i) == i
+        shape = lambda x: re.sub(r"\d", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", x)))
+        if kind in ("phone", "card", "ssn", "birth"):
+            assert [shape(x) for x in new] == [shape(x) for x in own]
+        for old, x in zip(own, new):
+            if kind == "iban":
+                flat = x.replace(" ", "")
+                assert x[:2] == old[:2] and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+            if kind == "ip":
+                a, b = ipaddress.ip_address(old), ipaddress.ip_address(x)
+                assert a.version == b.version and (a.version == 6 or (a.is_private, a.is_loopback, a.is_global) == (b.is_private, b.is_loopback, b.is_global)), (old, x)
+            if kind == "phone" and old[0] in "+0":
+                assert x[: 3 if old.startswith("+44") else 4 if old.startswith("+351") else 1] == old[: 3 if old.startswith("+44") else 4 if old.startswith("+351") else 1] or old.startswith("017")
+    assert got[0][:3] == "+44"
+    noun = spark.createDataFrame([(1, "Herr Müller Auto fahren"), (2, "on 12.03.1980 at 12:30, 1 200 000 times")], "doc_id long, text string")
+    assert [re.fullmatch(r"Herr \S+ Auto fahren|on 12.03.1980 at 12:30, 1 200 000 times", r.text) is not None for r in pii.replace(noun, KEY).collect()] == [True, True]
+    with pytest.raises(ValueError):
+        pii.replace(docs, "")
+
+
 @pytest.mark.parametrize("most", [shared.BROADCAST_BYTES, 0])
 def test_decontamination(spark, monkeypatch, most):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
