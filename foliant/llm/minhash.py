@@ -1,14 +1,15 @@
 """Near-duplicate detection with bottom-k MinHash sketches.
 
 One hash function maps each shingle of SHINGLE words to 64 bits. Documents with equal sets form a class with one
-representative. A class's sketch retains the K least hashes of its set, which is all of a short one. Of the K least
-values of two sets' union those in both sets are in both sketches, so a pair over the threshold has a least overlap of
-its sketches: exactly known where sets are whole, else ERRORS standard deviations below the mean (see least_overlap).
+representative. A class's sketch retains the RETAINED least hashes of its set, which is all of a shorter one. Of the
+least values of two sets' union those in both sets are in both sketches, so a pair over the threshold has a least
+overlap of its sketches: exactly known where sets are whole, else ERRORS standard deviations below the mean (see
+least_overlap). The longer the sketch, the nearer that bound lies to the mean, and the fewer values must be listed.
 Inverted lists of the retained values generate the overlaps: a class is listed under as many of its retained values as
 a pair with the least overlap must share one of, rare ones first. Rarity comes from a histogram of fixed size over all
 values, so passages and templates that many documents share come last. Two classes of a list are a candidate pair when
-their sizes and the value's places leave room for the least overlap. The union of the two sketches then estimates a
-pair's similarity; a pair that comes through is verified by exact Jaccard similarity of the full sets, from the
+their sizes and the value's places leave room for the least overlap. The union of the K least values of both then
+estimates a pair's similarity; a pair that comes through is verified by exact Jaccard similarity of the full sets, from the
 sketches alone where they are whole sets.
 
 A list of n classes isn't expanded to n^2 pairs: first every class meets its list's leader (the class with the least
@@ -16,9 +17,9 @@ place, such as the original of many copies), which ties large groups into compon
 than one component, pairs between different components are tried. Pairs inside a component can't change the result.
 Lists of frequent values are dealt in SALTS parts with a leader each, and the leaders meet theirs.
 
-Lists and estimate ask for the same overlap, so a pair at the very threshold is lost with a chance (binomial tail of K
-values) of 4.3e-9 at 85 percent and 9.8e-10 at 80 (ERRORS = 6.5), in model, and never where sets are whole;
-verification stays exact. Texts are read again where sets are needed, of the documents that a bitmap of fixed size
+A pair at the very threshold is lost by the estimate with a chance (binomial tail of K values) of 4.3e-9 at 85 percent
+and 9.8e-10 at 80 (ERRORS = 6.5), by the lists with one of 1e-10 (RETAINED values), in model, and never where sets
+are whole; verification stays exact. Texts are read again where sets are needed, of the documents that a bitmap of fixed size
 names, so sets of documents without candidates are never moved.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE make
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import bitmap, mapped_rows, materialize, text_batches
 
-SHINGLE, K, ERRORS = 5, 128, 6.5
+SHINGLE, RETAINED, K, ERRORS = 5, 1024, 128, 6.5
 #: Links need 100 * intersection >= percent * union; a query's or stage's contract names its own, this is op1's.
 PERCENT = 85
 BUCKET_BITS = 18
@@ -139,20 +140,20 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def least_overlap(n: int, percent: int) -> int:
-    """How many retained values a set of n values shares at least with any set over the threshold.
+def least_overlap(n: int, percent: int, k: int | None = None) -> int:
+    """How many of its k (RETAINED) least values a set of n values shares at least with those of any set over the threshold.
 
-    A partner of a set of up to percent / 100 * K values has K at most, so both sketches are whole and the number is exact.
+    A partner of a set of up to percent / 100 * k values has k at most, so both are whole and the number is exact.
     """
-    t = percent / 100
-    if 100 * n <= percent * K:
+    t, k = percent / 100, k or RETAINED
+    if 100 * n <= percent * k:
         return -(-percent * n // 100)
-    return math.ceil(t * K - ERRORS * math.sqrt(K * t * (1 - t)))
+    return math.ceil(t * k - ERRORS * math.sqrt(k * t * (1 - t)))
 
 
 def listed(n: int, percent: int) -> int:
     """Under how many of its retained values, rare ones first, a class is listed: a pair must share one of them."""
-    return min(n, K) - least_overlap(n, percent) + 1
+    return min(n, RETAINED) - least_overlap(n, percent) + 1
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -202,7 +203,7 @@ def postings(docs: DataFrame, named: bytes, counts: np.ndarray, percent: int) ->
             for key, values in zip(ids, shingle_sets(texts)):
                 n = len(values)
                 if n:
-                    sketch = values[:K]
+                    sketch = values[:RETAINED]
                     rank = rarity[_bucket(sketch)]
                     order = np.lexsort((sketch, rank))[: listed(n, percent)]
                     salt = np.where(rank[order] > hot, 1 + key % SALTS, 0)
@@ -230,8 +231,8 @@ def sets(docs: DataFrame, named: bytes, most: int | None = None) -> DataFrame:
 def _feasible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
     """Whether sizes and places of a shared value leave room for the threshold: the first shared place has the others behind it."""
     whole = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
-    least = F.when(100 * F.least(na, nb) <= percent * K, whole).otherwise(least_overlap(2 * K, percent))
-    room = F.least(F.least(na, F.lit(K)) - pa_, F.least(nb, F.lit(K)) - pb)
+    least = F.when(100 * F.least(na, nb) <= percent * RETAINED, whole).otherwise(least_overlap(2 * RETAINED, percent))
+    room = F.least(F.least(na, F.lit(RETAINED)) - pa_, F.least(nb, F.lit(RETAINED)) - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room >= least)
 
 
@@ -251,7 +252,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     both = both.withColumn("common", F.array_intersect("va", "vb")).withColumn("union", F.slice(F.array_sort(F.array_union("va", "vb")), 1, K))
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
     exact = lambda inter: 100 * inter >= percent * (F.col("na") + F.col("nb") - inter)
-    near = F.size(F.array_intersect("common", "union")) >= least_overlap(2 * K, percent)
+    near = F.size(F.array_intersect("common", "union")) >= least_overlap(2 * K, percent, K)
     judged = materialize(both.filter(F.when(whole, exact(F.size("common"))).otherwise(near)).select("a", "b", whole.alias("sure")), "estimated")
     open_ = judged.filter("not sure").select("a", "b")
     checked = _with_sets(open_, sets(docs, _ends(open_))).filter(exact(F.size(F.array_intersect("va", "vb")))).select("a", "b")

@@ -74,10 +74,12 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     texts |= {200: None, 201: "", 202: " \n ", 203: "one two", 204: "ONE two", 205: "one  two three", 206: "a b c d e", 207: "A B C D E", 208: "é É é É é", 209: "É É É É É"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("component", F.lit(1)).withColumn("_gone", F.lit(2))
     want = _components(texts)
-    for hot in (minhash.HOT_VALUES, -1000):
+    for hot, retained in ((minhash.HOT_VALUES, 1024), (-1000, 1024), (-1000, 300)):
         monkeypatch.setattr(minhash, "HOT_VALUES", hot)
+        monkeypatch.setattr(minhash, "RETAINED", retained)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
         assert got == want
+    monkeypatch.undo()
     kept = minhash.keep_first(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, (_, c) in want.items() if c == k}
 
@@ -108,7 +110,7 @@ def test_variants_of_one_template(spark):
 
 def test_estimate_keeps_pairs_at_the_threshold():
     for t in (0.80, 0.85):
-        least = minhash.least_overlap(10_000, round(100 * t))
+        least = minhash.least_overlap(10_000, round(100 * t), minhash.K)
         assert least == math.ceil(t * minhash.K - minhash.ERRORS * math.sqrt(minhash.K * t * (1 - t)))
         assert sum(math.comb(minhash.K, i) * t**i * (1 - t) ** (minhash.K - i) for i in range(least)) < 1e-8
 
