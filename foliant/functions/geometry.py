@@ -44,3 +44,34 @@ def rotated(x: Column, y: Column, degrees: float, cx: Column, cy: Column, to_x:
     r = F.radians(F.lit(float(degrees)))
     dx, dy = x - cx, y - cy
     return [to_x + dx * F.cos(r) - dy * F.sin(r), to_y + dx * F.sin(r) + dy * F.cos(r)]
+
+
+def of_points(points: Column, width: Column, height: Column) -> Column:
+    """The box around array<struct(x, y)>, clipped to the page; null where it is empty."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return clipped(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), width, height)
+
+
+def whole_points(points: Column, width: Column, height: Column) -> Column:
+    """The points as whole pixels of the page."""
+    on = lambda x, most: F.greatest(F.lit(0), F.least(most, F.bround(x.cast("double"), 0).cast("int")))
+    return F.transform(points, lambda p: F.struct(on(p["x"], width).alias("x"), on(p["y"], height).alias("y")))
+
+
+def padded(width: Column, height: Column, padding: int) -> list[Column]:
+    """Width and height of a page with a white margin."""
+    return [width + 2 * padding, height + 2 * padding]
+
+
+def unpadded(left: Column, top: Column, width: Column, height: Column, padding: int, page_width: Column, page_height: Column) -> Column:
+    """A box of a page with a margin on the page without it."""
+    return clipped(left - padding, top - padding, left + width - padding, top + height - padding, page_width, page_height)
+
+
+def turned_back(left: Column, top: Column, width: Column, height: Column, padding: int, degrees: float, turned: tuple[Column, Column], page: tuple[Column, Column]) -> Column:
+    """A box of a page that was padded and turned by `degrees`, on the page as it was: the box around its four corners."""
+    x0, y0 = left - padding, top - padding
+    corners = [(x0, y0), (x0 + width, y0), (x0 + width, y0 + height), (x0, y0 + height)]
+    half = [c / 2 for c in (*turned, *page)]
+    points = [rotated(x, y, degrees, half[0], half[1], half[2], half[3]) for x, y in corners]
+    return of_points(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points]), *page)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import vocab
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Unicode white space single and none at the ends; null becomes empty."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
@@ -103,3 +108,11 @@ def tokens(text: Column, stopwords) -> Column:
     han = F.regexp_extract_all(t, F.lit(r"[一-鿿]"), F.lit(0))
     pairs = F.transform(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(han, i + 1)))
     return F.array_except(F.array_distinct(F.concat(words, pairs)), F.array(*map(F.lit, stopwords)))
+
+
+def joined(parts) -> str:
+    """Plain texts as one: a hyphen before a small letter is taken off, else a space comes between."""
+    out = ""
+    for t in parts:
+        out = t if not out else out[:-1] + t if out.endswith("-") and t[:1].islower() else f"{out} {t}"
+    return out

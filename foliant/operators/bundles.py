@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from . import router
 
 
 def starter_hits(top_text: Column, label: Column) -> Column:
@@ -29,6 +30,18 @@ def start_score(label: Column, hits: Column, key_values: Column, item_tables: Co
     )
 
 
+def classify(pages: DataFrame, key: str = "doc_id", top: int = 4) -> DataFrame:
+    """pages(key, page_num, lines, heading_count, paragraph_count, item_table_count) -> label, confidence, hits, start_score.
+
+    Every page is routed as a document of one page; keywords of its `top` first lines with text tell whether it starts one.
+    """
+    routed = router.route(pages.withColumn("page_count", F.lit(1)))
+    top_text = F.array_join(F.slice("lines", 1, top), "\n")
+    out = routed.withColumn("top_text", top_text).withColumn("hits", starter_hits(F.col("top_text"), F.col("label")))
+    score = start_score(F.col("label"), F.col("hits"), F.col("key_value_count"), F.col("item_table_count"), F.col("amount_line_count"), F.col("heading_count"), F.col("confidence"))
+    return out.select(key, "page_num", "label", "confidence", "top_text", "hits", T.rounded(score, 2).alias("start_score"))
+
+
 def split(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """pages(key, page_num, label, confidence, hits, start_score) with segment, numbered from 1 in page order.
 

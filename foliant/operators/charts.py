@@ -35,10 +35,10 @@ def series(found: DataFrame, key: tuple = ("doc_id", "table_id", "col_idx", "nam
     early = -F.col("row_index")
     out = found.groupBy(*key).agg(
         F.count("*").alias("point_count"), F.max(F.struct("value", early.alias("e"), "label")).alias("hi"), F.min(F.struct("value", "row_index", "label")).alias("lo"),
-        F.sum("value").alias("sum"), F.min(F.struct("row_index", "value")).alias("first"), F.max(F.struct("row_index", "value")).alias("last"),
+        F.sum("value").alias("sum"), F.min(F.struct("row_index", "value", "label")).alias("first"), F.max(F.struct("row_index", "value", "label")).alias("last"),
     )
     delta = T.rounded(F.col("last.value") - F.col("first.value"), 4)
-    return out.select(*key, "point_count", F.col("hi.label").alias("max_label"), F.col("hi.value").alias("max_value"), F.col("lo.label").alias("min_label"), F.col("lo.value").alias("min_value"), T.rounded(F.col("sum"), 4).alias("total"), delta.alias("trend_delta"), F.when(delta > 0, "increasing").when(delta < 0, "decreasing").otherwise("flat").alias("trend"))
+    return out.select(*key, "point_count", F.col("first.label").alias("first_label"), F.col("last.label").alias("last_label"), F.col("hi.label").alias("max_label"), F.col("hi.value").alias("max_value"), F.col("lo.label").alias("min_label"), F.col("lo.value").alias("min_value"), T.rounded(F.col("sum"), 4).alias("total"), delta.alias("trend_delta"), F.when(delta > 0, "increasing").when(delta < 0, "decreasing").otherwise("flat").alias("trend"))
 
 
 def candidates(tables: DataFrame, found: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -65,21 +65,28 @@ def intent(query: Column) -> Column:
     return out.otherwise("summary")
 
 
-def answer(questions: DataFrame, found: DataFrame, summaries: DataFrame) -> DataFrame:
-    """questions(query_id, doc_id, query) -> the chosen series of the best table and the sentence that answers."""
-    asked = questions.select("query_id", "doc_id", intent(F.col("query")).alias("intent"), T.tokens(F.col("query"), vocab.CHART_STOPWORDS).alias("q"))
+def answer(questions: DataFrame, found: DataFrame, summaries: DataFrame, tables: DataFrame) -> DataFrame:
+    """questions(query_id, doc_id, query) -> status, answer, intent, table_id, name (of the series), page_num, confidence.
+
+    found: points(); summaries: series(); tables: candidates(), from which alone answers come. The best candidate shares
+    the most words with the question, then is the more reliable, then the first; so is its series by its name.
+    """
+    asked = questions.select("query_id", "doc_id", T.normalize(F.col("query")).alias("query"), intent(F.col("query")).alias("intent"), T.tokens(F.col("query"), vocab.CHART_STOPWORDS).alias("q"))
     words = found.groupBy("doc_id", "table_id").agg(F.concat_ws(" ", F.collect_set("name"), F.collect_set("label")).alias("words"))
-    tables = asked.join(words, "doc_id").withColumn("hits", F.size(F.array_intersect("q", T.tokens(F.col("words"), vocab.CHART_STOPWORDS))))
-    first = Window.partitionBy("query_id").orderBy(F.desc("hits"), "table_id")
-    chosen = tables.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "words", "hits")
+    known = asked.filter("query != ''").join(tables.select("doc_id", "table_id", "page_num", "reliability"), "doc_id").join(words, ["doc_id", "table_id"])
+    known = known.withColumn("hits", F.size(F.array_intersect("q", T.tokens(F.col("words"), vocab.CHART_STOPWORDS))))
+    first = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("reliability"), "page_num", "table_id")
+    chosen = known.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "words", "hits")
     both = chosen.join(summaries, ["doc_id", "table_id"]).withColumn("hits", F.size(F.array_intersect("q", T.tokens(F.col("name"), vocab.CHART_STOPWORDS))))
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "col_idx"))).filter("r = 1")
     shown = lambda c: F.col(c).cast("string")
     text = (
-        F.when(F.col("intent") == "max", F.concat_ws(" ", "max_label", F.lit("has the highest"), "name", F.lit("at"), shown("max_value")))
-        .when(F.col("intent") == "min", F.concat_ws(" ", "min_label", F.lit("has the lowest"), "name", F.lit("at"), shown("min_value")))
-        .when(F.col("intent") == "total", F.concat_ws(" ", "name", F.lit("totals"), shown("total")))
-        .when(F.col("intent") == "trend", F.concat_ws(" ", "name", F.lit("is"), "trend", F.lit("by"), shown("trend_delta")))
-        .otherwise(F.concat_ws(" ", "name", F.lit("runs from"), "min_label", F.lit("to"), "max_label"))
+        F.when(F.col("intent").isin("max", "min"), F.concat(F.when(F.col("intent") == "max", F.col("max_label")).otherwise(F.col("min_label")), F.lit(" has the "), "intent", F.lit(" "), "name", F.lit(" value: "), F.when(F.col("intent") == "max", shown("max_value")).otherwise(shown("min_value")), F.lit(".")))
+        .when(F.col("intent") == "total", F.concat(F.lit("The total "), "name", F.lit(" value is "), shown("total"), F.lit(".")))
+        .when(F.col("intent") == "trend", F.concat("name", F.lit(" is "), "trend", F.lit(" from "), "first_label", F.lit(" to "), "last_label", F.lit(" (delta "), shown("trend_delta"), F.lit(").")))
+        .otherwise(F.concat("name", F.lit(" has "), F.col("point_count").cast("string"), F.lit(" points; the highest visible value is "), "max_label", F.lit(" at "), shown("max_value"), F.lit(".")))
     )
-    return questions.select("query_id").join(best.select("query_id", "intent", "table_id", "name", text.alias("answer")), "query_id", "left").withColumn("status", F.when(F.col("answer").isNull(), "insufficient_evidence").otherwise("ok"))
+    sure = T.rounded(F.least(F.lit(0.92), F.col("reliability") + 0.08), 3)
+    out = asked.select("query_id", "query").join(best.select("query_id", "intent", "table_id", "name", "page_num", text.alias("answer"), sure.alias("confidence")), "query_id", "left")
+    status = F.when(F.col("query") == "", "error").when(F.col("answer").isNull(), "insufficient_evidence").otherwise("ok")
+    return out.select("query_id", status.alias("status"), F.coalesce("answer", F.lit("")).alias("answer"), "intent", "table_id", "name", "page_num", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -119,6 +119,43 @@ def reconcile_statements(transactions: DataFrame, stated: DataFrame) -> DataFram
     return out.select("doc_id", F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "opening", "closing", "net_change", "calculated_closing", "difference", _status(F.col("difference"), F.lit(0.05)).alias("status"))
 
 
-def document_kind(blob: Column, has_transactions: Column, has_items: Column, has_form: Column, has_contract: Column) -> Column:
-    """The kind of a consolidated document, in order of precedence."""
-    return F.when(has_transactions | T.contains_any(F.lower(blob), vocab.BANK_WORDS), "bank_statement").when(has_items, "invoice_receipt").when(has_contract, "contract").when(has_form, "form").otherwise("generic_document")
+def document_kind(blob: Column, has_transactions: Column, has_receipt: Column, has_contract: Column, has_form: Column, is_bundle: Column) -> Column:
+    """The kind of a consolidated document, in order of precedence. has_receipt: items or a stated total."""
+    bank = has_transactions | T.contains_any(T.canonical(blob), vocab.BANK_WORDS)
+    return F.when(bank, "bank_statement").when(has_receipt, "invoice_receipt").when(has_contract, "contract").when(has_form, "form").when(is_bundle, "mixed_bundle").otherwise("generic")
+
+
+def items_or_receipt(items: DataFrame, receipt_items: DataFrame) -> DataFrame:
+    """Items of tables, and of documents without such items those of their receipt, with source."""
+    own = items.withColumn("source", F.lit("table"))
+    rest = receipt_items.join(items.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("source", F.lit("receipt_invoice_result"))
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
+def page_summaries(pages: DataFrame, labels: DataFrame, items: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(doc_id, page_num, label, item_count, transaction_count) of every page."""
+    key = ["doc_id", "page_num"]
+    out = pages.select(*key).distinct().join(labels.select(*key, "label"), key, "left")
+    for name, rows in (("item_count", items), ("transaction_count", transactions)):
+        out = out.join(rows.groupBy(*key).agg(F.count("*").alias(name)), key, "left")
+    return out.select(*key, F.coalesce("label", F.lit("")).alias("label"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("item_count", "transaction_count")])
+
+
+def carried_form(forms: DataFrame) -> DataFrame:
+    """forms(doc_id, fields map, selected_options array): a form as it is carry over, its options once each and sorted."""
+    return forms.withColumn("selected_options", F.array_sort(F.array_distinct(F.coalesce("selected_options", F.array().cast("array<string>")))))
+
+
+def consolidated(documents: DataFrame, items: DataFrame, transactions: DataFrame, stated: DataFrame) -> DataFrame:
+    """Per document its kind, status and both reconciliations.
+
+    documents(doc_id, blob, page_count, tax, total, has_contract, has_form, is_bundle); items and transactions with ord;
+    stated(doc_id, opening, closing). Documents of one page without items or transactions are skipped.
+    """
+    invoice = reconcile_items(items, documents.select("doc_id", "tax", "total")).select("doc_id", "item_count", F.col("duplicates").alias("duplicate_items"), "item_sum", "calculated_total", F.col("status").alias("total_check"))
+    bank = reconcile_statements(transactions, documents.select("doc_id").join(stated, "doc_id", "left")).select("doc_id", "transaction_count", F.col("duplicates").alias("duplicate_transactions"), "net_change", F.col("status").alias("balance_check"))
+    out = documents.join(invoice, "doc_id").join(bank, "doc_id")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kind = document_kind(F.coalesce("blob", F.lit("")), F.col("transaction_count") > 0, (F.col("item_count") > 0) | F.col("total").isNotNull(), yes("has_contract"), yes("has_form"), yes("is_bundle"))
+    status = F.when((F.col("page_count") > 1) | (F.col("item_count") > 0) | (F.col("transaction_count") > 0), "ok").otherwise("skipped")
+    return out.select("doc_id", status.alias("status"), kind.alias("document_kind"), "item_count", "duplicate_items", "item_sum", "calculated_total", "total_check", "transaction_count", "duplicate_transactions", "net_change", "balance_check")

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,27 @@ def outline_units(outline: DataFrame) -> DataFrame:
     return outline.select("doc_id", "ord", F.lit("outline").alias("unit_type"), F.col("title").alias("text"), F.array("page_num").alias("page_nums"), F.lit("").alias("title_context"))
 
 
+def page_range(first: Column, last: Column) -> Column:
+    """array<int> of the pages from first to last, empty where one is null."""
+    return F.when(first.isNotNull() & last.isNotNull() & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def document_records(chunks: DataFrame, summaries: DataFrame, outline: DataFrame, fields: DataFrame) -> DataFrame:
+    """Records for units(), in order: chunks, the summary, outline rows, fixed fields.
+
+    chunks(doc_id, ord, type, text, page_nums, first_page, last_page, title_context): pages come from the range where
+    none are named; summaries(doc_id, summary, page_count); fields(doc_id, ord, label, value).
+    """
+    none, empty = F.array().cast("array<int>"), F.lit("")
+    place = lambda part, ord_: F.struct(F.lit(part).alias("part"), ord_.cast("long").alias("ord"))
+    named = F.when(F.size(F.coalesce("page_nums", none)) > 0, F.col("page_nums")).otherwise(page_range(F.col("first_page"), F.col("last_page")))
+    every = chunks.select("doc_id", place(0, F.col("ord")).alias("ord"), F.concat(F.lit("chunk_"), F.coalesce("type", F.lit("unknown"))).alias("unit_type"), "text", named.alias("page_nums"), F.coalesce("title_context", empty).alias("title_context"))
+    every = every.unionByName(summaries.select("doc_id", place(1, F.lit(0)).alias("ord"), F.lit("direct_pdf_summary").alias("unit_type"), F.col("summary").alias("text"), page_range(F.lit(1), F.col("page_count").cast("int")).alias("page_nums"), empty.alias("title_context")))
+    every = every.unionByName(outline.select("doc_id", place(2, F.col("ord")).alias("ord"), F.lit("direct_pdf_outline").alias("unit_type"), F.col("title").alias("text"), F.when(F.col("page_num").isNotNull(), F.array("page_num")).otherwise(none).alias("page_nums"), empty.alias("title_context")))
+    shown = F.when(T.normalize(F.col("value")) != "", F.concat("label", F.lit(": "), "value"))
+    return every.unionByName(fields.select("doc_id", place(3, F.col("ord")).alias("ord"), F.lit("direct_pdf_fixed_json").alias("unit_type"), shown.alias("text"), none.alias("page_nums"), empty.alias("title_context")))
+
+
 def unit_score(query: Column, tokens: Column, low: Column, title_tokens: Column, unit_type: Column) -> Column:
     """Score of a unit for a question struct(tokens, intents)."""
     by_intent = F.lit(0.0)
@@ -70,19 +92,32 @@ def _scored(found: DataFrame, asked: list, top: int) -> DataFrame:
     names = list(vocab.EVIDENCE_INTENTS)
     wants = np.array([[n in q.intents for n in names] for q in asked], dtype=np.float64).reshape(len(asked), len(names))
     query_ids, answerable = [q.query_id for q in asked], np.array([bool(q.tokens) for q in asked])
-    sent = found.sparkSession.sparkContext.broadcast((number, table, wants))
+    sent = found.sparkSession.sparkContext.broadcast((list(number), table, wants))
 
     def run(batches):
-        number, table, wants = sent.value
-        amount = wants[:, names.index("amount")]
+        known, table, wants = sent.value
+        known, amount = pa.array(known, pa.string()), wants[:, names.index("amount")]
         best: list[list[tuple]] = [[] for _ in query_ids]
+
+        def sums(lists):
+            """Rows of the table added up over each row's tokens."""
+            n = len(lists)
+            flat = pc.index_in(lists.flatten(), value_set=known) if len(known) else pa.nulls(len(lists.flatten()), pa.int32())
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            hit = flat.is_valid().to_numpy(zero_copy_only=False)
+            at, row = flat.filter(flat.is_valid()).to_numpy(zero_copy_only=False), row[hit]
+            out = np.zeros((n, len(query_ids)))
+            if len(row):
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[row[first]] = np.add.reduceat(table[at], first, axis=0)
+            return out
+
         for b in batches:
-            doc, place, kinds, tokens, titles, flags = (b.column(i).to_pylist() for i in range(6))
-            for at in range(0, len(doc), 512):
-                rows = range(at, min(at + 512, len(doc)))
-                sums = lambda lists: np.array([table[[number[t] for t in lists[r] or [] if t in number]].sum(axis=0) for r in rows], dtype=np.float64)
-                score = sums(tokens) * 2.0 + np.array([flags[r] for r in rows], dtype=np.float64) @ wants.T * 1.5 + sums(titles) * 0.8
-                score += np.array([kinds[r] == "chunk_table" for r in rows])[:, None] * amount[None, :] * 0.8
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                doc, place, kinds = (part.column(i).to_pylist() for i in range(3))
+                score = sums(part.column(3)) * 2.0 + np.array(part.column(5).to_pylist(), dtype=np.float64).reshape(len(doc), -1) @ wants.T * 1.5 + sums(part.column(4)) * 0.8
+                score += np.array([k == "chunk_table" for k in kinds])[:, None] * amount[None, :] * 0.8
                 score = np.round(score, 3) * answerable
                 for j in range(len(query_ids)):
                     own = score[:, j]
@@ -91,7 +126,7 @@ def _scored(found: DataFrame, asked: list, top: int) -> DataFrame:
                     if len(pick) > top:
                         pick = pick[own[pick] >= np.partition(own[pick], -top)[-top]]
                     if len(pick):
-                        best[j] = sorted(best[j] + [(-own[i], doc[at + i], place[at + i]) for i in pick])[:top]
+                        best[j] = sorted(best[j] + [(-own[i], doc[i], place[i]) for i in pick])[:top]
         out = [(query_ids[j], -s, d, p) for j, own in enumerate(best) for s, d, p in own]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["query_id", "score", "doc_id", "ord"])
@@ -100,26 +135,35 @@ def _scored(found: DataFrame, asked: list, top: int) -> DataFrame:
     return own.mapInArrow(run, "query_id long, score double, doc_id long, ord long")
 
 
-def top_units(questions: DataFrame, found: DataFrame, top: int = TOP, within: str | None = None) -> DataFrame:
-    """(query_id, rank, score, …unit columns): the best `top` units of each question, ties in (doc_id, unit order).
+def ranked(questions: DataFrame, found: DataFrame, top: int = TOP) -> tuple[DataFrame, int]:
+    """((query_id, rank, score, doc_id, ord) of the best `top` units of each question, how many questions there are).
 
     questions(query_id, query) are a stated set, which goes to every task in parts of QUESTIONS_AT_ONCE: each unit is
-    read once a part, and only `top` rows a question and task are shuffled. within: a column of both sides that must be
-    equal, such as doc_id for questions about one document; then questions and units are joined on it.
+    read once a part, and only `top` rows a question and task are shuffled. Ties go by (doc_id, ord).
     """
-    own = [within] if within else []
-    asked = questions.select("query_id", T.tokens(F.col("query"), vocab.EVIDENCE_STOPWORDS).alias("q_tokens"), intents(F.col("query")).alias("intents"), *[F.col(c).alias(f"_{c}") for c in own])
+    asked = questions.select("query_id", T.tokens(F.col("query"), vocab.EVIDENCE_STOPWORDS).alias("q_tokens"), intents(F.col("query")).alias("intents"))
+    rows = [Question(r.query_id, r.q_tokens, r.intents) for r in asked.collect()]
+    parts = [_scored(found, rows[i : i + QUESTIONS_AT_ONCE], top) for i in range(0, len(rows), QUESTIONS_AT_ONCE)] or [_scored(found, [], top)]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top), len(rows)
+
+
+def top_units(questions: DataFrame, found: DataFrame, top: int = TOP, within: str | None = None) -> DataFrame:
+    """(query_id, rank, score, …unit columns): the best `top` units of each question, ties in (doc_id, unit order).
+
+    within: a column of both sides that must be equal, such as doc_id for questions about one document; then questions
+    and units are joined on it; else see ranked().
+    """
     if within:
-        both = found.join(asked, F.col(within) == F.col(f"_{within}")).drop(f"_{within}").withColumn("q", F.struct(F.col("q_tokens").alias("tokens"), "intents"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord")
+        asked = questions.select("query_id", F.struct(T.tokens(F.col("query"), vocab.EVIDENCE_STOPWORDS).alias("tokens"), intents(F.col("query")).alias("intents")).alias("q"), F.col(within).alias("_within"))
+        both = found.join(asked, F.col(within) == F.col("_within")).drop("_within")
         scored = unit_score(F.col("q"), F.col("tokens"), F.lower("text"), T.tokens(F.coalesce("title_context", F.lit("")), vocab.EVIDENCE_STOPWORDS), F.col("unit_type"))
-        ranked = both.withColumn("score", T.rounded(scored, 3)).filter("score > 0").drop("q", "q_tokens", "intents")
-        return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    rows = [Question(r.query_id, r.q_tokens, r.intents) for r in asked.collect()]
-    parts = [_scored(found, rows[i : i + QUESTIONS_AT_ONCE], top) for i in range(0, len(rows), QUESTIONS_AT_ONCE)] or [_scored(found, [], top)]
-    best = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        own = both.withColumn("score", T.rounded(scored, 3)).filter("score > 0").drop("q")
+        return own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best, n = ranked(questions, found, top)
     # at most `top` rows a question of the stated set
-    return found.join(F.broadcast(best) if len(rows) * top <= 100_000 else best, ["doc_id", "ord"])
+    return found.join(F.broadcast(best) if n * top <= 100_000 else best, ["doc_id", "ord"])
 
 
 def best_sentence(text: Column, query_tokens: Column) -> Column:

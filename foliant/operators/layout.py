@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 
-ITEMS = "doc_id long, page_num int, item_ord int, text string, line_count int, word_count int, avg_height double, near_top boolean, centered boolean, column_count int"
+ITEMS = "doc_id long, page_num int, item_ord int, text string, line_count int, word_count int, avg_height double, near_top boolean, centered boolean, column_count int, base_height double"
 
 
 def is_page_number(text: Column) -> Column:
@@ -59,71 +59,86 @@ def heading_level(text: Column) -> Column:
     return F.when(number != "", F.least(F.lit(4), 2 + dots)).when(t.rlike(vocab.HEADING_CHAPTER), 1).when(t.rlike(vocab.HEADING_SECTION), 2).when(t.rlike(vocab.HEADING_SUBSECTION), 3)
 
 
+def _columns(blocks: list[dict], width: float, tall: float) -> tuple[int, float]:
+    """(columns, where they part): two where narrow blocks stand side by side with a gutter of 0.08 of the page's width."""
+    narrow = [b for b in blocks if not b["full"]]
+    left, right = [b for b in narrow if b["right"] <= width * 0.68], [b for b in narrow if b["left"] >= width * 0.32]
+    slack = max(12.0, tall * 0.8)
+    if len(narrow) > 1 and left and right:
+        inner, outer = max(b["right"] for b in left), min(b["left"] for b in right)
+        beside = any(a["bottom"] > b["top"] + slack and b["bottom"] > a["top"] + slack for a in left for b in right)
+        if outer - inner >= width * 0.08 and beside:
+            return 2, (inner + outer) / 2
+    return 1, width / 2
+
+
+def _before(a: dict, b: dict, columns: int, slack: float) -> int:
+    """Negative if block a is read before b: above it, else in an earlier column, else by its top and left."""
+    if a["bottom"] <= b["top"] + slack:
+        return -1
+    if b["bottom"] <= a["top"] + slack:
+        return 1
+    if columns > 1 and not a["full"] and not b["full"] and a["column"] != b["column"]:
+        return a["column"] - b["column"]
+    return (a["top"], a["left"]) > (b["top"], b["left"]) or -((a["top"], a["left"]) < (b["top"], b["left"]))
+
+
+def _parts(rows: list[dict], width: float, tall: float) -> list[list[dict]]:
+    """A block's lines as paragraphs and list items."""
+    out: list[list[dict]] = []
+    for row in rows:
+        if out:
+            first, last = out[-1][0], out[-1][-1]
+            near = row["top"] - last["bottom"] <= max(tall * 1.1, (last["bottom"] - last["top"]) * 0.9 + 6)
+            level = first["is_list"] or abs(row["left"] - first["left"]) <= width * 0.04
+            if not row["is_list"] and row["par_num"] == last["par_num"] and near and level:
+                out[-1].append(row)
+                continue
+        out.append([row])
+    return out
+
+
 def _read_page(page: pd.DataFrame) -> pd.DataFrame:
     """Segments of one page in reading order: blocks by column, lines joined to paragraphs."""
-    width, height = float(page["page_width"].iloc[0]), float(page["page_height"].iloc[0])
-    page = page.sort_values(["top", "left", "line_ord"], kind="stable")
-    tall = (page["bottom"] - page["top"]).clip(lower=0)
-    median = float(tall[tall > 0].median()) if (tall > 0).any() else 18.0
+    width, height, tall = (float(page[c].iloc[0]) for c in ("page_width", "page_height", "base_height"))
+    groups: dict[tuple, list[dict]] = {}
+    for row in sorted(page.to_dict("records"), key=lambda r: (r["top"], r["left"], r["line_ord"])):
+        groups.setdefault((row["source"], row["angle"], row["block_num"]), []).append(row)
     blocks = []
-    for _, own in page.groupby(["block_num"], sort=False):
-        blocks.append({"rows": own.to_dict("records"), "left": own["left"].min(), "top": own["top"].min(), "right": own["right"].max(), "bottom": own["bottom"].max()})
-    full = lambda b: b["right"] - b["left"] >= width * 0.68
-    left = [b for b in blocks if not full(b) and b["right"] <= width * 0.68 and (b["left"] + b["right"]) / 2 < width / 2]
-    right = [b for b in blocks if not full(b) and b["left"] >= width * 0.32 and (b["left"] + b["right"]) / 2 >= width / 2]
-    edge_l, edge_r = max((b["right"] for b in left), default=0), min((b["left"] for b in right), default=0)
-    beside = any(min(a["bottom"], b["bottom"]) > max(a["top"], b["top"]) for a in left for b in right)
-    columns = 2 if left and right and edge_r - edge_l >= width * 0.08 and beside else 1
-    middle, slack = (edge_l + edge_r) / 2, max(8.0, median * 0.6)
-    column = lambda b: -1 if full(b) else int((b["left"] + b["right"]) / 2 >= middle)
-
-    def order(a, b):
-        if a["bottom"] <= b["top"] + slack and not (columns == 2 and -1 not in (column(a), column(b)) and column(a) != column(b)):
-            return -1
-        if b["bottom"] <= a["top"] + slack and not (columns == 2 and -1 not in (column(a), column(b)) and column(a) != column(b)):
-            return 1
-        if columns == 2 and column(a) != column(b) and -1 not in (column(a), column(b)):
-            return column(a) - column(b)
-        return (a["top"] > b["top"]) - (a["top"] < b["top"]) or (a["left"] > b["left"]) - (a["left"] < b["left"])
-
+    for rows in groups.values():
+        box = {"left": min(r["left"] for r in rows), "top": min(r["top"] for r in rows), "right": max(r["right"] for r in rows), "bottom": max(r["bottom"] for r in rows)}
+        blocks.append(box | {"rows": rows, "full": box["right"] - box["left"] >= width * 0.68})
+    columns, middle = _columns(blocks, width, tall)
+    for b in blocks:
+        b["column"] = int((b["left"] + b["right"]) / 2 >= middle)
     out = []
-    for block in sorted(blocks, key=cmp_to_key(order)):
-        held: list[dict] = []
-        parts: list[list[dict]] = []
-        for row in block["rows"]:
-            if held:
-                last, head = held[-1], held[0]
-                gap = row["top"] - last["bottom"]
-                near = gap <= max(median * 1.1, (last["bottom"] - last["top"]) * 0.9 + 6)
-                joined = not row["is_list"] and row["par_num"] == last["par_num"] and near and (abs(row["left"] - head["left"]) <= width * 0.04 or head["is_list"])
-                if not joined:
-                    parts.append(held)
-                    held = []
-            held.append(row)
-        if held:
-            parts.append(held)
-        for rows in parts:
-            text = ""
-            for r in rows:
-                t = r["clean"]
-                text = t if not text else text[:-1] + t if text.endswith("-") and t[:1].islower() else f"{text} {t}"
+    for block in sorted(blocks, key=cmp_to_key(lambda a, b: _before(a, b, columns, max(8.0, tall * 0.6)))):
+        for rows in _parts(block["rows"], width, tall):
+            text = T.joined(r["clean"] for r in rows)
             x0, x1, y0 = min(r["left"] for r in rows), max(r["right"] for r in rows), min(r["top"] for r in rows)
             high = sum(r["bottom"] - r["top"] for r in rows) / len(rows)
-            out.append((rows[0]["doc_id"], rows[0]["page_num"], len(out), text, len(rows), len(text.split()), high, y0 <= height * 0.22, abs((x0 + x1) / 2 - width / 2) <= width * 0.12, columns))
+            out.append((rows[0]["doc_id"], rows[0]["page_num"], len(out), text, len(rows), sum(len(r["clean"].split()) for r in rows), high, y0 <= height * 0.22, abs((x0 + x1) / 2 - width / 2) <= width * 0.12, columns, tall))
     return pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")])
 
 
 def segments(lines: DataFrame) -> DataFrame:
-    """Paragraph-like pieces of each page in reading order; see ITEMS. One group is one page."""
+    """Paragraph-like pieces of each page in reading order; see ITEMS. One group is one page.
+
+    base_height is the median height of all of a document's lines that aren't margins, 18 without any. lines may have
+    source and angle, else all are of one pass.
+    """
     own = body_lines(lines).withColumn("clean", T.normalize(F.col("text"))).withColumn("is_list", list_prefix(F.col("text")).isNotNull())
-    return own.groupBy("doc_id", "page_num").applyInPandas(_read_page, ITEMS)
+    for name, value in (("source", "primary"), ("angle", 0.0)):
+        own = own if name in own.columns else own.withColumn(name, F.lit(value))
+    tall = F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))
+    base = own.groupBy("doc_id").agg(F.coalesce(F.median(tall), F.lit(18.0)).alias("base_height"))
+    return own.join(base, "doc_id").groupBy("doc_id", "page_num").applyInPandas(_read_page, ITEMS)
 
 
 def classify(found: DataFrame) -> DataFrame:
     """segments() as layout items: type (heading, list_item, paragraph), level, ordered, text."""
-    base = found.groupBy("doc_id").agg(F.percentile("avg_height", F.lit(0.5)).alias("base"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "item_ord")) == 1
-    own = found.withColumn("is_first", first).join(base, "doc_id").withColumn("ratio", F.col("avg_height") / F.greatest(F.col("base"), F.lit(1.0)))
+    own = found.withColumn("is_first", first).withColumn("ratio", F.col("avg_height") / F.greatest(F.col("base_height"), F.lit(1.0)))
     text = F.col("text")
     short = (F.col("line_count") <= 2) & (F.col("word_count") <= 18) & (F.length(text) <= 120) & ~text.rlike("[.!?。！？;；]$")
     level = (
@@ -138,10 +153,26 @@ def classify(found: DataFrame) -> DataFrame:
     return out.select("doc_id", "page_num", "item_ord", kind.alias("type"), "level", F.col("listed.ordered").alias("ordered"), F.coalesce("listed.content", "text").alias("text"), "column_count")
 
 
-def markdown(items: DataFrame) -> DataFrame:
-    """(doc_id, markdown): headings, lists and paragraphs, list items without blank lines between them."""
+NO_TEXT = "_No structured text detected._"
+
+
+def markdown(items: DataFrame, by: tuple = ("doc_id",)) -> DataFrame:
+    """(by…, markdown): headings, lists and paragraphs, list items without blank lines between them; by page or document."""
     line = F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(F.col("type") == "list_item", F.concat(F.when(F.col("ordered"), "1. ").otherwise("- "), "text")).otherwise(F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("page_num", "item_ord", "type", line.alias("line"))))
     joined = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit("").alias("last")), lambda acc, x: F.struct(
         F.concat(acc["out"], F.when(acc["last"] == "", "").when((acc["last"] == "list_item") & (x["type"] == "list_item"), "\n").otherwise("\n\n"), x["line"]).alias("out"), x["type"].alias("last")))
-    return items.groupBy("doc_id").agg(joined["out"].alias("markdown"))
+    return items.groupBy(*by).agg(F.coalesce(F.nullif(joined["out"], F.lit("")), F.lit(NO_TEXT)).alias("markdown"))
+
+
+def analyze(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, pages): layout items of all pages, and of each page column_count, filtered_margin_lines and its markdown.
+
+    A page whose lines are all margins or blank has no items, one column and NO_TEXT as markdown.
+    """
+    items = classify(segments(lines))
+    body = body_lines(lines).groupBy("doc_id", "page_num").agg(F.count("*").alias("kept"))
+    every = lines.filter(T.normalize(F.col("text")) != "").groupBy("doc_id", "page_num").agg(F.count("*").alias("n"))
+    shown = markdown(items, ("doc_id", "page_num")).join(items.groupBy("doc_id", "page_num").agg(F.max("column_count").alias("column_count")), ["doc_id", "page_num"])
+    pages = every.join(body, ["doc_id", "page_num"], "left").join(shown, ["doc_id", "page_num"], "left")
+    return items, pages.select("doc_id", "page_num", F.coalesce("column_count", F.lit(1)).alias("column_count"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("filtered_margin_lines"), F.coalesce("markdown", F.lit(NO_TEXT)).alias("markdown"))

@@ -46,8 +46,12 @@ def signature_regions(lines: DataFrame, doubtful: DataFrame) -> DataFrame:
     return out.select("doc_id", "page_num", "line_ord", "label_text", F.least("region.left", "l").alias("left"), F.least("region.top", "t").alias("top"), F.greatest("region.right", "r").alias("right"), F.greatest("region.bottom", "b").alias("bottom"), "linked")
 
 
-def handwriting_regions(doubtful: DataFrame, signatures: DataFrame, page_labels: DataFrame, threshold: float = vocab.LOW_CONFIDENCE) -> DataFrame:
-    """Doubtful lines that may be handwriting, with the reason; page_labels(doc_id, page_num, label)."""
+def handwriting_regions(doubtful: DataFrame, signatures: DataFrame, page_labels: DataFrame, fields: DataFrame | None = None, threshold: float = vocab.LOW_CONFIDENCE) -> DataFrame:
+    """Doubtful lines that may be handwriting, their box a little wider, with the reason and the field that they name.
+
+    page_labels(doc_id, page_num, label); fields(doc_id, page_num, field, label, value, ord): of those on the line's page
+    the first whose label, or else value, the line holds.
+    """
     boxes = signatures.select("doc_id", "page_num", _box().alias("s")).groupBy("doc_id", "page_num").agg(F.collect_list("s").alias("signed"))
     rows = doubtful.filter(~F.col("text").rlike(vocab.SIGNATURE)).join(boxes, ["doc_id", "page_num"], "left").join(page_labels, ["doc_id", "page_num"], "left")
     near = F.coalesce(F.exists("signed", lambda s: G.iou(_box(), s) >= 0.35), F.lit(False))
@@ -57,7 +61,26 @@ def handwriting_regions(doubtful: DataFrame, signatures: DataFrame, page_labels:
         .when(F.col("text").rlike(vocab.FIELD_HINT), "field-like low-confidence line")
         .when(F.col("avg_confidence") < threshold - 8, "generic handwriting candidate")
     )
-    return rows.withColumn("reason", reason).filter("reason is not null").select("doc_id", "page_num", "line_ord", "text", "avg_confidence", "reason", "left", "top", "right", "bottom")
+    out = rows.withColumn("reason", reason).filter("reason is not null").withColumn("t", T.normalize(F.col("text"))).drop("label")
+    if fields is not None:
+        known = fields.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("ord", "field", T.normalize(F.col("label")).alias("l"), T.normalize(F.col("value")).alias("v")))).alias("known"))
+        holds = lambda x: (x != "") & F.col("t").contains(x)
+        hit = F.filter("known", lambda f: holds(f["l"]) | holds(f["v"]))
+        out = out.join(known, ["doc_id", "page_num"], "left").withColumn("linked_field", F.coalesce(F.get(hit, F.lit(0))["field"], F.lit("")))
+    else:
+        out = out.withColumn("linked_field", F.lit(""))
+    wide = G.clipped(F.col("left") - 10, F.col("top") - 8, F.col("right") + 10, F.col("bottom") + 8, F.col("page_width"), F.col("page_height"))
+    return out.withColumn("wide", wide).select("doc_id", "page_num", "line_ord", F.col("t").alias("text"), "avg_confidence", "linked_field", "reason", *[F.col(f"wide.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+def page_counts(pages: DataFrame, signatures: DataFrame, handwriting: DataFrame, suspicious: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(doc_id, page_num, and a count of each kind of region, needs_review) of every page."""
+    key, out = ["doc_id", "page_num"], pages.select("doc_id", "page_num").distinct()
+    parts = {"signature_region_count": signatures, "handwriting_region_count": handwriting, "suspicious_field_count": suspicious, "low_confidence_region_count": doubtful}
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy(*key).agg(F.count("*").alias(name)), key, "left")
+    out = out.fillna(0, list(parts))
+    return out.withColumn("needs_review", (F.col("signature_region_count") > 0) | (F.col("handwriting_region_count") > 0) | (F.col("suspicious_field_count") > 0))
 
 
 def looks_suspicious(field: Column, value: Column) -> Column:

@@ -94,8 +94,10 @@ def otsu(histogram: DataFrame) -> DataFrame:
     """histogram(image_id, bin, n) -> (image_id, threshold): the first bin of greatest between-class variance, 180 if empty."""
     up = Window.partitionBy("image_id").orderBy("bin")
     whole = Window.partitionBy("image_id")
-    c = histogram.withColumn("w", F.sum("n").over(up)).withColumn("s", F.sum(F.col("n") * F.col("bin")).over(up)).withColumn("W", F.sum("n").over(whole)).withColumn("S", F.sum(F.col("n") * F.col("bin")).over(whole))
-    back = F.col("W") - F.col("w")
-    between = F.when((F.col("w") > 0) & (back > 0), F.col("w") * back * F.pow(F.col("s") / F.col("w") - (F.col("S") - F.col("s")) / back, 2))
+    mass = F.col("n") * F.col("bin")
+    c = histogram.withColumns({"below": F.sum("n").over(up), "mass_below": F.sum(mass).over(up), "total": F.sum("n").over(whole), "mass": F.sum(mass).over(whole)})
+    below, above = F.col("below"), F.col("total") - F.col("below")
+    apart = F.col("mass_below") / below - (F.col("mass") - F.col("mass_below")) / above
+    between = F.when((below > 0) & (above > 0), below * above * F.pow(apart, 2))
     best = c.groupBy("image_id").agg(F.max(F.struct(between.alias("v"), (-F.col("bin")).alias("b"))).alias("best"))
     return best.select("image_id", F.when(F.col("best.v") > 0, -F.col("best.b")).otherwise(180).alias("threshold"))

@@ -40,6 +40,36 @@ def queue(items: DataFrame, limit: int = vocab.QUEUE_LIMIT) -> DataFrame:
     return named.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= limit)
 
 
+def region_items(suspicious: DataFrame, handwriting: DataFrame, signatures: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """A review's regions as items of queue(); each kind is numbered on its page in its order."""
+    parts = (
+        ("suspicious_field", "suspicious_fields", suspicious, "field", F.coalesce(F.nullif("value", F.lit("")), "field"), F.col("avg_confidence"), F.concat(F.lit("form.fields."), "field")),
+        ("handwriting_region", "handwriting_regions", handwriting, "line_ord", F.col("text"), F.col("avg_confidence"), F.col("linked_field")),
+        ("signature_region", "signature_regions", signatures, "line_ord", F.col("label_text"), F.lit(None), F.lit("")),
+        ("low_confidence_region", "low_confidence_regions", doubtful, "line_ord", F.col("text"), F.col("avg_confidence"), F.lit("")),
+    )
+    out = None
+    for kind, path, rows, order, text, sure, field in parts:
+        n = F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy(order))
+        own = rows.select("doc_id", F.lit(kind).alias("type"), "page_num", text.alias("text"), sure.cast("double").alias("confidence"), field.alias("field_path"), F.concat(F.lit(f"review.{path}."), n.cast("string")).alias("source"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def page_views(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """pages(doc_id, page_num, text, page_width, page_height) with the review's counts, 0 where there are none."""
+    names = [c for c in counts.columns if c.endswith("_count")]
+    return pages.join(counts.select("doc_id", "page_num", *names), ["doc_id", "page_num"], "left").fillna(0, names)
+
+
+def state(documents: DataFrame, fields: DataFrame, queued: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(doc_id, predicted_field_count, review_queue_count, revision_count) of every document."""
+    out = documents.select("doc_id").distinct()
+    for name, rows in (("predicted_field_count", fields), ("review_queue_count", queued), ("revision_count", revisions)):
+        out = out.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+    return out.fillna(0)
+
+
 def sanitize(revisions: DataFrame) -> DataFrame:
     """Revisions with a field id, texts normalized, status corrected where it is absent; those that change nothing stay."""
     return revisions.filter("field_id is not null and field_id != ''").withColumns({c: T.normalize(F.col(c)) for c in ("old_value", "new_value")}).withColumn("review_status", F.coalesce(F.nullif(T.normalize(F.col("review_status")), F.lit("")), F.lit("corrected")))

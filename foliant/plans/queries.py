@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import bundles, charts, chunks, consolidate, copilot, evidence, fields, forms, layout, outline, receipts, review, robustness, router, tables, words, workbench
+from ..operators import bundles, charts, consolidate, copilot, evidence, fields, forms, layout, receipts, review, robustness, router, tables, words, workbench
 from ..sources import adapters as A
 from ..sources.adapters import table
+from . import pages, records
 
 
 def _order_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +95,8 @@ def evidence_top5(spark, d):
     """The five documents that answer each benchmark text best."""
     docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("ord"), F.lit("chunk_text").alias("unit_type"), "text", F.array(F.lit(1)).alias("page_nums"), F.lit("").alias("title_context"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return evidence.top_units(questions, evidence.units(docs)).select("query_id", "rank", "doc_id", "score")
+    own = docs.withColumn("text", T.normalize(F.col("text"))).filter("text != ''").withColumn("tokens", T.tokens(F.col("text"), vocab.EVIDENCE_STOPWORDS))
+    return evidence.ranked(questions, own)[0].select("query_id", "rank", "doc_id", "score")
 
 
 def chart_series(spark, d):
@@ -125,17 +127,6 @@ def query_answers(spark, d):
     return fields.answer(asked, fields.index(fields.line_candidates(lines))).select("query_id", "status", "answer", "matched_field")
 
 
-def layout_items(spark, d):
-    """Headings, list items and paragraphs of every page."""
-    found = A.page_items(table(spark, d, "pages"))
-    return found.groupBy("doc_id", "type").agg(F.count("*").alias("items"))
-
-
-def page_chunks(spark, d):
-    """Pages cut into chunks under their heading."""
-    return chunks.text_chunks(A.page_items(table(spark, d, "pages"))).select("doc_id", "ord", F.sha2("text", 256).alias("text_sha256"), "char_count")
-
-
 def revisions_latest(spark, d):
     """The last value of each user's field."""
     return workbench.latest(A.event_revisions(table(spark, d, "events"))).select("doc_id", "field_id", "ord", "new_value")
@@ -166,11 +157,6 @@ def recovered_tables(spark, d):
     return tables.cells(tables.detect(placed)).select("doc_id", "row_idx", "col_idx", "text")
 
 
-def outlines(spark, d):
-    """Outlines that documents' short lines suggest."""
-    return outline.inferred(A.document_lines(table(spark, d, "documents"))).select("doc_id", "ord", "title")
-
-
 def suspicious_fields(spark, d):
     """Important fields that customers' forms lack."""
     lines = A.customer_lines(table(spark, d, "customer"))
@@ -179,17 +165,32 @@ def suspicious_fields(spark, d):
     return review.suspicious_fields(found, pages, review.anchors(found, lines.withColumn("confidence", F.lit(95.0)))).select("doc_id", "field", "value", "reason")
 
 
+def _overviews(spark, d) -> DataFrame:
+    """What stages left of each document, by its id and length, so that every status comes."""
+    c, n, none = F.col, F.length(F.coalesce("text", F.lit(""))), F.lit(None)
+    on = lambda test, x: F.when(test, x)
+    return table(spark, d, "documents").select(
+        "doc_id", on(c("doc_id") % 7 != 0, F.lit("report")).alias("label"), F.lit(0.5).alias("confidence"), on(c("doc_id") % 5 < 3, c("text")).alias("summary"), on(n % 3 == 0, F.lit(5.0)).alias("total"), on(n % 4 == 0, F.lit(0.0)).alias("tax"), on(n % 5 == 0, F.lit("2026-01-01")).alias("effective_date"),
+        on(n % 10 == 5, F.lit("2026-02-01")).alias("end_date"), (n % 2 == 0).alias("detected_bundle"), on(n % 7 == 0, F.lit("layout")).alias("most_fragile_layer"), (c("doc_id") % 11).cast("int").alias("page_count"), on(c("doc_id") % 4 > 0, (c("doc_id") % 4).cast("int")).alias("segment_count"), (n % 100).cast("int").alias("word_count"),
+        on(c("doc_id") % 6 == 0, (n % 9).cast("int")).alias("low_confidence_words"), none.cast("int").alias("table_count"), none.cast("int").alias("field_count"), (c("doc_id") % 13).cast("int").alias("chunk_count"), none.cast("int").alias("table_chunk_count"), (c("doc_id") % 2).cast("int").alias("evidence_count"),
+        on(c("doc_id") % 9 == 0, F.lit(1)).alias("signature_count"), none.cast("int").alias("handwriting_count"), none.cast("int").alias("suspicious_count"), on(c("doc_id") % 8 != 0, F.lit(0)).alias("review_page_count"), on(c("doc_id") % 17 != 0, F.lit(6)).alias("variant_count"),
+    )
+
+
 def copilot_readiness(spark, d):
-    """Stages and readiness of every document as far as its text tells."""
-    routed = router.route(_as_documents(table(spark, d, "documents"))).select("doc_id", "label", "confidence", "word_count")
-    none = F.lit(None).cast("int")
-    docs = routed.withColumns({c: none for c in copilot.COUNTS if c != "word_count"}).withColumn("segment_count", F.lit(1)).withColumn("chunk_count", F.lit(1)).withColumn("evidence_count", F.lit(1))
-    return copilot.readiness(copilot.stages(docs))
+    """Readiness and score of every document, the stages to review and those that pend."""
+    found = copilot.readiness(copilot.stages(_overviews(spark, d)))
+    return found.select("doc_id", "readiness", "score", "completed_stages", F.array_join("review_stages", ",").alias("review_stages"), F.array_join("pending_stages", ",").alias("pending_stages"))
+
 
+def copilot_questions(spark, d):
+    """The questions that every document suggests."""
+    return _overviews(spark, d).select("doc_id", F.array_join(copilot.questions(), "|").alias("questions"))
 
-QUERIES = {f.__name__: f for f in (
+
+QUERIES = pages.QUERIES | records.QUERIES | {f.__name__: f for f in (
     invoice_reconciliation, duplicate_items, statement_reconciliation, document_lines, line_confidence, review_lines, margin_keys, contact_fields, route_documents, route_counts, bundle_segments, evidence_top5, chart_series,
-    form_fields, receipt_fields, contract_fields, query_answers, layout_items, page_chunks, revisions_latest, review_queue, robustness_scores, recovered_tables, outlines, suspicious_fields, copilot_readiness,
+    form_fields, receipt_fields, contract_fields, query_answers, revisions_latest, review_queue, robustness_scores, recovered_tables, suspicious_fields, copilot_readiness, copilot_questions,
 )}
 
 
@@ -210,26 +211,27 @@ def _hits(column: str, words) -> str:
     return "(" + " + ".join(f"CAST(contains({column}, '{w.replace(chr(39), chr(39) * 2)}') AS INT)" for w in words) + ")"
 
 
-def _routed() -> str:
-    """Scores by label, over documents of one page without headings, paragraphs or tables."""
+def _routed(source: str = "documents", lines: str = _LINES) -> str:
+    """Scores by label, over documents of one page without paragraphs; source may name heads (headings) and tabs (item tables)."""
+    extra = "heads, tabs" if source != "documents" else "0 AS heads, 0 AS tabs"
     hits = {k: _hits("blob", getattr(vocab, f"{k.upper()}_HINTS")) for k in vocab.LABELS}
     return f"""
-    WITH lines AS (SELECT doc_id, {_CLEAN.format("text")} AS line, line_ord FROM ({_LINES})),
+    WITH lines AS (SELECT doc_id, {_CLEAN.format("text")} AS line, line_ord FROM ({lines})),
     docs AS (SELECT doc_id, replace(lower(string_agg(line, ' ' ORDER BY line_ord)), 'ß', 'ss') AS blob, sum(len(string_split(line, ' '))) AS words,
         count(*) FILTER (regexp_matches(line, '^[^:：]{{1,40}}[:：]\\s*\\S+')) AS kv, sum(len(regexp_extract_all(line, '☑|☒|☐|□|✅|✔|✓|\\[[xX ]\\]|\\([xX ]\\)|○|◯'))) AS boxes,
         count(*) FILTER (regexp_matches(line, '\\d[\\d,.]*\\s*$')) AS amounts FROM lines WHERE line != '' GROUP BY doc_id),
-    own AS (SELECT d.doc_id, coalesce(blob, '') AS blob, coalesce(words, 0) AS words, coalesce(kv, 0) AS kv, coalesce(boxes, 0) AS boxes, coalesce(amounts, 0) AS amounts FROM documents d LEFT JOIN docs USING (doc_id)),
+    own AS (SELECT d.doc_id, coalesce(blob, '') AS blob, coalesce(words, 0) AS words, coalesce(kv, 0) AS kv, coalesce(boxes, 0) AS boxes, coalesce(amounts, 0) AS amounts, {extra} FROM {source} d LEFT JOIN docs USING (doc_id)),
     h AS (SELECT *, {", ".join(f"{v} AS h_{k}" for k, v in hits.items())}, {_any("blob", vocab.TOTAL_HINTS)} AS t, {_any("blob", vocab.TAX_HINTS)} AS x, words >= 120 AS long,
         regexp_matches(blob, 'date\\s+of\\s+birth|dob|出生日期|出生') AS born FROM own),
-    s AS (SELECT doc_id, words,
-        CASE WHEN h_invoice > 0 THEN 8 + least(3, h_invoice - 1) ELSE 0 END - CASE WHEN h_receipt > 0 THEN 1.5 ELSE 0 END + CASE WHEN t THEN 2.5 ELSE 0 END + CASE WHEN x THEN 2.5 ELSE 0 END AS score_invoice,
-        CASE WHEN h_receipt > 0 THEN 8 + least(2, h_receipt - 1) ELSE 0 END - CASE WHEN h_invoice > 0 THEN 1.5 ELSE 0 END + CASE WHEN t THEN 2.5 ELSE 0 END + CASE WHEN x THEN 1.5 ELSE 0 END
+    s AS (SELECT doc_id, words, kv, amounts, heads, tabs,
+        CASE WHEN h_invoice > 0 THEN 8 + least(3, h_invoice - 1) ELSE 0 END + CASE WHEN tabs > 0 THEN 4 + least(2, tabs) ELSE 0 END - CASE WHEN h_receipt > 0 THEN 1.5 ELSE 0 END + CASE WHEN t THEN 2.5 ELSE 0 END + CASE WHEN x THEN 2.5 ELSE 0 END AS score_invoice,
+        CASE WHEN h_receipt > 0 THEN 8 + least(2, h_receipt - 1) ELSE 0 END + CASE WHEN tabs > 0 THEN 2 ELSE 0 END - CASE WHEN h_invoice > 0 THEN 1.5 ELSE 0 END + CASE WHEN t THEN 2.5 ELSE 0 END + CASE WHEN x THEN 1.5 ELSE 0 END
             + CASE WHEN amounts >= 3 THEN least(3, amounts * 0.5) ELSE 0 END - CASE WHEN long THEN 1 ELSE 0 END AS score_receipt,
         CASE WHEN h_form > 0 THEN 5.5 + least(2, h_form - 1) ELSE 0 END + CASE WHEN kv >= 3 THEN least(7, kv * 1.4) ELSE 0 END + CASE WHEN boxes > 0 THEN least(4, 1.5 + boxes * 0.6) ELSE 0 END AS score_form,
-        1 + CASE WHEN h_report > 0 THEN 4 + least(2, h_report - 1) ELSE 0 END - CASE WHEN t THEN 1 ELSE 0 END - CASE WHEN x THEN 0.5 ELSE 0 END + CASE WHEN long THEN 2.5 ELSE 0 END AS score_report,
+        1 + CASE WHEN h_report > 0 THEN 4 + least(2, h_report - 1) ELSE 0 END + CASE WHEN heads >= 1 THEN least(4, 1.5 + heads * 0.7) ELSE 0 END - CASE WHEN t THEN 1 ELSE 0 END - CASE WHEN x THEN 0.5 ELSE 0 END + CASE WHEN long THEN 2.5 ELSE 0 END AS score_report,
         CASE WHEN h_id > 0 THEN 8 + least(4, h_id - 1) ELSE 0 END + CASE WHEN kv >= 3 THEN 1.5 ELSE 0 END - CASE WHEN long THEN 1 ELSE 0 END + CASE WHEN born THEN 3 ELSE 0 END AS score_id FROM h),
     m AS (SELECT *, greatest(score_invoice, score_receipt, score_form, score_report, score_id) AS top, list_sort([score_invoice, score_receipt, score_form, score_report, score_id], 'DESC')[2] AS second FROM s),
-    routed AS (SELECT doc_id, CAST(words AS BIGINT) AS words, CASE WHEN score_invoice = top THEN 'invoice' WHEN score_receipt = top THEN 'receipt' WHEN score_form = top THEN 'form' WHEN score_report = top THEN 'report' ELSE 'id' END AS label,
+    routed AS (SELECT doc_id, CAST(words AS BIGINT) AS words, kv, amounts, heads, tabs, CASE WHEN score_invoice = top THEN 'invoice' WHEN score_receipt = top THEN 'receipt' WHEN score_form = top THEN 'form' WHEN score_report = top THEN 'report' ELSE 'id' END AS label,
         {", ".join(f"CAST(round(score_{x}, 3) AS DOUBLE) AS score_{x}" for x in vocab.LABELS)},
         CASE WHEN top <= 0 THEN 0.0 ELSE CAST(round(least(0.99, 0.45 + greatest(0, greatest(top, 0) - greatest(second, 0)) / greatest(top, 1.0) * 0.5), 3) AS DOUBLE) END AS confidence FROM m)"""
 
@@ -260,7 +262,7 @@ def _robustness() -> str:
     SELECT doc_id, variant, layer, round(s, 2) AS score, round(s, 3) = round(top, 3) AS is_weakest FROM u"""
 
 
-ORACLES = {
+ORACLES = pages.ORACLES | records.ORACLES | {
     "invoice_reconciliation": """
     WITH items AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_partkey AS part, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS amount FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part, amount ORDER BY ord) AS rn FROM items),
@@ -285,8 +287,13 @@ ORACLES = {
         FROM ({_LINES})) WHERE email != '' OR mobile != '' OR id_number != ''""",
     "route_documents": f"{_routed()} SELECT doc_id, label, {', '.join(f'score_{x}' for x in vocab.LABELS)}, confidence, CASE label WHEN 'report' THEN '' WHEN 'form' THEN 'form_to_json' WHEN 'id' THEN 'form_to_json' ELSE 'receipt_invoice_extractor' END AS downstream FROM routed",
     "route_counts": f"{_routed()} SELECT label, count(*) AS document_count FROM routed GROUP BY label",
-    "copilot_readiness": f"""{_routed()} SELECT doc_id, CAST(7 - low - CAST(words = 0 AS INT) AS BIGINT) AS stages_ok, CAST(low AS BIGINT) AS stages_review, CAST(1 + CAST(words = 0 AS INT) AS BIGINT) AS stages_missing, CASE WHEN low > 0 THEN 'ready_with_review' ELSE 'ready' END AS readiness
-        FROM (SELECT *, CAST(confidence < 0.5 AS INT) AS low FROM routed)""",
+    "copilot_readiness": r"""
+    WITH s AS (SELECT doc_id, doc_id % 7 = 0 AS p1, doc_id % 11 = 0 AS p3, doc_id % 13 = 0 AS p4, NOT (doc_id % 5 < 3 AND regexp_replace(coalesce(text, ''), '\s+', '', 'g') != '') AND doc_id % 2 = 0 AS p5, CASE WHEN doc_id % 6 = 0 THEN length(coalesce(text, '')) % 9 ELSE 0 END + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END > 0 AS r6, doc_id % 8 = 0 AS p6, doc_id % 17 = 0 AS p7, doc_id % 4 = 0 AS e2 FROM documents),
+    n AS (SELECT *, list_filter([CASE WHEN p1 THEN 'classification' END, CASE WHEN p3 THEN 'ocr_layout_extraction' END, CASE WHEN p4 THEN 'chunking' END, CASE WHEN p5 THEN 'qa_summary' END, CASE WHEN p6 AND NOT r6 THEN 'human_review' END, CASE WHEN p7 THEN 'robustness' END], lambda x: x IS NOT NULL) AS pend FROM s)
+    SELECT doc_id, CASE WHEN len(pend) > 0 THEN 'partial' WHEN r6 THEN 'ready_with_review' ELSE 'ready' END AS readiness, CAST(round_even((8 - len(pend) - e2::INT) / 8.0, 3) AS DOUBLE) AS score, CAST(8 - len(pend) - e2::INT AS BIGINT) AS completed_stages, CASE WHEN r6 THEN 'human_review' ELSE '' END AS review_stages, array_to_string(pend, ',') AS pending_stages FROM n""",
+    "copilot_questions": """
+    SELECT doc_id, '这份文档属于什么类型？|有哪些页面或子文档需要人工复核？|这份文档的摘要是什么？' || CASE WHEN n % 3 = 0 THEN '|总金额是多少？' ELSE '' END || CASE WHEN n % 4 = 0 THEN '|税额是多少？' ELSE '' END || CASE WHEN n % 5 = 0 THEN '|合同起止日期是哪天？' ELSE '' END || CASE WHEN n % 2 = 0 THEN '|这个混合包被切成了哪些子文档？' ELSE '' END
+        || CASE WHEN n % 7 = 0 THEN '|这个文档链路最脆弱的是哪一层？' ELSE '' END AS questions FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)""",
     "evidence_top5": _evidence(),
     "chart_series": """
     WITH p AS (SELECT o_orderpriority AS name, strftime(o_orderdate, '%Y-%m') AS label, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
@@ -299,9 +306,6 @@ ORACLES = {
     "contract_fields": """SELECT s_suppkey AS doc_id, true AS is_contract, 'Consulting Service Agreement ' || s_suppkey AS contract_title, 'CTA-' || lpad(s_suppkey::VARCHAR, 5, '0') AS contract_number, s_name AS party_a, 'Bright Future LLC' AS party_b,
         '2026-' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') AS effective_date, '2026-' || lpad(((s_suppkey + 5) % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') AS end_date FROM supplier""",
     "query_answers": "SELECT s_suppkey AS query_id, 'ok' AS status, '2026-' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') AS answer, 'contract_start_date' AS matched_field FROM supplier",
-    "layout_items": r"""
-    WITH t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<(?:h1|li|p)>')) AS tag FROM pages)
-    SELECT doc_id, CASE tag WHEN '<h1>' THEN 'heading' WHEN '<li>' THEN 'list_item' ELSE 'paragraph' END AS type, count(*) AS items FROM t GROUP BY 1, 2""",
     "revisions_latest": "SELECT user_id AS doc_id, event_type AS field_id, arg_max(event_id, (ts, event_id)) AS ord, arg_max(value, (ts, event_id)) AS new_value FROM events GROUP BY 1, 2",
     "review_queue": f"""
     WITH r AS (SELECT doc_id, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN confidence = 0 THEN 999 ELSE confidence END, line_num * 10000 + word_num) AS ord FROM ({_WORDS}) WHERE confidence < 85)
@@ -321,3 +325,8 @@ ORACLES = {
     SELECT doc_id, row_idx, 0 AS col_idx, 'N' || n_nationkey AS text FROM t UNION ALL SELECT doc_id, row_idx, 1, replace(n_name, ' ', '_') FROM t""",
     "suspicious_fields": "SELECT c_custkey AS doc_id, f AS field, '' AS value, 'important field is empty or missing' AS reason FROM customer, (VALUES ('date'), ('id_number')) t(f)",
 }
+
+#: Pages of bundles: a document's lines behind those that some are given.
+_BUNDLE = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Annual Report summary' || chr(10) WHEN doc_id % 7 = 1 THEN 'Tax Invoice' || chr(10) || 'Invoice No: 7' || chr(10) ELSE '' END || text AS text, doc_id % 2 AS heads, CAST(doc_id % 5 = 1 AS INT) AS tabs FROM documents)"
+for _name, _segments in (("bundle_pages", False), ("bundle_documents", True)):
+    ORACLES[_name] = records.bundle_sql(_routed(_BUNDLE, _LINES.replace("FROM documents)", f"FROM {_BUNDLE})")), _segments)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables; one in fewer pieces than there are cores is spread over them, as its text work is dear."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -29,13 +31,14 @@ def document_words(documents: DataFrame) -> DataFrame:
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """Headings, list items and paragraphs of HTML in page order."""
+    """Headings (h1 to h6), list items and paragraphs of HTML in page order, whatever attributes their tags have."""
     body = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    found = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<(?:h1|li|p)>.*?(?=<p>|<h1>|<li>|</p>|</h1>|</li>|</article>|$)"), F.lit(0))).alias("item_ord", "raw"))
-    tag = F.regexp_extract("raw", r"^<(h1|li|p)>", 1)
-    kind = F.when(tag == "h1", "heading").when(tag == "li", "list_item").otherwise("paragraph")
+    start, end = r"<(?:h[1-6]|li|p)(?:\s[^>]*)?>", r"</(?:h[1-6]|li|p|article)>"
+    found = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit(rf"(?is){start}.*?(?={start}|{end}|\z)"), F.lit(0))).alias("item_ord", "raw"))
+    tag = F.lower(F.regexp_extract("raw", r"(?i)^<(h[1-6]|li|p)", 1))
+    kind = F.when(tag == "li", "list_item").when(tag == "p", "paragraph").otherwise("heading")
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", ""), r"\s+", " "))
-    return found.select("doc_id", F.lit(1).alias("page_num"), "item_ord", kind.alias("type"), F.when(tag == "h1", 1).alias("level"), F.lit(False).alias("ordered"), text.alias("text"))
+    return found.select("doc_id", F.lit(1).alias("page_num"), "item_ord", kind.alias("type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"), F.lit(False).alias("ordered"), text.alias("text"))
 
 
 def order_items(lineitem: DataFrame) -> DataFrame:
