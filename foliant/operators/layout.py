@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..functions.folds import fold_groups
 
 ITEMS = "doc_id long, page_num int, item_ord int, text string, line_count int, word_count int, avg_height double, near_top boolean, centered boolean, column_count int, base_height double"
 
@@ -98,11 +98,11 @@ def _parts(rows: list[dict], width: float, tall: float) -> list[list[dict]]:
     return out
 
 
-def _read_page(page: pd.DataFrame) -> pd.DataFrame:
+def _read_page(page: list[dict]) -> list[tuple]:
     """Segments of one page in reading order: blocks by column, lines joined to paragraphs."""
-    width, height, tall = (float(page[c].iloc[0]) for c in ("page_width", "page_height", "base_height"))
+    width, height, tall = (float(page[0][c]) for c in ("page_width", "page_height", "base_height"))
     groups: dict[tuple, list[dict]] = {}
-    for row in sorted(page.to_dict("records"), key=lambda r: (r["top"], r["left"], r["line_ord"])):
+    for row in page:
         groups.setdefault((row["source"], row["angle"], row["block_num"]), []).append(row)
     blocks = []
     for rows in groups.values():
@@ -118,7 +118,7 @@ def _read_page(page: pd.DataFrame) -> pd.DataFrame:
             x0, x1, y0 = min(r["left"] for r in rows), max(r["right"] for r in rows), min(r["top"] for r in rows)
             high = sum(r["bottom"] - r["top"] for r in rows) / len(rows)
             out.append((rows[0]["doc_id"], rows[0]["page_num"], len(out), text, len(rows), sum(len(r["clean"].split()) for r in rows), high, y0 <= height * 0.22, abs((x0 + x1) / 2 - width / 2) <= width * 0.12, columns, tall))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")])
+    return out
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def segments(lines: DataFrame) -> DataFrame:
         own = own if name in own.columns else own.withColumn(name, F.lit(value))
     tall = F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))
     base = own.groupBy("doc_id").agg(F.coalesce(F.median(tall), F.lit(18.0)).alias("base_height"))
-    return own.join(base, "doc_id").groupBy("doc_id", "page_num").applyInPandas(_read_page, ITEMS)
+    return fold_groups(own.join(base, "doc_id"), ["doc_id", "page_num"], ["top", "left", "line_ord"], _read_page, ITEMS)
 
 
 def classify(found: DataFrame) -> DataFrame:

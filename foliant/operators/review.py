@@ -5,13 +5,13 @@ lines as of words.lines() with page_width and page_height; words as of words.usa
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions import vocab
+from ..functions.folds import fold_groups
 
 
 def _box(prefix: str = "") -> Column:
@@ -118,9 +118,11 @@ def anchors(fields: DataFrame, lines: DataFrame) -> DataFrame:
 def dedupe(regions: DataFrame, overlap: float = 0.7) -> DataFrame:
     """Regions in order of `ord`, without those that overlap an earlier kept one of the same field; one group is one page."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
+    names = regions.columns
+
+    def fold(page: list[dict]) -> list[tuple]:
         kept: list[dict] = []
-        for r in page.sort_values("ord", kind="stable").to_dict("records"):
+        for r in page:
             for k in kept:
                 x = max(0, min(r["right"], k["right"]) - max(r["left"], k["left"])) * max(0, min(r["bottom"], k["bottom"]) - max(r["top"], k["top"]))
                 size = lambda b: max(0, b["right"] - b["left"]) * max(0, b["bottom"] - b["top"])
@@ -129,6 +131,6 @@ def dedupe(regions: DataFrame, overlap: float = 0.7) -> DataFrame:
                     break
             else:
                 kept.append(r)
-        return pd.DataFrame(kept, columns=page.columns)
+        return [tuple(r[c] for c in names) for r in kept]
 
-    return regions.groupBy("doc_id", "page_num").applyInPandas(fold, regions.schema)
+    return fold_groups(regions, ["doc_id", "page_num"], ["ord"], fold, regions.schema)

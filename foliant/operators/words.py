@@ -6,12 +6,12 @@ source, angle). A confidence below 0 is unknown.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..functions.folds import fold_groups
 
 LINE_KEY = ["doc_id", "page_num", "source", "angle", "block_num", "par_num", "line_num"]
 
@@ -66,10 +66,11 @@ def merge_passes(base: DataFrame, extra: DataFrame, overlap: float = 0.55, margi
     keyed = lambda df, n: df.withColumn("match_key", match_key(F.col("text"))).withColumn("pass", F.lit(n))
     both = keyed(base, 0).unionByName(keyed(extra, 1))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(["pass", "word_ord"], kind="stable").to_dict("records")
+    names = base.columns
+
+    def fold(page: list[dict]) -> list[tuple]:
         kept: list[dict] = []
-        for w in rows:
+        for w in page:
             at = None
             if w["pass"]:
                 for i, k in enumerate(kept):
@@ -85,9 +86,9 @@ def merge_passes(base: DataFrame, extra: DataFrame, overlap: float = 0.55, margi
                         break
             if at is None:
                 kept.append(w)
-        return pd.DataFrame(kept, columns=page.columns).drop(columns=["match_key", "pass"])
+        return [tuple(w[c] for c in names) for w in kept]
 
-    return both.groupBy("doc_id", "page_num").applyInPandas(fold, base.schema)
+    return fold_groups(both, ["doc_id", "page_num"], ["pass", "word_ord"], fold, base.schema)
 
 
 def otsu(histogram: DataFrame) -> DataFrame:

@@ -215,3 +215,53 @@ def test_text_functions(spark):
     assert got[0][0] == "a b" and got[1][1] == "strasse ss" and got[2][2] == [1234.5, 5.0] and got[3][3] == "2026-04-28" and got[4][3] is None and got[0][4] == ""
     rounds = spark.createDataFrame([(2.675,), (1.005,), (-0.125,)], "x double").select(T.rounded(F.col("x"), 2)).collect()
     assert [r[0] for r in rounds] == [round(2.675, 2), round(1.005, 2), round(-0.125, 2)]
+
+
+def test_folds_of_nothing_and_null_keys(spark):
+    from foliant.functions.folds import fold_groups
+
+    rows = spark.createDataFrame([(None, 2), (None, 1), (1, 5), (2, 4), (2, 3)], "k long, v int")
+    got = fold_groups(rows.repartition(5), ["k"], ["v"], lambda g: [(g[0]["k"], [r["v"] for r in g])], "k long, vs array<int>")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, [5]), (2, [3, 4]), (None, [1, 2])], key=str)
+    assert fold_groups(rows.limit(0), ["k"], ["v"], lambda g: [], "k long").count() == 0
+    empty = lines(spark, ["x"]).limit(0)
+    assert layout.classify(layout.segments(empty)).count() == 0 and layout.analyze(empty)[1].count() == 0
+
+
+def test_bundle_pages_from_their_text(spark):
+    rows = [(1, 1, ["Tax Invoice", "Invoice No: 7", "Total $5.00", "Tax $1.00"], 0, 0, 1), (1, 2, ["plain words"], 0, 0, 0), (1, 3, ["Application Form", "Name: A", "Date: B", "Phone: C"], 0, 0, 0)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_num int, lines array<string>, heading_count int, paragraph_count int, item_table_count int")
+    found = bundles.classify(pages)
+    got = {r["page_num"]: r for r in found.collect()}
+    assert [got[i]["label"] for i in (1, 2, 3)] == ["invoice", "report", "form"] and got[1]["hits"] > 0 and got[2]["hits"] == 0 and got[3]["start_score"] >= 4.0
+    parts = [(r["start_page"], r["end_page"], r["label"]) for r in bundles.segments(bundles.split(found)).orderBy("segment").collect()]
+    assert parts == [(1, 2, "report"), (3, 3, "form")]  # one page each: the surer label
+
+
+def test_long_texts_split_where_the_rule_says():
+    """Against the rule written out: the last separator in the later part of a window, else the window's end."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("ab.;。") for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 40)))
+        want, at = [], 0
+        while at < len(text):
+            window = text[at : at + 100]
+            end = at + len(window)
+            if end < len(text):
+                best = max(i for i, c in [(-1, "")] + [(i, c) for i, c in enumerate(window) if c in "。.；; "])
+                end = at + best + 1 if best > 45 else end
+            want += [text[at:end].strip()]
+            if end >= len(text):
+                break
+            at = max(end - 20, at + 1)
+        assert chunks.split_long(text, 100, 20) == [w for w in want if w]
+
+
+def test_column_bands_touch_and_merge(spark):
+    """Cells of one column at shifting places are one band; far ones are two."""
+    cell = lambda x0, x1: {"left": x0, "right": x1, "text": "t"}
+    rows = [{"cells": [cell(100, 160), cell(400, 460)]}, {"cells": [cell(120, 190), cell(430, 500)]}, {"cells": [cell(185, 230), cell(480, 520)]}]
+    assert [(b["left"], b["right"]) for b in tables_._columns(rows, 20.0)] == [(100, 230), (400, 520)]
+    assert tables_._columns([], 20.0) == []
