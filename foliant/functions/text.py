@@ -55,7 +55,8 @@ def money_value(token: Column) -> Column:
 
 
 def money_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocab.MONEY), F.lit(0))
+    # most lines have no digit, which a short search tells
+    return F.when(text.rlike(r"(?U)\d"), F.regexp_extract_all(text, F.lit(vocab.MONEY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def money_values(text: Column) -> Column:
@@ -81,7 +82,7 @@ def iso_date(text: Column) -> Column:
         ok = part(m).try_cast("int").between(1, 12) & part(d).try_cast("int").between(1, 31)
         return F.when(ok, F.concat(F.lpad(part(y), 4, "0"), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
 
-    return F.coalesce(read(vocab.DATE_YMD, 1, 2, 3), read(vocab.DATE_MDY, 3, 1, 2))
+    return F.when(t.rlike(r"(?U)\d{4}"), F.coalesce(read(vocab.DATE_YMD, 1, 2, 3), read(vocab.DATE_MDY, 3, 1, 2)))
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:

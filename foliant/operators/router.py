@@ -6,6 +6,9 @@ rows are gathered per document by gather(). Every signal is a row of (label, sig
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def item_tables(rows: Column) -> Column:
     return F.coalesce(T.contains_any(header, vocab.ITEM_HEADER_HINTS), F.lit(False))
 
 
-def signals(form_fields: Column | None = None, receipt_items: Column | None = None) -> Column:
-    """array<struct(label, signal, weight)> of a row with features(); a null signal is a silent adjustment."""
+def rules(form_fields: Column | None = None, receipt_items: Column | None = None) -> list[tuple[Column, str, Column | None, Column]]:
+    """(test, label, signal, weight) over a row with features(); without a signal it is a silent adjustment."""
     c, blob = F.col, F.col("blob")
     hits = {k: c(f"hits_{k}") for k in vocab.LABELS}
     total, tax = c("total_hint"), c("tax_hint")
@@ -50,7 +53,7 @@ def signals(form_fields: Column | None = None, receipt_items: Column | None = No
     numbered = lambda name, n: F.concat(F.lit(f"{name}:"), n.cast("string"))
     least = lambda most, x: F.least(F.lit(float(most)), x.cast("double"))
     long_ = c("word_count") >= 120
-    rules = [
+    return [
         (F.lit(True), "report", None, F.lit(1.0)),
         (hits["invoice"] > 0, "invoice", numbered("invoice_keywords", hits["invoice"]), 8 + least(3, hits["invoice"] - 1)),
         (hits["invoice"] > 0, "receipt", None, F.lit(-1.5)),
@@ -82,24 +85,27 @@ def signals(form_fields: Column | None = None, receipt_items: Column | None = No
         (form_fields >= 3, "form", numbered("form_fields", form_fields), least(4, form_fields * 0.8)),
         (receipt_items >= 1, "invoice", numbered("receipt_items", receipt_items), least(3, 1 + receipt_items * 0.5)),
     ]
-    made = [F.when(test, F.struct(F.lit(label).alias("label"), (signal if signal is not None else F.lit(None).cast("string")).alias("signal"), weight.cast("double").alias("weight"))) for test, label, signal, weight in rules]
-    return F.filter(F.array(*made), lambda s: s.isNotNull())
+
+
+def signals(found: list[tuple[Column, str, Column | None, Column]]) -> Column:
+    """array<struct(label, signal, weight)> of the rules that have a signal and hold."""
+    made = [F.when(test, F.struct(F.lit(label).alias("label"), signal.alias("signal"), weight.cast("double").alias("weight"))) for test, label, signal, weight in found if signal is not None]
+    return F.array_compact(F.array(*made))
 
 
 def route(docs: DataFrame, form_fields: Column | None = None, receipt_items: Column | None = None) -> DataFrame:
     """features() with signals, scores by label, label (first of the highest), confidence, selected_pipeline and downstream."""
-    out = features(docs).withColumn("all_signals", signals(form_fields, receipt_items))
-    of = lambda label: lambda s: s["label"] == label
+    found, out = rules(form_fields, receipt_items), features(docs)
     for label in vocab.LABELS:
-        own = F.filter("all_signals", of(label))
-        out = out.withColumn(f"score_{label}", F.aggregate(own, F.lit(0.0), lambda n, s: n + s["weight"]))
+        terms = [F.when(test, weight.cast("double")).otherwise(0.0) for test, own, _, weight in found if own == label]
+        out = out.withColumn(f"score_{label}", reduce(add, terms, F.lit(0.0)))
     ranked = F.array(*[F.struct(F.col(f"score_{x}").alias("score"), F.lit(-i).alias("rank"), F.lit(x).alias("label")) for i, x in enumerate(vocab.LABELS)])
     out = out.withColumn("ranked", F.sort_array(ranked, asc=False)).withColumn("label", F.get("ranked", F.lit(0))["label"])
     top, second = F.greatest(F.get("ranked", F.lit(0))["score"], F.lit(0.0)), F.greatest(F.get("ranked", F.lit(1))["score"], F.lit(0.0))
     sure = F.when(top <= 0, 0.0).otherwise(T.rounded(F.least(F.lit(0.99), 0.45 + F.greatest(F.lit(0.0), top - second) / F.greatest(top, F.lit(1.0)) * 0.5), 3))
     plans = F.create_map(*[x for k, v in vocab.PIPELINES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     plan = F.element_at(plans, F.col("label"))
-    return out.withColumn("confidence", sure).withColumn("matched_signals", F.filter("all_signals", lambda s: s["signal"].isNotNull())).withColumn("selected_pipeline", plan).withColumn("downstream", F.when(F.size(plan) > 3, F.element_at(plan, -1)).otherwise("")).drop("ranked", "all_signals")
+    return out.withColumn("confidence", sure).withColumn("matched_signals", signals(found)).withColumn("selected_pipeline", plan).withColumn("downstream", F.when(F.size(plan) > 3, F.element_at(plan, -1)).otherwise("")).drop("ranked")
 
 
 def label_counts(routed: DataFrame) -> DataFrame:
