@@ -33,10 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's tables in the shared folder, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -100,45 +110,49 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-#: Bits of the maps that tell tasks which ids or digests matter: of fixed size (8 MB), whatever the corpus.
-MAP_BITS = 26
+#: Bits of the maps that tell tasks which ids or digests matter (as a power of two): 8 MB, and up to 128 MB where many
+#: values would fill a smaller one. A fuller map names more by chance, which costs work and changes no result.
+MAP_BITS, MOST_MAP_BITS = 26, 30
+#: Bits of a page of a map.
+_PAGE = 15
 
 
-def _places(values: np.ndarray) -> np.ndarray:
-    """Each 64-bit value's bit in a map."""
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    """Each 64-bit value's bit in a map of 2^bits."""
     x = values.view(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def bitmap(values: DataFrame) -> bytes:
-    """A map of the values of a frame's only column (long). It may name others by chance, but misses none.
+    """A map of the values of a frame's only column (long), which is counted first. It may name others by chance, but misses none.
 
     Bits are made distinct before and after a shuffle and gathered by page, so no task sees more than all bits.
     """
+    size = min(MOST_MAP_BITS, max(MAP_BITS, (8 * values.count()).bit_length()))
 
     def bits(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)))], ["bit"])
 
     def pages(batches):
         found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
         at = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-        for own in np.split(at, np.flatnonzero(np.diff(at >> 15)) + 1) if len(at) else []:
-            page = np.zeros(1 << 15, dtype=np.uint8)
-            page[own & 0x7FFF] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(own[0] >> 15)], pa.int64()), pa.array([np.packbits(page).tobytes()], pa.binary())], ["page", "bits"])
-
-    out = np.zeros((1 << MAP_BITS - 15, 1 << 12), dtype=np.uint8)
-    by_page = values.mapInArrow(bits, "bit long").distinct().repartition(F.expr("bit div 32768")).mapInArrow(pages, "page long, bits binary")
-    for page, own in by_page.collect():  # 2048 rows of 4 kB at most
+        for own in np.split(at, np.flatnonzero(np.diff(at >> _PAGE)) + 1) if len(at) else []:
+            page = np.zeros(1 << _PAGE, dtype=np.uint8)
+            page[own & (1 << _PAGE) - 1] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([int(own[0] >> _PAGE)], pa.int64()), pa.array([np.packbits(page).tobytes()], pa.binary())], ["page", "bits"])
+
+    out = np.zeros((1 << size - _PAGE, 1 << _PAGE - 3), dtype=np.uint8)
+    by_page = values.mapInArrow(bits, "bit long").distinct().repartition(F.expr(f"bit div {1 << _PAGE}")).mapInArrow(pages, "page long, bits binary")
+    for page, own in by_page.collect():  # 2^15 rows of 4 kB at most
         out[page] |= np.frombuffer(own, dtype=np.uint8)
     return out.tobytes()
 
 
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """bits: the map as unsigned bytes."""
-    at = _places(values)
+    at = _places(values, (8 * len(bits)).bit_length() - 1)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 

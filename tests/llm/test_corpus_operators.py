@@ -144,6 +144,26 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 150: 100, 200: 100}
 
 
+def test_bitmaps_and_shared_folder(spark, monkeypatch, tmp_path):
+    for bits in (15, 17):  # the second is too small at first and grows
+        monkeypatch.setattr(shared, "MAP_BITS", bits)
+        monkeypatch.setattr(shared, "MOST_MAP_BITS", 19)
+        got = np.frombuffer(shared.bitmap(spark.range(0, 30_000, 3)), dtype=np.uint8)
+        named = shared.in_bitmap(got, np.arange(30_000, dtype=np.int64))
+        assert len(got) * 8 == 1 << 17 and named[::3].all() and named.mean() < 0.45
+    assert not np.frombuffer(shared.bitmap(spark.range(0)), dtype=np.uint8).any()
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert shared.materialize(spark.range(5), "t").count() == 5 and list(tmp_path.rglob("*.parquet"))
+    shared.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_no_machine_folder_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(session)
+
+
 def _without_repeats(rows):
     seen, out = {}, {}
     for key, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
