@@ -75,14 +75,19 @@ def number_cell(cell: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """The first date as YYYY-MM-DD, year first before month first; months and days are only checked for range; else null."""
-    t = normalize(text)
 
-    def read(pattern, y, m, d):
-        part = lambda i: F.regexp_extract(t, pattern, i)
-        ok = part(m).try_cast("int").between(1, 12) & part(d).try_cast("int").between(1, 31)
-        return F.when(ok, F.concat(F.lpad(part(y), 4, "0"), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
+    def read(t, pattern, y, m, d):
+        """The pattern's first match, which holds three numbers, as a date."""
+
+        def dated(numbers):
+            part = lambda i: F.get(numbers, F.lit(i))
+            ok = part(m).try_cast("int").between(1, 12) & part(d).try_cast("int").between(1, 31)
+            return F.when(ok, F.concat(F.lpad(part(y), 4, "0"), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
+
+        return let(F.regexp_extract_all(F.regexp_extract(t, pattern, 0), F.lit(r"(?U)\d+"), F.lit(0)), dated)
 
-    return F.when(t.rlike(r"(?U)\d{4}"), F.coalesce(read(vocab.DATE_YMD, 1, 2, 3), read(vocab.DATE_MDY, 3, 1, 2)))
+    # most lines have no year, which a short search tells
+    return F.when(text.rlike(r"(?U)\d{4}"), let(normalize(text), lambda t: F.coalesce(read(t, vocab.DATE_YMD, 0, 1, 2), read(t, vocab.DATE_MDY, 2, 0, 1))))
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
