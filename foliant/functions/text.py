@@ -48,6 +48,12 @@ def rounded(x: Column, digits: int) -> Column:
     return F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
 
 
+def rounded_away(x: Column, digits: int) -> Column:
+    """Rounded half away from zero after scaling, as SQL's round()."""
+    scale = float(10**digits)
+    return let(F.abs(x) * scale, lambda s: F.when(s - F.rint(s) >= 0.5, F.rint(s) + 1).otherwise(F.rint(s))) * F.signum(x) / scale
+
+
 def money_value(token: Column) -> Column:
     """The number of one money token, or null."""
     bare = F.regexp_replace(F.regexp_replace(normalize(token), r"(?i)^(USD|CNY|RMB)", ""), r"(?U)[$€£¥,\s]", "")

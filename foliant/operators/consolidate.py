@@ -100,14 +100,24 @@ def _status(difference: Column, tolerance: Column) -> Column:
     return F.when(difference.isNull(), "not_available").when(F.abs(difference) <= tolerance, "matched").otherwise("mismatch")
 
 
+def _exact_sum(amount: Column) -> Column:
+    """The sum of the amounts in whatever order they come: exact to 1e-10 where all are below 1e15, else of doubles."""
+    exact = F.when(F.abs(amount) < 1e15, amount).cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(amount), F.sum(exact).cast("double")).otherwise(F.sum(amount))
+
+
 def reconcile_items(items: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per document of totals(doc_id, tax, total): item_count, duplicates, item_sum, calculated_total, difference, tolerance, status."""
+    """Per document of totals(doc_id, tax, total): item_count, duplicates, item_sum, calculated_total, difference, tolerance, status.
+
+    raw_sum and raw_difference are the sum and the difference before they are rounded, null where there is none.
+    """
     kept = keep_first(items, item_key(), ["ord"])
-    sums = kept.groupBy("doc_id").agg(F.count_if(~F.col("is_duplicate")).alias("item_count"), F.count_if("is_duplicate").alias("duplicates"), F.sum(F.when(~F.col("is_duplicate"), F.col("amount"))).alias("sum"))
-    out = totals.join(sums, "doc_id", "left").withColumn("item_sum", T.rounded(F.coalesce("sum", F.lit(0.0)), 2))
+    sums = kept.groupBy("doc_id").agg(F.count_if(~F.col("is_duplicate")).alias("item_count"), F.count_if("is_duplicate").alias("duplicates"), _exact_sum(F.when(~F.col("is_duplicate"), F.col("amount"))).alias("raw_sum"))
+    out = totals.join(sums, "doc_id", "left").withColumn("item_sum", T.rounded(F.coalesce("raw_sum", F.lit(0.0)), 2))
     out = out.withColumn("calculated_total", F.when(F.col("item_count") > 0, T.rounded(F.col("item_sum") + F.coalesce("tax", F.lit(0.0)), 2)))
     out = out.withColumn("difference", T.rounded(F.col("total") - F.col("calculated_total"), 2)).withColumn("tolerance", F.greatest(F.lit(0.05), F.coalesce(F.abs("total") * 0.01, F.lit(0.05))))
-    return out.select("doc_id", F.coalesce("item_count", F.lit(0)).alias("item_count"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "item_sum", "calculated_total", "difference", _status(F.col("difference"), F.col("tolerance")).alias("status"))
+    out = out.withColumn("raw_difference", F.col("total") - (F.col("raw_sum") + F.coalesce("tax", F.lit(0.0))))
+    return out.select("doc_id", F.coalesce("item_count", F.lit(0)).alias("item_count"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "item_sum", "calculated_total", "difference", "tolerance", _status(F.col("difference"), F.col("tolerance")).alias("status"), "raw_sum", "raw_difference")
 
 
 def reconcile_statements(transactions: DataFrame, stated: DataFrame) -> DataFrame:

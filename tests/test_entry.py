@@ -1,10 +1,13 @@
 """The driver's contract, sources and the stream."""
 
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from foliant.operators import consolidate
 from foliant.plans import queries as plans
 from foliant.sources import sinks, uploads
 from foliant.streaming import revisions
@@ -66,3 +69,40 @@ def test_revision_stream(spark, tmp_path):
     live.processAllAvailable()
     live.stop()
     assert [r["new_value"] for r in spark.table("live").collect()][-1] == "z"
+
+
+def write(con, path, **tables):
+    """Parquet files of the tables' SQL, also as views."""
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{path}/{name}.parquet'")
+        con.execute(f"create view {name} as select * from '{path}/{name}.parquet'")
+
+
+def same(spark, con, path, name):
+    """The query's rows, once they are those of its SQL."""
+    want = con.execute(plans.ORACLES[name]).df()
+    got = plans.QUERIES[name](spark, str(path)).toPandas()[list(want.columns)]
+    rows = lambda d: sorted(map(tuple, d.astype(object).to_numpy().tolist()))
+    assert rows(got) == rows(want)
+    return rows(got)
+
+
+def test_invoice_boundaries(spark, tmp_path):
+    """A sum at half a cent; a difference that only rounding brings within the tolerance; no total and no items."""
+    con, day = duckdb.connect(), "timestamp '1996-01-01' AS d"
+    orders = "(1, 219105.995), (2, 100.0), (3, 100.0), (4, NULL), (5, 7.0)"
+    items = "(1, 219105.995), (2, 98.996), (3, 99.0), (4, 1.0)"
+    write(
+        con, tmp_path, orders=f"SELECT o::BIGINT AS o_orderkey, t::DOUBLE AS o_totalprice, {day} FROM (VALUES {orders}) x(o, t)",
+        lineitem=f"SELECT o::BIGINT AS l_orderkey, 7::BIGINT AS l_partkey, 1 AS l_linenumber, a::DOUBLE AS l_extendedprice, 0::DOUBLE AS l_discount, 0::DOUBLE AS l_tax FROM (VALUES {items}) x(o, a)",
+    )
+    assert [(r[0], r[3], r[4]) for r in same(spark, con, tmp_path, "invoice_reconciliation")] == [(1, 219106, "matched"), (2, 99, "mismatch"), (3, 99, "matched"), (4, 1, "mismatch"), (5, 0, "not_available")]
+
+
+def test_invoice_order(spark):
+    """An order's amounts add up to the same in any order: these six to 219105.995, as doubles also to a neighbour of it."""
+    amounts = [4199.12084, 98849.363184, 36301.965696, 2646.75528, 32823.6594, 44285.1306]
+    orders = list(itertools.permutations(amounts))[::7]
+    items = spark.createDataFrame([(i, j, f"part {x}", None, None, x) for i, p in enumerate(orders) for j, x in enumerate(p)], "doc_id long, ord int, description string, quantity double, unit_price double, amount double").coalesce(1)
+    totals = spark.createDataFrame([(i, 0.0, 1.0) for i in range(len(orders))], "doc_id long, tax double, total double")
+    assert {r["raw_sum"] for r in consolidate.reconcile_items(items, totals).collect()} == {219105.995}
