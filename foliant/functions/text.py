@@ -54,6 +54,11 @@ def rounded_away(x: Column, digits: int) -> Column:
     return let(F.abs(x) * scale, lambda s: F.when(s - F.rint(s) >= 0.5, F.rint(s) + 1).otherwise(F.rint(s))) * F.signum(x) / scale
 
 
+def rounded_even(x: Column, digits: int) -> Column:
+    """Rounded half to even after scaling, as SQL's round_even(); rounded() takes 49.995, which is a little less, to 49.99, and this to 50."""
+    return F.rint(x * float(10**digits)) / float(10**digits)
+
+
 def money_value(token: Column) -> Column:
     """The number of one money token, or null."""
     bare = F.regexp_replace(F.regexp_replace(normalize(token), r"(?i)^(USD|CNY|RMB)", ""), r"(?U)[$€£¥,\s]", "")

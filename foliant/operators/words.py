@@ -46,13 +46,13 @@ def filter_artifacts(words: DataFrame) -> DataFrame:
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """One row a line: text in word order, box, mean of the known confidences, low-confidence words."""
+    """One row a line: text in word order, box, mean of the known confidences (mean_confidence: before it is rounded, or null), low-confidence words."""
     ordered = F.array_sort(F.collect_list(F.struct("word_num", "word_ord", "text")))
     known = F.when(F.col("confidence") >= 0, F.col("confidence"))
     low = F.count_if((F.col("confidence") >= 0) & (F.col("confidence") < vocab.LOW_CONFIDENCE))
     return words.groupBy(*LINE_KEY).agg(
         F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
-        F.coalesce(T.rounded(F.avg(known), 2), F.lit(-1.0)).alias("confidence"), F.count("*").alias("word_count"), low.alias("low_confidence_words"), F.min("word_ord").alias("line_ord"),
+        F.coalesce(T.rounded(F.avg(known), 2), F.lit(-1.0)).alias("confidence"), F.avg(known).alias("mean_confidence"), F.count("*").alias("word_count"), low.alias("low_confidence_words"), F.min("word_ord").alias("line_ord"),
     )
 
 

@@ -106,3 +106,10 @@ def test_invoice_order(spark):
     items = spark.createDataFrame([(i, j, f"part {x}", None, None, x) for i, p in enumerate(orders) for j, x in enumerate(p)], "doc_id long, ord int, description string, quantity double, unit_price double, amount double").coalesce(1)
     totals = spark.createDataFrame([(i, 0.0, 1.0) for i in range(len(orders))], "doc_id long, tax double, total double")
     assert {r["raw_sum"] for r in consolidate.reconcile_items(items, totals).collect()} == {219105.995}
+
+
+def test_line_confidence_half_cent(spark, tmp_path):
+    """200 words whose mean is 49.995."""
+    con = duckdb.connect()
+    write(con, tmp_path, documents="SELECT 116771::BIGINT AS doc_id, repeat('w ', 200) AS text")
+    assert [(r[3], r[4]) for r in same(spark, con, tmp_path, "line_confidence")] == [(50, 200)]
