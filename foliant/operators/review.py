@@ -26,10 +26,10 @@ def line_words(lines: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def low_confidence_lines(lines: DataFrame, words: DataFrame, threshold: float = vocab.LOW_CONFIDENCE) -> DataFrame:
-    """Lines with a word of known confidence below the threshold: avg_confidence and the number of such words."""
+    """Lines with a word of known confidence below the threshold: avg_confidence (mean_confidence: before it is rounded) and the number of such words."""
     known = F.when(F.col("w_confidence") >= 0, F.col("w_confidence"))
     key = ["doc_id", "page_num", "line_ord", "text", "left", "top", "right", "bottom", "page_width", "page_height"]
-    out = line_words(lines, words).groupBy(*key).agg(T.rounded(F.avg(known), 2).alias("avg_confidence"), F.count_if(known < threshold).alias("low_words"))
+    out = line_words(lines, words).groupBy(*key).agg(T.rounded(F.avg(known), 2).alias("avg_confidence"), F.avg(known).alias("mean_confidence"), F.count_if(known < threshold).alias("low_words"))
     return out.filter((F.col("low_words") > 0) & (T.normalize(F.col("text")) != ""))
 
 

@@ -104,7 +104,8 @@ def _review(spark, d):
     sure = ((c("doc_id") * 31 + c("line_num") * 17 + c("w") * 7) % 101).cast("double")
     # a line's words share its box from left to right, apart from all other lines
     seen = lines.select(*key, "left", "top", "right", "bottom", word).withColumn("confidence", F.when(c("w") % 9 == 8, -1.0).otherwise(F.greatest(sure, F.when(c("line_num") % 3 == 0, 90.0).otherwise(0.0))))
-    doubtful = review.low_confidence_lines(lines, seen)
+    # rounded as in the SQL
+    doubtful = review.low_confidence_lines(lines, seen).withColumn("avg_confidence", T.rounded_even(c("mean_confidence"), 2))
     signed = review.signature_regions(lines, doubtful)
     labels = lines.select("doc_id", "page_num").distinct().withColumn("label", F.when(c("doc_id") % 3 == 0, "form").otherwise("report"))
     fields = lines.select("doc_id", "page_num").distinct().select("doc_id", "page_num", F.inline(F.array(F.struct(F.lit(1).alias("ord"), F.lit("address").alias("field"), F.lit("Address").alias("label"), F.lit("").alias("value")), F.struct(F.lit(2).alias("ord"), F.lit("name").alias("field"), F.lit("").alias("label"), F.lit("the").alias("value")))))

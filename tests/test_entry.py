@@ -113,3 +113,10 @@ def test_line_confidence_half_cent(spark, tmp_path):
     con = duckdb.connect()
     write(con, tmp_path, documents="SELECT 116771::BIGINT AS doc_id, repeat('w ', 200) AS text")
     assert [(r[3], r[4]) for r in same(spark, con, tmp_path, "line_confidence")] == [(50, 200)]
+
+
+def test_review_half_cent(spark, tmp_path):
+    """A second line with 200 known confidences whose mean is 49.995."""
+    con = duckdb.connect()
+    write(con, tmp_path, documents="SELECT 15::BIGINT AS doc_id, 'a' || chr(10) || repeat('w ', 223) || 'w' AS text")
+    assert 50 in [r[7] for r in same(spark, con, tmp_path, "review_regions")]
