@@ -44,7 +44,7 @@ from .shared import bitmap, mapped_rows, materialize, text_batches
 SHINGLE, RETAINED, K, ERRORS = 5, 1024, 128, 6.5
 #: Links need 100 * intersection >= percent * union; a query's or stage's contract names its own, this is op1's.
 PERCENT = 85
-BUCKET_BITS = 18
+BUCKET_BITS, BUCKET_PAGE = 18, 4096
 #: Values in a bucket of the histogram, beyond four times the mean, from which its lists are dealt in parts.
 HOT_VALUES, SALTS = 200_000, 64
 AT_ONCE = 1 << 19
@@ -184,11 +184,24 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def value_counts(signed: DataFrame) -> np.ndarray:
-    """How many values fall into each of 2^BUCKET_BITS buckets: a table of fixed size."""
-    found = signed.filter(F.col("kind") == COUNT).groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    out[found["doc_id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return out
+    """How many values fall into each of 2^BUCKET_BITS buckets: a table of fixed size.
+
+    The driver gets it as pages of bytes, as a row object for each bucket would cost it many times the table.
+    """
+
+    def pages(batches):
+        found = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        at, n = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        for p in np.unique(at // BUCKET_PAGE):
+            page, own = np.zeros(BUCKET_PAGE, dtype=np.int64), at // BUCKET_PAGE == p
+            page[at[own] % BUCKET_PAGE] = n[own]
+            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int64()), pa.array([page.tobytes()], pa.binary())], ["page", "counts"])
+
+    sums = signed.filter(F.col("kind") == COUNT).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    out = np.zeros(((1 << BUCKET_BITS) // BUCKET_PAGE, BUCKET_PAGE), dtype=np.int64)
+    for page, counts in sums.repartition(F.expr(f"doc_id div {BUCKET_PAGE}")).mapInArrow(pages, "page long, counts binary").collect():
+        out[page] = np.frombuffer(counts, dtype=np.int64)
+    return out.reshape(-1)
 
 
 def postings(docs: DataFrame, named: bytes, counts: np.ndarray, percent: int) -> DataFrame:

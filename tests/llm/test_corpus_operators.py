@@ -6,6 +6,7 @@ import ipaddress
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from types import SimpleNamespace
 
@@ -479,3 +480,17 @@ def queries_materialize(df, name):
     from foliant.llm.shared import materialize
 
     return materialize(df, f"test-{name}")
+
+
+def test_value_counts_in_little_memory(spark):
+    """All buckets of the histogram reach the driver in less than 16 MB of Python's memory; the table has 2."""
+    n = 1 << minhash.BUCKET_BITS
+    signed = spark.range(2 * n).selectExpr("1 AS kind", f"id % {n} AS doc_id", "id AS n")
+    tracemalloc.start()
+    counts = minhash.value_counts(signed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [2 * i + n for i in range(n)]
+    assert minhash.value_counts(signed.filter("doc_id = 7 or kind = 0"))[[6, 7]].tolist() == [0, 14 + n]
+    assert minhash.value_counts(signed.limit(0)).sum() == 0
+    assert peak < 16 << 20, peak
